@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TICK = 0.05
@@ -38,10 +38,35 @@ def _d1(forward: Column, strike: Column, tte: Column, vol: Column) -> tuple[Colu
 
 def black76(forward, strike, tte, vol, is_call, df) -> Column:
     d1, spread = _d1(forward, strike, tte, vol)
-    d2 = d1 - spread
-    call = df * (forward * normal_cdf(d1) - strike * normal_cdf(d2))
-    put = df * (strike * normal_cdf(-d2) - forward * normal_cdf(-d1))
-    return F.when(is_call, call).otherwise(put)
+    return _price(d1, d1 - spread, forward, strike, is_call, df)
+
+
+def _price(d1, d2, forward, strike, is_call, df) -> Column:
+    # One side per row: the sign turns the call formula into the put's.
+    side = F.when(is_call, 1.0).otherwise(-1.0)
+    return side * df * (forward * normal_cdf(side * d1) - strike * normal_cdf(side * d2))
+
+
+def with_black76(frame: DataFrame, out: str, forward, strike, tte, vol, is_call, df) -> DataFrame:
+    """The price as a column, computed over named intermediates.
+
+    Each intermediate is evaluated once per row and the generated code stays small, which a
+    single nested expression cannot promise.
+    """
+    d1, spread = _d1(forward, strike, tte, vol)
+    side = F.when(is_call, 1.0).otherwise(-1.0)
+    frame = frame.withColumns({"_side": side, "_d1": d1, "_sp": spread})
+    frame = frame.withColumns({"_u1": F.col("_side") * F.col("_d1"), "_u2": F.col("_side") * (F.col("_d1") - F.col("_sp"))})
+    frame = frame.withColumns({"_n1": normal_cdf(F.col("_u1")), "_n2": normal_cdf(F.col("_u2"))})
+    price = F.col("_side") * df * (forward * F.col("_n1") - strike * F.col("_n2"))
+    return frame.withColumn(out, price).drop("_side", "_d1", "_sp", "_u1", "_u2", "_n1", "_n2")
+
+
+def with_delta(frame: DataFrame, out: str, forward, strike, tte, vol, is_call, df) -> DataFrame:
+    d1, _ = _d1(forward, strike, tte, vol)
+    frame = frame.withColumn("_side", F.when(is_call, 1.0).otherwise(-1.0)).withColumn("_u1", d1)
+    frame = frame.withColumn("_n1", normal_cdf(F.col("_side") * F.col("_u1")))
+    return frame.withColumn(out, F.col("_side") * df * F.col("_n1")).drop("_side", "_u1", "_n1")
 
 
 def delta(forward, strike, tte, vol, is_call, df) -> Column:

@@ -94,9 +94,9 @@ def option_iv(chain: DataFrame, min_volume: int = 0) -> DataFrame:
     rows = rows.withColumn(
         "iv", F.nanvl(_implied_vol("close", "forward", "strike", "tte", call, "_df"), F.lit(None).cast("double"))
     ).where(c("iv").isNotNull())
+    rows = M.with_delta(rows, "delta", c("forward"), c("strike"), c("tte"), c("iv"), call, c("_df"))
     return rows.select(
-        *CONTRACT, "trade_date", "close", "underlying", "forward", "tte", "iv",
-        M.delta(c("forward"), c("strike"), c("tte"), c("iv"), call, c("_df")).alias("delta"),
+        *CONTRACT, "trade_date", "close", "underlying", "forward", "tte", "iv", "delta",
         M.moneyness(c("strike"), c("forward")).alias("moneyness"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.operators.quantiles import exact_quantiles, with_quantiles
+from barframe.session import cut
 
 THIN = 30
 
@@ -21,13 +22,16 @@ def outcome_report(
 ) -> DataFrame:
     """n, mean, median and win % of ``value`` per group, rows without a value left out."""
     rows = df.where(F.col(value).isNotNull())
+    wanted = dict(medians or {})
+    if median:
+        wanted["median"] = value
+    if wanted:
+        # Quantiles read their input several times: keep the outcome columns, not the pipeline.
+        rows = cut(rows, "outcomes")
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), win_pct(value).alias("win_pct"),
         *[c.alias(name) for name, c in (extra or {}).items()],
     )
-    wanted = dict(medians or {})
-    if median:
-        wanted["median"] = value
     for name, col in wanted.items():
         stats = with_quantiles(stats, exact_quantiles(rows, keys, col, {name: 0.5}), keys)
     return stats.withColumn("thin", F.col("n") < THIN) if flag_thin else stats
@@ -35,7 +39,7 @@ def outcome_report(
 
 def tail_stats(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Tail view by the rank rule: n, mean, median, p01, p05, worst, win %."""
-    rows = df.where(F.col(value).isNotNull())
+    rows = cut(df.where(F.col(value).isNotNull()), "outcomes")
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("worst"),
         win_pct(value).alias("win_pct"), *[c.alias(k) for k, c in (extra or {}).items()],

@@ -17,7 +17,7 @@ W = "PARTITION BY ticker ORDER BY date"
 
 @query("bars_from_trades", "F1 bars, U4", "SELECT * FROM eod", "open high low close close_raw")
 def _(t):
-    return t.eod
+    return t.fresh_eod
 
 
 @query("session_ordinal", "W1 L5", f"SELECT ticker, date, row_number() OVER ({W})::BIGINT AS sn FROM eod")

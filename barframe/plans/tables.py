@@ -60,6 +60,13 @@ class Tables:
             for f in df.schema
         ])
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once per application to the shared folder, then scanned."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            _STORED[key] = cut(build(), name)
+        return _STORED[key]
+
     # ---- bars ---------------------------------------------------------------------------
     @cached_property
     def trades(self) -> DataFrame:
@@ -75,8 +82,13 @@ class Tables:
             round_half_up(px, 2).alias("px"), c("l_quantity").alias("qty"),
         )
 
-    @cached_property
+    @property
     def eod(self) -> DataFrame:
+        """Daily bars as the stored table that every job starts from."""
+        return self.stored("eod", lambda: self.fresh_eod)
+
+    @property
+    def fresh_eod(self) -> DataFrame:
         """Adjusted daily bars. First and last price by a packed long: hash aggregation, no sort."""
         return self.trades.groupBy("ticker", "date").agg(
             F.min_by("px", "ord").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
@@ -115,15 +127,23 @@ class Tables:
         want = self.eod.select("ticker").distinct().select("ticker", F.inline(plan)).where("subject is not null")
         return want.join(s, ["ticker", "sn"]).select("ticker", c("date").alias("true_date"), F.date_sub("date", 3).alias("ex_date"), "subject", "f")
 
-    @cached_property
+    @property
     def actions(self) -> DataFrame:
+        return self.stored("actions", lambda: self.fresh_actions)
+
+    @property
+    def fresh_actions(self) -> DataFrame:
         from barframe.functions.filings import parse_action
 
         kind, factor = parse_action("subject")
         return self.action_plan.select("ticker", "ex_date", "subject", kind.alias("action_type"), factor.alias("adj_factor"))
 
-    @cached_property
+    @property
     def raw(self) -> DataFrame:
+        return self.stored("raw", lambda: self.fresh_raw)
+
+    @property
+    def fresh_raw(self) -> DataFrame:
         """Prices as traded: each bar divided by the factors of later actions."""
         steps = self.action_plan.where("f is not null").groupBy("ticker").agg(
             F.collect_list(F.struct("true_date", "f")).alias("steps")  # at most three per ticker
@@ -137,8 +157,12 @@ class Tables:
         )
 
     # ---- filings and feeds ----------------------------------------------------------------------
-    @cached_property
+    @property
     def filings(self) -> DataFrame:
+        return self.stored("filings", lambda: self.fresh_filings)
+
+    @property
+    def fresh_filings(self) -> DataFrame:
         li = self.read("lineitem").groupBy("l_orderkey").agg(
             F.min(c("l_linenumber").cast("long") * F.lit(1 << 40) + c("l_partkey")).alias("k")
         ).select("l_orderkey", (c("k") % F.lit(1 << 40)).alias("p"))
@@ -244,10 +268,7 @@ class Tables:
         Stored, because filters on a computed price would be pushed through the pricing
         expression and evaluate it again and again.
         """
-        key = (self.spark.sparkContext.applicationId, self.dir, "chain")
-        if key not in _STORED:
-            _STORED[key] = cut(self.priced_chain, "chain")
-        return _STORED[key]
+        return self.stored("chain", lambda: self.priced_chain)
 
     @property
     def priced_chain(self) -> DataFrame:

@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # Non-ANSI: a bad cast is a NULL, as a loader that keeps going expects.
     "spark.sql.ansi.enabled": "false",
 }
+# Only a new session can take these. Call-site capture costs two JVM round trips per
+# expression, and wide plans have thousands of expressions.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,7 +33,7 @@ def build_session(app: str = "barframe", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

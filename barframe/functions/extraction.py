@@ -92,7 +92,10 @@ def category_tags(hits: Column) -> Column:
 
 def primary_sector(hits: Column) -> Column:
     """Sector with most hits; the first in the fixed order wins ties, none is NULL."""
-    counts = {s: F.size(F.filter(hits, lambda e, s=s: e["category"] == s)) for s in K.SECTORS}
+    def hits_in(name: str) -> Column:
+        return F.size(F.filter(hits, lambda e: e["category"] == name))
+
+    counts = {s: hits_in(s) for s in K.SECTORS}
     best = F.greatest(*counts.values())
     out = F.when(best == 0, F.lit(None).cast("string"))
     for name, n in counts.items():

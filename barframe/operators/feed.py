@@ -10,6 +10,7 @@ from barframe.functions.filings import setup_direction
 from barframe.functions.numbers import daily_change_pct, size_estimate
 from barframe.functions.text import contains_ignore_case, content_id
 from barframe.operators.dedup import deduplicate
+from barframe.operators.sessions import bind
 
 c = F.col
 NOTIFY_SCORE, ENRICH_SCORE, ENRICH_DAYS = 7.0, 6.0, 3
@@ -20,8 +21,7 @@ KEY_INDICES = ("NIFTY 50", "NIFTY BANK", "NIFTY MIDCAP 150")
 def extract(items: DataFrame) -> DataFrame:
     """All text facts of ``title`` + ``snippet`` in one pass over the keyword list."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
-    df = items.withColumn("_text", text).withColumn("_low", F.lower("_text"))
-    df = df.withColumn("_hits", X.keyword_hits(c("_low")))
+    df = bind(bind(items, _text=text, _low=F.lower(text)), _hits=X.keyword_hits(c("_low")))
     return df.select(
         *items.columns,
         X.ticker(c("_text")).alias("ticker"), X.company_name(c("_text")).alias("company_name"),
@@ -36,7 +36,7 @@ def score(extracted: DataFrame, as_of) -> DataFrame:
     details = X.impact_score(
         c("matched_keywords"), c("sector_tags"), c("order_value"), c("order_value_unit"), c("published_at"), now
     )
-    return extracted.withColumn("score_details", details).withColumn("impact_score", c("score_details.total_score"))
+    return bind(extracted, score_details=details).withColumn("impact_score", c("score_details.total_score"))
 
 
 def to_events(items: DataFrame, as_of) -> DataFrame:
@@ -73,10 +73,10 @@ def alert_digest(fresh: DataFrame, min_score: float = NOTIFY_SCORE, n: int = 10)
     return rows.select("id", "impact_score", "ticker", F.substring("title", 1, 150).alias("headline"), amount.alias("amount"), "link")
 
 
-def enrichment_worklist(events: DataFrame, as_of, n: int = 10) -> DataFrame:
+def enrichment_worklist(events: DataFrame, as_of, n: int = 10, min_score: float = ENRICH_SCORE) -> DataFrame:
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(ENRICH_DAYS))
     return events.where(
-        (c("impact_score") >= ENRICH_SCORE) & c("ai_analysis").isNull() & (c("published_at") >= since)
+        (c("impact_score") >= min_score) & c("ai_analysis").isNull() & (c("published_at") >= since)
     ).orderBy(c("impact_score").desc(), c("published_at").desc(), "id").limit(n)
 
 

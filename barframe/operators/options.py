@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barframe.functions import options_math as M
 from barframe.functions.dates import year_fraction
@@ -62,7 +63,7 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * (1.0 - poly * np.exp(-x * x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _implied_vol(price: pd.Series, fwd: pd.Series, strike: pd.Series, tte: pd.Series, call: pd.Series, df: pd.Series) -> pd.Series:
     """Bisection over a whole Arrow batch; price rises with volatility, so no root is missed."""
     p, f, k, t, d = (s.to_numpy(float) for s in (price, fwd, strike, tte, df))

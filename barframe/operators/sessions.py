@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns evaluated exactly once per row.
+
+    The optimiser inlines projected expressions wherever they are used, also into filters. A
+    generator over a one-element array is a fence: what is above it sees a plain column.
+    """
+    packed = F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
 def by_ticker(key: str = "ticker", order: str = "date"):
     return Window.partitionBy(key).orderBy(order)
 

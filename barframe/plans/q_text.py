@@ -11,6 +11,7 @@ from barframe.functions.dates import exchange_clock, exchange_date, parse_exchan
 from barframe.functions.filings import setup_base, setup_direction
 from barframe.functions.numbers import blend_scores, parse_number
 from barframe.operators import analysis, dedup, feed, order_values
+from barframe.operators.sessions import bind
 from barframe.plans import q_bars  # noqa: F401
 from barframe.plans.registry import define, query
 from barframe.plans.sql_twins import WS, norm_text, strip_html
@@ -139,7 +140,7 @@ def _(t):
 
 @query("document_keywords", "T8", f"SELECT doc_id, array_to_string(list_filter({_kw}, lambda k: contains(low, lower(k))), '|') AS keywords FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def _(t):
-    d = t.read("documents").select("doc_id", F.lower("text").alias("low")).withColumn("hits", X.keyword_hits(c("low")))
+    d = bind(t.read("documents").select("doc_id", F.lower("text").alias("low")), hits=X.keyword_hits(c("low")))
     return d.select("doc_id", F.array_join(X.matched_keywords(c("hits")), "|").alias("keywords"))
 
 
@@ -175,15 +176,15 @@ def _(t):
     return feed.search(t.events, " Wind Energy ").select("item_no")
 
 
-@query("alert_digest", "P15", "SELECT id, impact_score, ticker, substr(title, 1, 150) AS headline, link FROM feed_events WHERE impact_score >= 5 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
+@query("alert_digest", "P15", "SELECT id, impact_score, ticker, substr(title, 1, 150) AS headline, link FROM feed_events WHERE impact_score >= 4.2e0 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
 def _(t):
-    return feed.alert_digest(t.events, 5.0).select("id", "impact_score", "ticker", "headline", "link")
+    return feed.alert_digest(t.events, 4.2).select("id", "impact_score", "ticker", "headline", "link")
 
 
-@query("enrichment_worklist", "P16 ST5", "SELECT id, impact_score FROM feed_events WHERE impact_score >= 6 AND published_at >= TIMESTAMP '1999-06-10' - INTERVAL 3 DAY AND item_no % 4 <> 0 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
+@query("enrichment_worklist", "P16 ST5", "SELECT id, impact_score FROM feed_events WHERE impact_score >= 3 AND published_at >= TIMESTAMP '1999-06-10' - INTERVAL 3 DAY AND item_no % 4 <> 0 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
 def _(t):
     done = F.when(c("item_no") % 4 == 0, "done")
-    return feed.enrichment_worklist(t.events.withColumn("ai_analysis", done), "1999-06-10 00:00:00").select("id", "impact_score")
+    return feed.enrichment_worklist(t.events.withColumn("ai_analysis", done), "1999-06-10 00:00:00", min_score=3.0).select("id", "impact_score")
 
 
 # ---- deduplication and pipeline ---------------------------------------------------------------

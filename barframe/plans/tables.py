@@ -210,11 +210,12 @@ class Tables:
     def items(self) -> DataFrame:
         return self.filing_items.unionByName(self.page_items)
 
-    @cached_property
+    @property
     def events(self) -> DataFrame:
+        """Scored events as the stored table that all reads start from."""
         from barframe.operators.feed import to_events
 
-        return to_events(self.items, AS_OF)
+        return self.stored("events", lambda: to_events(self.items, AS_OF))
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -314,9 +315,10 @@ class Tables:
             (c("last") - c("first")).alias("pnl"),
         )
 
-    @cached_property
+    @property
     def contracts(self) -> DataFrame:
+        """Fills with their contract terms, read from the symbol."""
         from barframe.operators.options import contract_table
 
-        t = contract_table(self.fills, self.chain.select("ticker", "expiry").distinct())
-        return t.withColumnRenamed("underlying", "ticker")
+        listed = self.chain.select("ticker", "expiry").distinct()
+        return self.stored("contracts", lambda: contract_table(self.fills, listed).withColumnRenamed("underlying", "ticker"))

@@ -54,11 +54,11 @@ def rebuild(df: DataFrame, table: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key by aggregation (map-side combine), not by a window over the key's rows."""
+def newest_per_key(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
+    """The row with the greatest rank per key, by aggregation (map-side combine), not by a window."""
     body = [x for x in df.columns if x not in keys]
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*body), rank).alias("r")).select(*keys, "r.*").select(*df.columns)
+    order = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(rank)])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*body), order).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
 def insert_new(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
@@ -82,9 +82,9 @@ def read_inserted(spark: SparkSession, table: str) -> DataFrame:
 
 
 def upsert(df: DataFrame, table: str, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
-    """Insert or update on key. ``newest``: order inside ``df`` when a key repeats (first wins)."""
+    """Insert or update on key. ``newest``: rank inside ``df`` when a key repeats (greatest wins)."""
     spark = df.sparkSession
-    new = first_per_key(df, keys, newest) if newest else df.dropDuplicates(keys)
+    new = newest_per_key(df, keys, newest) if newest else df.dropDuplicates(keys)
     old = read_table(spark, table)
     if old is not None:
         kept = old.join(new.select(*keys), keys, "left_anti")

@@ -36,11 +36,11 @@ def _(t):
 
 # The round trip needs no root finder on the SQL side: each contract was priced at a known
 # volatility and forward, so pricing at the recovered one must give the price back.
-@query("implied_vol_round_trip", "D2 X14", "SELECT ticker, trade_date, expiry, strike, option_type, close AS repriced FROM iv_ok WHERE close > df * greatest(0e0, side * (forward - strike)) + 1.005e0", "repriced", digits=2)
+@query("implied_vol_round_trip", "D2 X14", "SELECT ticker, trade_date, expiry, strike, option_type, close AS repriced FROM iv_ok WHERE close > df * greatest(0e0, side * (forward - strike)) + 1.0013e0", "repriced", digits=2)
 def _(t):
     rows, call = options.option_iv(t.chain, 300), c("option_type") == "CE"
     # Contracts with some time value; for the others price hardly depends on volatility.
-    rows = rows.where(c("close") > M.discount(c("tte")) * M.intrinsic(c("forward"), c("strike"), call) + 1.005)
+    rows = rows.where(c("close") > M.discount(c("tte")) * M.intrinsic(c("forward"), c("strike"), call) + 1.0013)
     return M.with_black76(rows, "repriced", c("forward"), c("strike"), c("tte"), c("iv"), call, M.discount(c("tte"))).select(
         "ticker", "trade_date", "expiry", "strike", "option_type", "repriced")
 

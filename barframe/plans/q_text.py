@@ -16,6 +16,7 @@ from barframe.plans import q_bars  # noqa: F401
 from barframe.plans.registry import define, query
 from barframe.plans.sql_twins import WS, norm_text, strip_html
 from barframe.plans.tables import AS_OF
+from barframe.session import spread
 
 c = F.col
 
@@ -24,7 +25,7 @@ c = F.col
 
 @query("normalize_text", "X1", f"SELECT doc_id, {norm_text('text')} AS norm FROM documents")
 def _(t):
-    return t.read("documents").select("doc_id", T.normalize_text("text").alias("norm"))
+    return t.texts("documents").select("doc_id", T.normalize_text("text").alias("norm"))
 
 
 def _bare(u):
@@ -65,7 +66,7 @@ def _(t):
 
 @query("strip_html", "X7", f"SELECT page_id, {strip_html('html')} AS body FROM pages")
 def _(t):
-    return t.read("pages").select("page_id", T.strip_html("html").alias("body"))
+    return t.texts("pages").select("page_id", T.strip_html("html").alias("body"))
 
 
 @query("exchange_dates", "X8 X9 X11", """SELECT filing_no, announced_at AS parsed, CAST(announced_at + INTERVAL 330 MINUTE AS DATE) AS local_date, strftime(announced_at + INTERVAL 330 MINUTE, '%H:%M') AS clock,
@@ -140,7 +141,7 @@ def _(t):
 
 @query("document_keywords", "T8", f"SELECT doc_id, array_to_string(list_filter({_kw}, lambda k: contains(low, lower(k))), '|') AS keywords FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def _(t):
-    d = bind(t.read("documents").select("doc_id", F.lower("text").alias("low")), hits=X.keyword_hits(c("low")))
+    d = bind(t.texts("documents").select("doc_id", F.lower("text").alias("low")), hits=X.keyword_hits(c("low")))
     return d.select("doc_id", F.array_join(X.matched_keywords(c("hits")), "|").alias("keywords"))
 
 
@@ -241,12 +242,12 @@ def _(t):
       SELECT seq_id, filing_no % 8 AS k, floor(CAST(regexp_extract(attachment_text, '([0-9]+) (crore|lakh)', 1) AS DOUBLE) * CASE WHEN attachment_text LIKE '%lakh%' THEN 1e-2 ELSE 1e0 END * 1e2 + 5e-1) / 1e2 AS v FROM filings WHERE regexp_matches(attachment_text, '[0-9]+ (crore|lakh)')) WHERE v >= 0.05e0)
     UNION ALL SELECT seq_id, NULL, 'none', 0 FROM filings WHERE NOT regexp_matches(attachment_text, '[0-9]+ (crore|lakh)') OR floor(CAST(regexp_extract(attachment_text, '([0-9]+) (crore|lakh)', 1) AS DOUBLE) * CASE WHEN attachment_text LIKE '%lakh%' THEN 1e-2 ELSE 1e0 END * 1e2 + 5e-1) / 1e2 < 0.05e0""", "value_cr")
 def _(t):
-    return order_values.order_values(t.filings.select("seq_id", "attachment_text"), "seq_id", "attachment_text").select("seq_id", "value_cr", "confidence", "n_candidates")
+    return order_values.order_values(spread(t.filings).select("seq_id", "attachment_text"), "seq_id", "attachment_text").select("seq_id", "value_cr", "confidence", "n_candidates")
 
 
 @query("order_values_from_documents", "T15")
 def _(t):
-    d = t.read("documents").select("doc_id", "text")
+    d = t.texts("documents").select("doc_id", "text")
     return order_values.order_values(d, "doc_id", "text")
 
 

@@ -17,7 +17,7 @@ from barframe.functions import options_math as M
 from barframe.functions.numbers import round_half_up
 from barframe.functions.text import strip_html
 from barframe.operators.sessions import rolling_std, with_session_number
-from barframe.session import configure, cut
+from barframe.session import configure, cut, spread
 
 c = F.col
 DIGITS, LETTERS = "0123456789", "ABCDEFGHIJ"
@@ -67,6 +67,10 @@ class Tables:
             _STORED[key] = cut(build(), name)
         return _STORED[key]
 
+    def texts(self, name: str) -> DataFrame:
+        """A given table for per-row text work."""
+        return spread(self.read(name))
+
     # ---- bars ---------------------------------------------------------------------------
     @cached_property
     def trades(self) -> DataFrame:
@@ -187,7 +191,7 @@ class Tables:
 
     @cached_property
     def page_items(self) -> DataFrame:
-        p = self.read("pages")
+        p = self.texts("pages")
         wrap = F.concat(F.lit("https://www.google.com/url?rct=j&sa=t&url="), c("url"), F.lit("&ct=ga"))
         return p.select(
             (c("page_id") * 2 + 1).alias("item_no"), F.lit("rss").alias("source"),
@@ -199,7 +203,7 @@ class Tables:
 
     @cached_property
     def filing_items(self) -> DataFrame:
-        return self.filings.select(
+        return spread(self.filings).select(
             (c("filing_no") * 2).alias("item_no"), F.lit("nse").alias("source"),
             F.concat(c("symbol"), F.lit(": "), F.coalesce("category", F.lit("Announcement"))).alias("title"),
             F.concat(F.lit("https://filings.example.com/"), c("filing_no")).alias("link"), c("attachment_text").alias("snippet"),

@@ -57,6 +57,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/barframe/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores, for work that is heavy per row.
+
+    A large table already has more splits than cores and is returned as it is: no shuffle.
+    Meant for plain scans, whose partition count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a written table in the shared folder (survives executor loss)."""
     spark = df.sparkSession

@@ -9,6 +9,7 @@ from barframe.functions.filings import parse_contract_symbol
 from barframe.operators import options, regime, reports
 from barframe.plans import q_bars  # noqa: F401
 from barframe.plans.registry import define, query
+from barframe.plans.sql_twins import CTES
 
 c = F.col
 DAY = "ticker, trade_date, expiry"
@@ -20,13 +21,18 @@ define("forwards", f"""SELECT {DAY}, CASE WHEN abs(f / und - 1e0) > 5e-2 THEN un
     WHERE ce IS NOT NULL AND pe IS NOT NULL AND (expiry - trade_date) / 365e0 >= 1e0 / 365e0) WHERE rk <= 6 GROUP BY {DAY})""")
 
 
+# Volatility is read from traded contracts only, and so are the forwards behind it.
+for _name in ("parity", "forwards"):
+    define(f"{_name}_traded", CTES[_name].replace("FROM chain", "FROM chain WHERE volume >= 300").replace("FROM parity", "FROM parity_traded"))
+
+
 @query("implied_forwards", "D1 J13 J14 W16", "SELECT * FROM forwards", "forward")
 def _(t):
     return options.implied_forwards(t.chain)
 
 
 define("iv_in", f"""SELECT c.*, forward, (expiry - trade_date) / 365e0 AS tte, exp(-0.065e0 * (expiry - trade_date) / 365e0) AS df, CASE option_type WHEN 'CE' THEN 1e0 ELSE -1e0 END AS side,
-    ln(forward / strike) AS lf, sqrt((expiry - trade_date) / 365e0) AS st FROM chain c JOIN forwards USING ({DAY}) WHERE volume >= 300 AND close > 0 AND expiry > trade_date""")
+    ln(forward / strike) AS lf, sqrt((expiry - trade_date) / 365e0) AS st FROM chain c JOIN forwards_traded USING ({DAY}) WHERE volume >= 300 AND close > 0 AND expiry > trade_date""")
 define("iv_ok", "SELECT * FROM iv_in WHERE close > df * greatest(0e0, side * (forward - strike)) + 5e-2")
 
 @query("option_implied_vol", "D2 X13 X14 X15 X11")

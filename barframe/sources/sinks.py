@@ -21,11 +21,6 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
 def _current(spark: SparkSession, table: str) -> str | None:
     """Newest complete version (a version counts once its success marker exists)."""
     fs, p = _fs(spark, table)
@@ -61,6 +56,15 @@ def newest_per_key(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFr
     return df.groupBy(*keys).agg(F.max_by(F.struct(*body), order).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
+def _batches(spark: SparkSession, table: str) -> list[str]:
+    """Complete batches of an insert-only table; a half-written one has no success marker."""
+    fs, p = _fs(spark, f"{table}/rows")
+    if not fs.exists(p):
+        return []
+    done = lambda d: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))
+    return [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and done(s.getPath())]
+
+
 def insert_new(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """Insert rows whose key is absent; returns exactly the rows that were new.
 
@@ -69,16 +73,16 @@ def insert_new(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     fresh = df.dropDuplicates(keys)
-    base = f"{table}/rows"
-    if exists(spark, base):
-        fresh = fresh.join(spark.read.parquet(f"{base}/*").select(*keys), keys, "left_anti")
-    batch = f"{base}/b-{uuid.uuid4().hex}"
+    known = _batches(spark, table)
+    if known:
+        fresh = fresh.join(spark.read.schema(df.schema).parquet(*known).select(*keys), keys, "left_anti")
+    batch = f"{table}/rows/b-{uuid.uuid4().hex}"
     fresh.write.mode("overwrite").parquet(batch)
     return spark.read.schema(df.schema).parquet(batch)
 
 
 def read_inserted(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(f"{table}/rows/*")
+    return spark.read.parquet(*_batches(spark, table))
 
 
 def upsert(df: DataFrame, table: str, keys: list[str], newest: list[Column] | None = None) -> DataFrame:

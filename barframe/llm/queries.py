@@ -1,4 +1,4 @@
-"""The thin queries of the numbered operators, on whole tables with production parameters, and their SQL twins."""
+"""The thin queries of the numbered operators, on whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import mixing, quality, tokens, toxicity
+from barframe.llm import leaks, licences, mixing, neardup, quality, rules, substrings, tokens, toxicity, warc
 from barframe.llm.common import remainder, table
+from barframe.llm.oracles import ORACLES  # noqa: F401
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
@@ -30,32 +31,34 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-SQL_OP5 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight, 3 * source_size AS cap FROM s),
--- how much each threshold level would spend: the level is the one between two caps at which all is spent
-o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS spare, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
-      FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT spare, open FROM o WHERE spare * weight < cap * open ORDER BY cap / weight, source NULLS FIRST LIMIT 1),
-t AS (SELECT o.source, o.source_size, CASE WHEN o.spare * weight >= cap * o.open THEN cap::DOUBLE ELSE (l.spare * weight)::DOUBLE / l.open END AS target FROM o LEFT JOIN l ON true),
-g AS (SELECT *, round(target)::BIGINT AS goal, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS rounds FROM t),
-r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.rounds, g.goal - g.rounds * g.source_size AS rest,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r
-"""
-
-QUERIES = {
-    "op1_quality_classifier": op1_quality_classifier,
-    "op2_toxicity": op2_toxicity,
-    "op3_token_files": op3_token_files,
-    "op5_mixing": op5_mixing,
-}
-ORACLES = {"op5_mixing": SQL_OP5}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_toxicity, op3_token_files, op4_warc_derivatives, op5_mixing, op6_substring_dedup, op7_near_duplicates, op8_benchmark_leaks,
+    op9_quality_rules, op10_licence_scan)}

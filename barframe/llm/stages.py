@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import mixing, quality, tokens
+from barframe.llm import leaks, mixing, neardup, quality, tokens
 from barframe.llm.common import free_name, prepare, remainder, table
 
 
@@ -21,11 +21,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_score(docs, model, column=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates, the one with the smallest id."""
+    prepare(spark)
+    return neardup.without_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of the benchmark."""
+    prepare(spark)
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents as the target weights ask; the sizes are those of what the earlier stages kept."""
     prepare(spark)
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files; the rows are the documents as read back from them."""
     prepare(spark)
     return tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))

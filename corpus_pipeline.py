@@ -14,6 +14,8 @@ from barframe.session import cut
 
 STAGES = [
     ("quality classifier", stages.quality_stage),
+    ("near-duplicates", stages.near_duplicate_stage),
+    ("benchmark decontamination", stages.decontamination_stage),
     ("mixing to target weights", stages.mixing_stage),
     ("token files", stages.token_stage),
 ]

@@ -75,7 +75,7 @@ g AS (SELECT rid, unnest(runs) AS run, generate_subscripts(runs, 1) AS p FROM h)
 twice AS (SELECT rid, run FROM g GROUP BY rid, run HAVING count(*) >= 2),
 rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM g JOIN twice USING (rid, run)) GROUP BY rid),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
              len(regexp_extract_all(t, '[A-Z]')) AS upper_, len(regexp_extract_all(t, '[a-z]')) AS lower_, len(regexp_extract_all(t, '!')) AS shouts
       FROM d LEFT JOIN rep USING (rid)),
 v AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)

@@ -14,9 +14,11 @@ its shard anew: files get their name in one rename.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,40 +34,62 @@ from barframe.session import cut, scratch_path
 SEQUENCE = 2048
 BATCH_ROWS = 64
 END = 2
-#: Encoded pieces that a worker remembers, none longer than PIECE_CHARS; then it starts afresh.
-REMEMBERED, PIECE_CHARS = 200_000, 40
+#: Encoded pieces in one generation of what a worker remembers, none longer than PIECE_CHARS.
+REMEMBERED, PIECE_CHARS = 250_000, 40
+#: Latin letters, and a word of them with a stop or none.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
+_WORD = re.compile(f"([{_LETTERS}]+)([.,]?)")
 #: A space before a visible character always begins a new pre-token, so a text may be cut there.
 _SEAM = re.compile(r" (?=\S)")
 
 
-class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library; pieces between seams are encoded once and remembered."""
+class Encoder(dict):
+    """Ids of whole texts by the ``tokenizers`` library; pieces between seams are encoded once and remembered.
+
+    A dictionary from a piece (its leading space left off) to its ids. Two generations are kept: when the
+    younger is full it becomes the older, and pieces that are used again move up, so frequent pieces stay
+    and memory is bounded.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text, which have no space before them
-        self.later: dict[str, bytes] = {}
-
-    def _fill(self, store: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in store]
-        for p, e in zip(new, self.library.encode_batch([before + p for p in new], add_special_tokens=False), strict=True):
-            store[p] = np.array(e.ids, self.kind).tobytes()
+        self.kind, self.code = (np.uint16, "H") if self.library.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        self.old: dict[str, bytes] = {}
+        # A piece of one word is one pre-token, and one more for a stop after it: the library's model can
+        # be asked straight away. Letters are spelt for it as the library's byte-level step spells them.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.space = spell.pre_tokenize_str(" ")[0][0]
+        self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None
+        self.stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+
+    def _encoded(self, piece: str) -> bytes:
+        if self.direct and (m := _WORD.fullmatch(piece)):
+            ids = [t.id for t in self.library.model.tokenize(self.space + m[1].translate(self.spelt))] + self.stops[m[2]]
+        else:
+            ids = self.library.encode(" " + piece, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self._encoded(piece)
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        cut_up = [_SEAM.split(t) for t in texts]
-        self._fill(self.first, {p[0] for p in cut_up}, "")
-        self._fill(self.later, set().union(*(p[1:] for p in cut_up)), " ")
-        first, later = self.first, self.later
-        out = [first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in cut_up]
-        for store in (first, later):
-            for p in [p for p in store if len(p) > PIECE_CHARS]:
-                del store[p]
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for text in texts:
+            first, *rest = _SEAM.split(text)
+            begun = array(self.code, self.library.encode(first, add_special_tokens=False).ids).tobytes()
+            out.append(begun + b"".join(map(self.__getitem__, rest)))
         return out
 
 

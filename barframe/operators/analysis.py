@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.numbers import literal_lookup
+from barframe.operators.sessions import bind
 
 c = F.col
 
@@ -93,5 +94,5 @@ def parse_response(text: Column) -> Column:
 
 
 def with_analysis(responses: DataFrame, text_col: str, analyzed_at) -> DataFrame:
-    parsed = responses.withColumn("ai_analysis", parse_response(c(text_col)))
+    parsed = bind(responses, ai_analysis=parse_response(c(text_col)))
     return parsed.withColumn("analyzed_at", F.when(c("ai_analysis").isNotNull(), F.lit(analyzed_at).cast("timestamp")))

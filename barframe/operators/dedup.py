@@ -1,32 +1,26 @@
-"""Near-duplicate removal in arrival order, at scale.
+"""Near-duplicate removal in arrival order, poll by poll.
 
-The rule: walk the items in order; drop one whose normalised link equals, or whose title is
+The rule: walk the items of a poll in order; drop one whose normalised link equals, or whose title is
 similar to, that of an item *kept* before. That is the greedy maximal independent set of a
 conflict graph, which parallel rounds reproduce exactly (Blelloch, Fineman, Shun 2012): an
 item without an undecided earlier neighbour is kept, neighbours of kept items are dropped.
 
-What keeps it linear in hot groups of copies:
-
+* A poll is the unit: titles are compared within it only, so work grows with the number of polls. All
+  polls are decided side by side, in as many rounds as the longest chain of waiting items in any of them.
 * Items equal in both title and link collapse to their first before anything else.
 * Equality conflicts (same link, same title) never become pairs; a group is represented by
   its first undecided item and by whether it already has a kept one.
 * Fuzzy pairs come from a prefix filter on numbered bigrams, which loses no pair within the
   edit bound, and each pair is emitted by its first common token only.
-* Items are handled in order slices. A slice first loses everything similar to items already
-  kept, so a large family of near-copies meets its one survivor, not itself. A slice whose
-  bigram blocks would yield more candidate pairs than ``pair_budget`` is halved and its
-  halves run in order, so no single job blows up and no pair is ever skipped.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.text import FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, normalize_text, normalize_url
-from barframe.session import cut, scratch_path
+from barframe.session import cut
 
 c = F.col
 
@@ -78,31 +72,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], mirror: bo
     return j.select(*keys, "tx", "ty")
 
 
-def _candidate_pairs(slice_: DataFrame, kept: DataFrame | None, keys: list[str]) -> int:
-    """Upper bound of candidate pairs a slice would generate, from block sizes alone."""
-    blocks = lambda df, n: df.select(*keys, F.explode("prefix").alias("token")).groupBy(*keys, "token").agg(
-        F.count(F.lit(1)).cast("double").alias(n)
-    )
-    mine = blocks(slice_.dropDuplicates(keys + ["title"]), "n")
-    if kept is None:
-        pairs = mine.agg(F.sum(c("n") * (c("n") - 1) / 2))
-    else:
-        both = mine.join(blocks(kept, "m"), keys + ["token"], "left")
-        pairs = both.agg(F.sum(c("n") * (c("n") - 1) / 2 + c("n") * F.coalesce("m", F.lit(0.0))))
-    return int(pairs.first()[0] or 0)
-
-
-def _drop_known(nodes: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes without conflict with anything kept so far."""
-    nodes = nodes.join(kept.select(*keys, "url").distinct(), keys + ["url"], "left_anti")
-    nodes = nodes.join(kept.select(*keys, "title").distinct(), keys + ["title"], "left_anti")
-    fuzzy = similar_pairs(nodes.dropDuplicates(keys + ["title"]), kept, keys, mirror=False)
-    return nodes.join(fuzzy.select(*keys, c("tx").alias("title")).distinct(), keys + ["title"], "left_anti")
-
-
 def _resolve(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy rounds inside one slice; returns its kept nodes."""
-    titles = nodes.dropDuplicates(keys + ["title"])
+    """Greedy rounds; returns the kept nodes."""
+    titles = nodes.select(*keys, "title", "tokens", "prefix").distinct()
     one_way = similar_pairs(titles, titles, keys, mirror=True)
     edges = cut(one_way.unionByName(one_way.select(*keys, c("tx").alias("ty"), c("ty").alias("tx"))), "edges")
     state = cut(nodes.withColumn("state", F.lit(0)), "state")  # 0 undecided, 1 kept, 2 dropped
@@ -138,13 +110,11 @@ def _resolve(nodes: DataFrame, keys: list[str]) -> DataFrame:
             return state.where("state = 1").drop("state")
 
 
-def deduplicate(
-    items: DataFrame, *, order: str, title: str = "title", link: str = "link", batch: list[str] | None = None,
-    pair_budget: int = 20_000_000, first_slice: int = 4096,
-) -> DataFrame:
+def deduplicate(items: DataFrame, *, order: str, title: str = "title", link: str = "link", batch: list[str] | None = None) -> DataFrame:
     """Items that survive, in the sense of the rule above. ``order``: a unique long column.
 
-    ``batch``: columns naming separate polls; each is deduplicated on its own.
+    ``batch``: columns naming separate polls; each is deduplicated on its own. Without them the items
+    are one poll, as a micro-batch of a stream is.
     """
     keys = list(batch or [])
     nodes = items.select(
@@ -152,32 +122,5 @@ def deduplicate(
     ).groupBy(*keys, "title", "url").agg(F.min("ord").alias("ord"))
     nodes = cut(nodes, "nodes")
     tokens = tokenize(nodes.select(*keys, "title").distinct(), keys)
-    nodes = cut(nodes.join(tokens, keys + ["title"]), "tokens")
-    span = nodes.agg(F.min("ord"), F.max("ord"), F.count(F.lit(1))).first()
-    if span[2] == 0:
-        return items
-    # Slices double in size: 1, 1, 2, 4, ... times the first one.
-    cuts_at = [min(1.0, first_slice * 2.0 ** i / span[2]) for i in range(max(1, math.ceil(math.log2(span[2] / first_slice)) + 1) if span[2] > first_slice else 1)]
-    bounds = nodes.agg(F.percentile_approx("ord", cuts_at, 10_000)).first()[0]
-    edges = sorted({*bounds[:-1], span[1]})
-    todo, lo = [], span[0] - 1
-    for hi in edges:
-        todo.append((lo, hi))
-        lo = hi
-    todo.reverse()
-    spark = items.sparkSession
-    path, kept = scratch_path(spark, "kept"), None
-    while todo:
-        lo, hi = todo.pop()
-        part = nodes.where((c("ord") > lo) & (c("ord") <= hi))
-        if hi - lo > 1 and _candidate_pairs(part, kept, keys) > pair_budget:
-            mid = part.agg(F.percentile_approx("ord", 0.5, 10_000)).first()[0]
-            mid = min(max(mid, lo + 1), hi - 1)
-            todo += [(mid, hi), (lo, mid)]
-            continue
-        fresh = part if kept is None else cut(_drop_known(part, kept, keys), "fresh")
-        _resolve(fresh, keys).write.mode("append").parquet(path)
-        kept = spark.read.schema(nodes.schema).parquet(path)
-    return items.join(kept.select(*keys, c("ord").alias("_ord")), [items[k] == kept[k] for k in keys] + [c(order).cast("long") == c("_ord")] , "left_semi")
-
-
+    kept = _resolve(cut(nodes.join(tokens, keys + ["title"]), "tokens"), keys)
+    return items.join(kept.select(*keys, c("ord").alias("_ord")), [items[k] == kept[k] for k in keys] + [c(order).cast("long") == c("_ord")], "left_semi")

@@ -11,9 +11,11 @@ from barframe.functions.numbers import daily_change_pct, size_estimate
 from barframe.functions.text import contains_ignore_case, content_id
 from barframe.operators.dedup import deduplicate
 from barframe.operators.sessions import bind
+from barframe.sources.sinks import first_per_key
 
 c = F.col
 NOTIFY_SCORE, ENRICH_SCORE, ENRICH_DAYS = 7.0, 6.0, 3
+POLL_MINUTES = 15
 # Indices shown first.
 KEY_INDICES = ("NIFTY 50", "NIFTY BANK", "NIFTY MIDCAP 150")
 
@@ -43,10 +45,15 @@ def to_events(items: DataFrame, as_of) -> DataFrame:
     return score(extract(items), as_of).withColumn("id", content_id("title", "link"))
 
 
+def with_poll(items: DataFrame, minutes: int = POLL_MINUTES, ts: str = "published_at") -> DataFrame:
+    """The poll that an item belongs to: the ``minutes`` in which it came out."""
+    return items.withColumn("poll", F.floor(F.unix_seconds(ts) / (60 * minutes)))
+
+
 def process_items(items: DataFrame, as_of, order: str, batch: list[str] | None = None) -> DataFrame:
     """Unique items of a poll as events; ``insert_new`` on ``id`` then yields the fresh ones."""
     events = to_events(deduplicate(items, order=order, batch=batch), as_of)
-    return events.dropDuplicates((batch or []) + ["id"])
+    return first_per_key(events, (batch or []) + ["id"], [c(order)])
 
 
 def feed(events: DataFrame, min_score: float = 1.0, after=None, before=None, limit: int = 50) -> DataFrame:
@@ -74,9 +81,11 @@ def alert_digest(fresh: DataFrame, min_score: float = NOTIFY_SCORE, n: int = 10)
 
 
 def enrichment_worklist(events: DataFrame, as_of, n: int = 10, min_score: float = ENRICH_SCORE) -> DataFrame:
-    since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(ENRICH_DAYS))
+    """What is still to be analysed of the last days up to ``as_of``, none after it."""
+    now = F.lit(as_of).cast("timestamp")
+    since = now - F.make_dt_interval(F.lit(ENRICH_DAYS))
     return events.where(
-        (c("impact_score") >= min_score) & c("ai_analysis").isNull() & (c("published_at") >= since)
+        (c("impact_score") >= min_score) & c("ai_analysis").isNull() & (c("published_at") >= since) & (c("published_at") <= now)
     ).orderBy(c("impact_score").desc(), c("published_at").desc(), "id").limit(n)
 
 

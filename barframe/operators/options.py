@@ -13,7 +13,7 @@ from barframe.functions.dates import year_fraction
 from barframe.functions.filings import parse_contract_symbol
 from barframe.functions.numbers import right_closed_bins
 from barframe.operators.reports import win_pct
-from barframe.operators.sessions import rolling_mean, rolling_percentile, rolling_rank
+from barframe.operators.sessions import bind, rolling_mean, rolling_percentile, rolling_rank
 
 MIN_TTE = 1.0 / 365.0
 CONTRACT = ["ticker", "expiry", "strike", "option_type"]
@@ -92,9 +92,9 @@ def option_iv(chain: DataFrame, min_volume: int = 0) -> DataFrame:
     call = c("option_type") == "CE"
     rows = rows.withColumn("_df", M.discount(c("tte")))
     rows = rows.where(c("close") > c("_df") * M.intrinsic(c("forward"), c("strike"), call) + M.TICK)
-    rows = rows.withColumn(
-        "iv", F.nanvl(_implied_vol("close", "forward", "strike", "tte", call, "_df"), F.lit(None).cast("double"))
-    ).where(c("iv").isNotNull())
+    # The root is bound before it is filtered on: a filter pushed below it would solve it again.
+    rows = bind(rows, _root=_implied_vol("close", "forward", "strike", "tte", call, "_df"))
+    rows = bind(rows, iv=F.nanvl(c("_root"), F.lit(None).cast("double"))).where(c("iv").isNotNull())
     rows = M.with_delta(rows, "delta", c("forward"), c("strike"), c("tte"), c("iv"), call, c("_df"))
     return rows.select(
         *CONTRACT, "trade_date", "close", "underlying", "forward", "tte", "iv", "delta",

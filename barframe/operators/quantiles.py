@@ -1,85 +1,98 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, on one path.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch
-first brackets each quantile; only the values inside the bracket (about 0.1 % of a group)
-keep their identity, everything else is reduced to a count before the shuffle. The answer
-is the exact order statistic; should a sketch ever miss its bracket, the job fails instead
-of returning a wrong number.
+``percentile`` keeps every distinct value of a group in one buffer. Here a group is narrowed down instead:
+a mergeable sketch proposes ``GRID`` cut points, the rows between neighbouring cut points are counted exactly,
+and the counts tell in which gap each wanted rank lies and which rank it has there. However rough the sketch,
+the gaps cover the line, so no rank can be missed; a poor sketch only leaves more rows. Two such steps leave
+about one row in ``GRID`` squared, equal values counted as one, and those are ranked.
+
+Rows meet the sketch by a join on the group; the sketches are written first, one short row a group, so the
+planner knows their size and broadcasts them only if that is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barframe.session import cut
+
+GRID = 64
 ACCURACY = 10_000
+LEVELS = 2
+c = F.col
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & c(a).eqNullSafe(c(b))
+    return out
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """NULL-safe join on ``keys``; a side without keys is one row."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other)) if how == "inner" else df
+    renamed = other.select(*[c(k).alias(f"_o_{k}") for k in keys], *[x for x in other.columns if x not in keys])
+    return df.join(renamed, _same(keys, [f"_o_{k}" for k in keys]), how).drop(*[f"_o_{k}" for k in keys])
+
+
+def _narrow(rows: DataFrame, keys: list[str], ranks: DataFrame, zone: str, grid: int, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the gaps that hold a wanted rank, the ranks within them); ``zone`` numbers a group's gaps."""
+    points = [i / grid for i in range(1, grid)]
+    sketch = cut(rows.groupBy(*keys).agg(F.percentile_approx("_v", points, accuracy).alias("_e")), "quantile-sketch")
+    placed = _beside(rows, sketch, keys).withColumn(zone, F.size(F.filter("_e", lambda e: e < c("_v")))).drop("_e")
+    counted = placed.groupBy(*keys, zone).agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.partitionBy(*keys).orderBy(zone)  # at most one row a gap
+    counted = counted.withColumn("_below", F.sum("_m").over(order) - c("_m"))
+    inside = (c("_rank") >= c("_below")) & (c("_rank") < c("_below") + c("_m"))
+    found = cut(_beside(ranks, counted, keys).where(inside).select(
+        *keys, zone, "_target", (c("_rank") - c("_below")).alias("_rank")), "quantile-ranks")
+    kept = _beside(placed, found.select(*keys, zone).distinct(), [*keys, zone], "left_semi")
+    return kept, found
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-    method: str = "linear", accuracy: int = ACCURACY,
+    method: str = "linear", grid: int = GRID, accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     ``linear`` interpolates like ``percentile_cont``; ``rank`` takes element
     ``floor(p * n)`` of the sorted values. NULL values are ignored; so are groups without any.
+    The steps are run when the function is called; the result is read from what they wrote.
     """
-    ps = sorted(probs.values())
-    names = [n for n, _ in sorted(probs.items(), key=lambda kv: kv[1])]
-    slack = 4.0 / accuracy
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    edges = []
-    for p in ps:
-        edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    sketch = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    )
-    lo = lambda i: F.when(F.lit(edges[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_e")[2 * i])
-    hi = lambda i: F.when(F.lit(edges[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
-    if keys:
-        right = sketch.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_n", "_e", "_min", "_max")
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        tagged = base.join(right, cond)
-    else:
-        tagged = base.join(F.broadcast(sketch))  # exactly one row
-    # Ranks of small groups are coarser than the slack; they are small enough to keep whole.
-    inside, zone = F.col("_n") <= 10 * accuracy, F.lit(0)
-    for i in range(len(ps)):
-        inside = inside | ((F.col("_v") >= lo(i)) & (F.col("_v") <= hi(i)))
-        zone = zone + F.when(F.col("_v") > hi(i), 1).otherwise(0)
-    cells = (
-        tagged.select(*keys, "_n", zone.alias("_z"), F.when(inside, F.col("_v")).alias("_c"))
-        .groupBy(*keys, "_n", "_z", "_c").agg(F.count(F.lit(1)).alias("_m"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_z", F.col("_c").asc_nulls_first())
-    cells = cells.withColumn("_cum", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # The cell holding 0-based rank r is the first whose running count exceeds r.
-    aggs = []
-    for i, p in enumerate(ps):
-        n = F.col("_n")
+    names = [f"_k{i}" for i in range(len(keys))]  # report keys may have any name
+    rows = cut(df.select(*[c(k).alias(n) for k, n in zip(keys, names, strict=True)], c(value).cast("double").alias("_v")).where("_v is not null"), "quantile-values")
+    sizes = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "quantile-sizes")
+    n, wanted = c("_n"), []
+    for i, p in enumerate(probs.values()):
         if method == "linear":
             at = F.lit(p) * (n - 1)
-            ranks = [("a", F.floor(at)), ("b", F.ceil(at))]
+            wanted += [(2 * i, F.floor(at)), (2 * i + 1, F.ceil(at))]
         else:
-            ranks = [("a", F.least(n - 1, F.greatest(F.lit(0).cast("long"), F.floor(F.lit(p) * n))))]
-        for tag, r in ranks:
-            holds = (F.col("_cum") > r) & (F.col("_cum") - F.col("_m") <= r)
-            aggs.append(F.max(F.when(holds, F.col("_c"))).alias(f"_q{i}{tag}"))
-    picked = cells.groupBy(*keys, "_n").agg(*aggs)
+            wanted += [(2 * i, F.least(n - 1, F.greatest(F.lit(0).cast("long"), F.floor(F.lit(p) * n))))]
+    ranks = sizes.where("_n > 0").select(*names, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_target"), r.cast("long").alias("_rank")) for t, r in wanted])).alias("_w")).select(*names, "_w.*")
+    within = list(names)
+    for level in range(LEVELS):
+        rows, ranks = _narrow(rows, within, ranks, f"_z{level}", grid, accuracy)
+        within.append(f"_z{level}")
+        if level < LEVELS - 1:
+            rows = cut(rows, "quantile-rows")
+    cells = rows.groupBy(*within, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    cells = cells.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*within).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    held = _beside(ranks, cells, within).where((c("_rank") < c("_upto")) & (c("_rank") >= c("_upto") - c("_m")))
+    picked = held.groupBy(*names).agg(*[F.max(F.when(c("_target") == t, c("_v"))).alias(f"_q{t}") for t, _ in wanted])
     out = []
-    for i, (name, p) in enumerate(zip(names, ps)):
-        a = F.col(f"_q{i}a")
+    for i, (name, p) in enumerate(probs.items()):
+        a = c(f"_q{2 * i}")
         if method == "linear":
-            at = F.lit(p) * (F.col("_n") - 1)
-            b = F.col(f"_q{i}b")
+            at, b = F.lit(p) * (n - 1), c(f"_q{2 * i + 1}")
             a = F.when(F.ceil(at) == F.floor(at), a).otherwise(a + (b - a) * (at - F.floor(at)))
-        missed = F.raise_error(F.lit("quantile sketch missed its bracket")).cast("double")
-        out.append(F.coalesce(a, missed).alias(name))
-    return picked.select(*keys, *out)
+        out.append(a.alias(name))
+    return _beside(picked, sizes, names).where("_n > 0").select(*[c(k).alias(o) for k, o in zip(names, keys, strict=True)], *out)
 
 
 def with_quantiles(stats: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:

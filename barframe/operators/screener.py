@@ -96,11 +96,11 @@ def run_setups(rows: DataFrame, setups=SETUPS, version: str = VERSION, values: b
 
 
 def catalysts(events: DataFrame, as_of, days: int = CATALYST_DAYS, min_score: float = CATALYST_SCORE) -> DataFrame:
-    """Highest-impact recent event per ticker (calendar days; latest, then id, on ties)."""
+    """Highest-impact event per ticker in the ``days`` up to ``as_of``, none after it (latest, then id, on ties)."""
     now = F.lit(as_of).cast("timestamp")
     recent = events.where(
         c("ticker").isNotNull() & (c("impact_score") >= min_score)
-        & (c("published_at") >= now - F.make_dt_interval(F.lit(days)))
+        & (c("published_at") >= now - F.make_dt_interval(F.lit(days))) & (c("published_at") <= now)
     )
     best = F.max_by(
         F.struct(c("id").alias("catalyst_event_id"), c("title").alias("catalyst_title"), c("impact_score").alias("catalyst_score")),

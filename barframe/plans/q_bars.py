@@ -207,7 +207,7 @@ def _(t):
 
 define("catalyst_events", f"""SELECT symbol AS ticker, seq_id AS id, attachment_text AS title, announced_at AS published_at,
     CAST((filing_no * 31) % 100 AS DOUBLE) / 1e1 AS impact_score FROM filings""")
-define("best_catalyst", """SELECT * FROM catalyst_events WHERE impact_score >= 6 AND published_at >= TIMESTAMP '2000-06-05' - INTERVAL 5 DAY
+define("best_catalyst", """SELECT * FROM catalyst_events WHERE impact_score >= 6 AND published_at BETWEEN TIMESTAMP '2000-06-05' - INTERVAL 5 DAY AND TIMESTAMP '2000-06-05' 
     QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY impact_score DESC, published_at DESC, id DESC) = 1""")
 
 

@@ -17,6 +17,7 @@ from barframe.plans.registry import define, query
 from barframe.plans.sql_twins import WS, norm_text, strip_html
 from barframe.plans.tables import AS_OF
 from barframe.session import spread
+from barframe.sources.sinks import first_per_key
 
 c = F.col
 
@@ -182,7 +183,7 @@ def _(t):
     return feed.alert_digest(t.events, 4.2).select("id", "impact_score", "ticker", "headline", "link")
 
 
-@query("enrichment_worklist", "P16 ST5", "SELECT id, impact_score FROM feed_events WHERE impact_score >= 3 AND published_at >= TIMESTAMP '1999-06-10' - INTERVAL 3 DAY AND item_no % 4 <> 0 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
+@query("enrichment_worklist", "P16 ST5", "SELECT id, impact_score FROM feed_events WHERE impact_score >= 3 AND published_at BETWEEN TIMESTAMP '1999-06-10' - INTERVAL 3 DAY AND TIMESTAMP '1999-06-10'  AND item_no % 4 <> 0 ORDER BY impact_score DESC, published_at DESC, id LIMIT 10", "impact_score")
 def _(t):
     done = F.when(c("item_no") % 4 == 0, "done")
     return feed.enrichment_worklist(t.events.withColumn("ai_analysis", done), "1999-06-10 00:00:00", min_score=3.0).select("id", "impact_score")
@@ -191,15 +192,33 @@ def _(t):
 # ---- deduplication and pipeline ---------------------------------------------------------------
 
 
-@query("near_duplicates", "T11")
+def greedy(source: str) -> str:
+    """Items kept of (poll, item_no, a, u): one step of the recursion takes the next item of every poll."""
+    return f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY poll ORDER BY item_no) AS k FROM ({source}) AS given),
+    r AS (SELECT DISTINCT poll, 0::BIGINT AS k, []::STRUCT(a VARCHAR, u VARCHAR, item_no BIGINT)[] AS kept FROM n
+      UNION ALL SELECT r.poll, n.k, CASE WHEN len([x FOR x IN r.kept IF x.u = n.u OR greatest(length(x.a), length(n.a)) = 0
+          OR (greatest(length(x.a), length(n.a)) < 20 AND x.a = n.a)
+          OR (greatest(length(x.a), length(n.a)) >= 20 AND levenshtein(x.a, n.a) / greatest(length(x.a), length(n.a)) <= 0.3e0)]) > 0
+        THEN r.kept ELSE list_append(r.kept, {{'a': n.a, 'u': n.u, 'item_no': n.item_no}}) END
+      FROM r JOIN n ON n.poll = r.poll AND n.k = r.k + 1)
+    SELECT poll, unnest([x.item_no FOR x IN kept]) AS item_no FROM (SELECT poll, arg_max(kept, k) AS kept FROM r GROUP BY poll)"""
+
+
+_POLL = "CAST(floor(epoch(published_at) / 900) AS BIGINT) AS poll"
+define("kept_pages", greedy(f"SELECT {_POLL}, item_no, {norm_text('p.title')} AS a, url AS u FROM page_items p JOIN urls USING (item_no)"))
+define("kept_items", greedy(f"SELECT {_POLL}, item_no, {norm_text('p.title')} AS a, url AS u FROM items p JOIN urls USING (item_no)"))
+
+
+@query("near_duplicates", "T11", "SELECT item_no, title, link FROM page_items JOIN kept_pages USING (item_no)")
 def _(t):
-    return dedup.deduplicate(t.page_items, order="item_no").select("item_no", "title", "link")
+    return dedup.deduplicate(feed.with_poll(t.page_items), order="item_no", batch=["poll"]).select("item_no", "title", "link")
 
 
-@query("ingest_events", "T12 U3")
+@query("ingest_events", "T12 U3", """SELECT id, item_no, source, ticker, impact_score FROM feed_events JOIN (SELECT item_no, source FROM items) AS i USING (item_no) JOIN kept_items USING (item_no)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY poll, item_no) = 1""", "impact_score")
 def _(t):
-    e = feed.process_items(t.items, AS_OF, "item_no")
-    return e.select("id", "item_no", "source", "ticker", "impact_score")
+    e = feed.process_items(feed.with_poll(t.items), AS_OF, "item_no", ["poll"])
+    return first_per_key(e, ["id"], [c("poll"), c("item_no")]).select("id", "item_no", "source", "ticker", "impact_score")
 
 
 # ---- prompts and responses ----------------------------------------------------------------------

@@ -10,6 +10,7 @@ from barframe.functions.dates import exchange_date, parse_exchange_time
 from barframe.functions.filings import parse_action
 from barframe.functions.numbers import parse_number
 from barframe.functions.text import strip_html
+from barframe.sources.sinks import first_per_key
 
 c = F.col
 NO_STRIKE, NO_TYPE = -1.0, "FUT"
@@ -56,7 +57,7 @@ def equity_eod(spark: SparkSession, path, date: Column | None = None, extra: lis
     )
     return rows.where((c("ticker") != "") & c("date").isNotNull()).dropna(
         subset=["open", "high", "low", "close", "volume"]
-    ).dropDuplicates(["ticker", "date"])
+    ).transform(first_per_key, ["ticker", "date"])
 
 
 def index_eod(spark: SparkSession, path, date: Column | None = None, extra: list[str] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def index_eod(spark: SparkSession, path, date: Column | None = None, extra: list
         F.upper(F.trim("Index Name")).alias("index_name"), (file_date(c("_file")) if date is None else date).alias("date"),
         num("Closing Index Value").alias("close"), num("Change(%)").alias("pct_change"),
         num("Open Index Value").alias("open"), num("High Index Value").alias("high"), num("Low Index Value").alias("low"),
-    ).where((c("index_name") != "") & c("close").isNotNull()).dropDuplicates(["index_name", "date"])
+    ).where((c("index_name") != "") & c("close").isNotNull()).transform(first_per_key, ["index_name", "date"])
 
 
 def backfill_index_ohlc(index_prices: DataFrame, ohlc: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def instrument_master(spark: SparkSession, path) -> DataFrame:
     raw = _csv(spark, path, MASTER_COLUMNS)
     return raw.where((c("SERIES") == "EQ") & (c("SYMBOL") != "")).select(
         c("SYMBOL").alias("ticker"), F.coalesce("NAME OF COMPANY", "SYMBOL").alias("name")
-    ).dropDuplicates(["ticker"])
+    ).transform(first_per_key, ["ticker"])
 
 
 def _item(source, title, link, snippet, published) -> list[Column]:
@@ -191,7 +192,7 @@ def corporate_actions(raw: DataFrame) -> DataFrame:
         F.trim("symbol").alias("ticker"), exchange_date(parse_exchange_time("exDate")).alias("ex_date"),
         F.trim("subject").alias("subject"), kind.alias("action_type"), factor.alias("adj_factor"),
         F.to_json(F.struct(*fields)).alias("raw"),
-    ).where((c("ticker") != "") & c("ex_date").isNotNull() & (c("subject") != "")).dropDuplicates(["ticker", "ex_date", "subject"])
+    ).where((c("ticker") != "") & c("ex_date").isNotNull() & (c("subject") != "")).transform(first_per_key, ["ticker", "ex_date", "subject"])
 
 
 def derivatives_eod(spark: SparkSession, path, symbols: list[str] | None = None, include_untraded: bool = False) -> DataFrame:
@@ -212,7 +213,7 @@ def derivatives_eod(spark: SparkSession, path, symbols: list[str] | None = None,
         lng("OpnIntrst").alias("oi"), lng("ChngInOpnIntrst").alias("chg_oi"), lng("TtlTradgVol").alias("volume"),
         dbl("TtlTrfVal").alias("turnover"), lng("TtlNbOfTxsExctd").alias("n_trades"), lng("NewBrdLotQty").cast("int").alias("lot_size"),
     )
-    return rows.dropDuplicates(["trade_date", "ticker", "expiry", "strike", "option_type"])
+    return rows.transform(first_per_key, ["trade_date", "ticker", "expiry", "strike", "option_type"])
 
 
 INTRADAY_SCHEMA = "ticker string, ts string, interval string, open double, high double, low double, close double, volume double"
@@ -224,7 +225,7 @@ def intraday_bars(raw: DataFrame, source: str) -> DataFrame:
     return raw.dropna(subset=prices).select(
         "ticker", "interval", F.try_to_timestamp("ts").alias("ts"), *prices,
         F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)).cast("long").alias("volume"), F.lit(source).alias("source"),
-    ).where(c("ts").isNotNull()).dropDuplicates(["ticker", "interval", "ts"])
+    ).where(c("ts").isNotNull()).transform(first_per_key, ["ticker", "interval", "ts"])
 
 
 ORDER_VALUE_SCHEMA = "seq_id string, symbol string, status string, value_cr double, confidence string, n_candidates int, evidence string"

@@ -65,18 +65,33 @@ def _batches(spark: SparkSession, table: str) -> list[str]:
     return [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and done(s.getPath())]
 
 
-def insert_new(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One row per key, the first by ``order``; ties, and no order at all, are settled by the rows' own content.
+
+    A retried task so keeps the same row.
+    """
+    body = [x for x in df.columns if x not in keys]
+    if not body:
+        return df.distinct()
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order or [])], F.to_json(F.struct(*body)).alias("content"))
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*body), rank).alias("r")).select(*keys, "r.*").select(*df.columns)
+
+
+def insert_new(df: DataFrame, table: str, keys: list[str], batch_id: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """Insert rows whose key is absent; returns exactly the rows that were new.
 
     The fresh rows are written once under the table and then read back, so what is returned
-    is what is stored. Older files are never touched.
+    is what is stored. Older files are never touched. A batch named by ``batch_id`` that is
+    already there is not written again: its rows are returned as they were.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
+    batch = f"{table}/rows/b-{batch_id or uuid.uuid4().hex}"
     known = _batches(spark, table)
+    if any(k.endswith(f"/b-{batch_id}") for k in known):
+        return spark.read.schema(df.schema).parquet(batch)
+    fresh = first_per_key(df, keys, order)
     if known:
         fresh = fresh.join(spark.read.schema(df.schema).parquet(*known).select(*keys), keys, "left_anti")
-    batch = f"{table}/rows/b-{uuid.uuid4().hex}"
     fresh.write.mode("overwrite").parquet(batch)
     return spark.read.schema(df.schema).parquet(batch)
 
@@ -88,7 +103,7 @@ def read_inserted(spark: SparkSession, table: str) -> DataFrame:
 def upsert(df: DataFrame, table: str, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
     """Insert or update on key. ``newest``: rank inside ``df`` when a key repeats (greatest wins)."""
     spark = df.sparkSession
-    new = newest_per_key(df, keys, newest) if newest else df.dropDuplicates(keys)
+    new = newest_per_key(df, keys, newest) if newest else first_per_key(df, keys)
     old = read_table(spark, table)
     if old is not None:
         kept = old.join(new.select(*keys), keys, "left_anti")

@@ -43,13 +43,15 @@ def poll_feeds(
     ``every`` (such as "15 minutes") keeps polling; without it, what has landed is processed.
     """
 
-    def handle(batch: DataFrame, _epoch: int) -> None:
+    def handle(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
         now = as_of or batch.agg(F.max("published_at")).first()[0]
-        fresh = insert_new(process_items(batch, now, "item_no"), events_table, ["id"])
+        # Both writes carry the epoch's number: if the first was done when the run died, the replay
+        # finds its rows again, and the alerts are made from the same fresh events.
+        fresh = insert_new(process_items(batch, now, "item_no"), events_table, ["id"], f"epoch-{epoch}")
         hot = fresh.where(c("impact_score") >= min_alert)
-        insert_new(hot.select("id", "impact_score", "ticker", "title", "link", "published_at"), alerts_table, ["id"])
+        insert_new(hot.select("id", "impact_score", "ticker", "title", "link", "published_at"), alerts_table, ["id"], f"epoch-{epoch}")
 
     return _start(items, handle, checkpoint_dir, every)
 
@@ -62,12 +64,13 @@ def unseen_items(items: DataFrame, id_col: str = "id", ts: str = "published_at",
 def rolling_capture(raw: DataFrame, bars_table: str, checkpoint_dir: str, source: str = "capture", every: str | None = None) -> StreamingQuery:
     """Overlapping re-reads of recent bars; repeats are absorbed by the key."""
 
-    def handle(batch: DataFrame, _epoch: int) -> None:
-        insert_new(intraday_bars(batch, source), bars_table, ["ticker", "interval", "ts"])
+    def handle(batch: DataFrame, epoch: int) -> None:
+        insert_new(intraday_bars(batch, source), bars_table, ["ticker", "interval", "ts"], f"epoch-{epoch}")
 
     return _start(raw, handle, checkpoint_dir, every)
 
 
 def within_days(events: DataFrame, as_of, days: int, ts: str = "published_at") -> DataFrame:
-    """Recency look-back against a fixed moment."""
-    return events.where(c(ts) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    """Recency look-back from a fixed moment: the ``days`` up to it, nothing after it."""
+    now = F.lit(as_of).cast("timestamp")
+    return events.where((c(ts) >= now - F.make_dt_interval(F.lit(days))) & (c(ts) <= now))

@@ -142,8 +142,7 @@ def sequential_dedup(items):
     return {o for o, _ in kept}
 
 
-@pytest.mark.parametrize("budget,first", [(20_000_000, 4096), (300, 8)])
-def test_dedup_equals_sequential(spark, budget, first):
+def test_dedup_equals_sequential(spark):
     rnd = random.Random(7)
     words = "order win solar power crore project railway metro board results merger bank rate cut wind energy".split()
     items = []
@@ -161,8 +160,11 @@ def test_dedup_equals_sequential(spark, budget, first):
     df = spark.createDataFrame(items, "n long, title string, link string")
     norm = df.select("n", T.normalize_text("title").alias("t"), T.normalize_url("link").alias("u")).collect()
     want = sequential_dedup([(r.n, r.t, r.u) for r in norm])
-    got = {r.n for r in dedup.deduplicate(df, order="n", pair_budget=budget, first_slice=first).collect()}
+    got = {r.n for r in dedup.deduplicate(df, order="n").collect()}
     assert got == want
+    polls = [sequential_dedup([(r.n, r.t, r.u) for r in norm if r.n % 3 == p]) for p in range(3)]
+    got = {r.n for r in dedup.deduplicate(df.withColumn("poll", F.col("n") % 3), order="n", batch=["poll"]).collect()}
+    assert got == set().union(*polls)
 
 
 def test_dedup_reference_cases(spark):

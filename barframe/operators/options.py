@@ -14,6 +14,7 @@ from barframe.functions.filings import parse_contract_symbol
 from barframe.functions.numbers import right_closed_bins
 from barframe.operators.reports import win_pct
 from barframe.operators.sessions import bind, rolling_mean, rolling_percentile, rolling_rank
+from barframe.session import cut
 
 MIN_TTE = 1.0 / 365.0
 CONTRACT = ["ticker", "expiry", "strike", "option_type"]
@@ -174,6 +175,7 @@ def surface_coverage(ranked: DataFrame) -> DataFrame:
         F.min("atm_iv").alias("min_atm"), F.max("atm_iv").alias("max_atm"), F.count("vix").alias("vix_days"),
         F.when(F.count("vix") > 3, F.corr(c("atm_iv") * 100.0, "vix")).alias("corr_vix"),
     )
+    ranked = cut(ranked.select("ticker", "atm_iv", "skew_25d", "term_slope"), "surface-ranks")
     for name, col in (("median_atm", "atm_iv"), ("median_skew", "skew_25d"), ("median_slope", "term_slope")):
         stats = with_quantiles(stats, exact_quantiles(ranked, ["ticker"], col, {name: 0.5}), ["ticker"])
     return stats

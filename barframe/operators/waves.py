@@ -114,10 +114,10 @@ def random_control(
 ) -> DataFrame:
     """Same mechanics on a repeatable 1-in-``share`` draw of liquid days, both directions.
 
-    The draw hashes the bar's key, so a rerun or a lost task picks the same days.
+    The draw takes the md5 of the bar's key below a bound, so a rerun or a lost task picks the same days.
     """
     picks = session_helpers(adj).where(c("t20") >= min_turnover).where(
-        F.pmod(F.crc32(F.concat_ws("|", "ticker", c("date").cast("string"))), F.lit(share)) == 0
+        F.substring(F.md5(F.concat_ws("|", "ticker", c("date").cast("string"))), 1, 4) < f"{65536 // share:04x}"
     )
     both = picks.select(
         "ticker", c("date").alias("pick_date"), (c("sn") + 1).alias("entry_sn"),

@@ -9,7 +9,7 @@ from barframe.functions.filings import parse_contract_symbol
 from barframe.operators import options, regime, reports
 from barframe.plans import q_bars  # noqa: F401
 from barframe.plans.registry import define, query
-from barframe.plans.sql_twins import CTES
+from barframe.plans.sql_twins import CTES, ncdf
 
 c = F.col
 DAY = "ticker, trade_date, expiry"
@@ -35,18 +35,30 @@ define("iv_in", f"""SELECT c.*, forward, (expiry - trade_date) / 365e0 AS tte, e
     ln(forward / strike) AS lf, sqrt((expiry - trade_date) / 365e0) AS st FROM chain c JOIN forwards_traded USING ({DAY}) WHERE volume >= 300 AND close > 0 AND expiry > trade_date""")
 define("iv_ok", "SELECT * FROM iv_in WHERE close > df * greatest(0e0, side * (forward - strike)) + 5e-2")
 
-@query("option_implied_vol", "D2 X13 X14 X15 X11")
+
+
+# The root: sixty halvings, each keeping the lower end. A list of one element binds a name.
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+_UNIT = "side * df * (forward * {0} - strike * {1})"
+_PRICE = _let("d", "(lf + 5e-1 * m * m * tte) / greatest(m * st, 1e-12)", _let("y", "side * d", _let("z", "side * (d - greatest(m * st, 1e-12))", _UNIT.format(ncdf("y"), ncdf("z")))))
+_HALF = "[5e-3] || [4.995e0 / pow(2e0, i) FOR i IN range(1, 61)]"
+define("iv_fit", f"SELECT *, list_reduce({_HALF}, lambda lo, w: {_let('m', 'lo + w', f'CASE WHEN {_PRICE} < close THEN m ELSE lo END')}) + 4.995e0 / pow(2e0, 61) AS iv FROM iv_ok")
+define("iv_all", f"""SELECT ticker, expiry, strike, option_type, trade_date, close, underlying, forward, tte, iv, side * df * {ncdf('side * d1')} AS delta, strike / forward - 1e0 AS moneyness
+    FROM (SELECT *, (lf + 5e-1 * iv * iv * tte) / greatest(iv * st, 1e-12) AS d1 FROM iv_fit WHERE iv > 5e-3 * 1.01e0 AND iv < 5e0 * 0.99e0)""")
+
+
+@query("option_implied_vol", "D2 X13 X14 X15 X11", "SELECT * FROM iv_all", "strike close underlying forward tte iv delta moneyness")
 def _(t):
     return options.option_iv(t.chain, 300)
 
 
-# The round trip needs no root finder on the SQL side: each contract was priced at a known
-# volatility and forward, so pricing at the recovered one must give the price back.
-@query("implied_vol_round_trip", "D2 X14", "SELECT ticker, trade_date, expiry, strike, option_type, close AS repriced FROM iv_ok WHERE close > df * greatest(0e0, side * (forward - strike)) + 1.0013e0", "repriced", digits=2)
+# Pricing at the recovered volatility must give the price back.
+@query("implied_vol_round_trip", "D2 X14", "SELECT ticker, trade_date, expiry, strike, option_type, close AS repriced FROM iv_all", "repriced", digits=2)
 def _(t):
     rows, call = options.option_iv(t.chain, 300), c("option_type") == "CE"
-    # Contracts with some time value; for the others price hardly depends on volatility.
-    rows = rows.where(c("close") > M.discount(c("tte")) * M.intrinsic(c("forward"), c("strike"), call) + 1.0013)
     return M.with_black76(rows, "repriced", c("forward"), c("strike"), c("tte"), c("iv"), call, M.discount(c("tte"))).select(
         "ticker", "trade_date", "expiry", "strike", "option_type", "repriced")
 
@@ -60,7 +72,43 @@ def _(t):
         M.out_of_the_money_pct(c("strike"), c("underlying"), call).alias("otm"), M.half_spread(c("close")).alias("half_spread"))
 
 
-@query("iv_surface", "D3 X16 J12")
+def _interpolated(src: str, keys: str) -> str:
+    """y at the target t of (x, y, t) by the two points around it."""
+    return f"""SELECT {keys}, CASE WHEN n >= 2 AND lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN lo = hi THEN ylo ELSE ylo + (yhi - ylo) / (hi - lo) * (t - lo) END END AS y FROM (
+    SELECT {keys}, count(*) AS n, max(t) AS t, max(x) FILTER (WHERE x <= t) AS lo, min(x) FILTER (WHERE x >= t) AS hi,
+    arg_max(y, x) FILTER (WHERE x <= t) AS ylo, arg_min(y, x) FILTER (WHERE x >= t) AS yhi FROM ({src}) GROUP BY {keys})"""
+
+
+define("sf_exp", f"""SELECT *, row_number() OVER (PARTITION BY ticker, trade_date ORDER BY expiry) AS rk FROM (
+    SELECT {DAY}, count(*) AS n_rows, count(DISTINCT strike) AS n_strikes, max(forward) AS forward, max(underlying) AS spot FROM iv_all GROUP BY {DAY})""")
+define("sf_atm", _interpolated(f"SELECT {DAY}, strike AS x, avg(iv) AS y, max(forward) AS t FROM iv_all GROUP BY {DAY}, strike", DAY))
+for _leg, _type, _at in (("sf_put", "PE", "-0.25e0"), ("sf_call", "CE", "0.25e0")):
+    define(_leg, _interpolated(f"SELECT ticker, trade_date, delta AS x, avg(iv) AS y, {_at} AS t FROM iv_all JOIN (SELECT {DAY} FROM sf_exp WHERE rk = 1 AND n_rows >= 4) USING ({DAY}) WHERE option_type = '{_type}' GROUP BY ALL", "ticker, trade_date"))
+define("surface_days", f"""SELECT f.ticker, f.trade_date, f.spot, f.expiry AS front_expiry, x.expiry AS next_expiry, f.forward, (f.expiry - f.trade_date)::BIGINT AS dte, a.y AS atm_iv,
+    CASE WHEN x.n_rows >= 4 THEN b.y END AS next_atm_iv, CASE WHEN a.y <> 0 THEN CASE WHEN x.n_rows >= 4 THEN b.y END - a.y END AS term_slope, p.y - k.y AS skew_25d, f.n_strikes
+    FROM sf_exp f JOIN sf_atm a ON (a.ticker, a.trade_date, a.expiry) = (f.ticker, f.trade_date, f.expiry)
+    LEFT JOIN sf_exp x ON x.ticker = f.ticker AND x.trade_date = f.trade_date AND x.rk = 2 LEFT JOIN sf_atm b ON (b.ticker, b.trade_date, b.expiry) = (x.ticker, x.trade_date, x.expiry)
+    LEFT JOIN sf_put p ON p.ticker = f.ticker AND p.trade_date = f.trade_date LEFT JOIN sf_call k ON k.ticker = f.ticker AND k.trade_date = f.trade_date
+    WHERE f.rk = 1 AND f.n_rows >= 4 AND a.y IS NOT NULL""")
+_sd = "spot forward atm_iv next_atm_iv term_slope skew_25d"
+
+
+def _back(n: int, by: str = "PARTITION BY ticker ORDER BY trade_date") -> str:
+    return f"({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _rank(x: str, n: int, over: str) -> str:
+    return f"CASE WHEN count({x}) OVER {over} = {n} THEN ({x} - min({x}) OVER {over}) / nullif(max({x}) OVER {over} - min({x}) OVER {over}, 0) END"
+
+
+define("vix_days", f"""SELECT date, close AS vix, close - lag(close) OVER (ORDER BY date) AS vix_chg_1d, CASE WHEN count(close) OVER {_back(5, 'ORDER BY date')} = 5 THEN avg(close) OVER {_back(5, 'ORDER BY date')} END AS vix_ma5,
+    CASE WHEN count(close) OVER {_back(20, 'ORDER BY date')} = 20 THEN avg(close) OVER {_back(20, 'ORDER BY date')} END AS vix_ma20 FROM vix_x""")
+define("surface_ranked", f"""SELECT s.*, v.* EXCLUDE (date) FROM (SELECT * EXCLUDE (earlier), CASE WHEN len(earlier) = 251 THEN 1e2 * len(list_filter(earlier, lambda x: x <= atm_iv)) / 251e0 END AS iv_pctile_252 FROM (
+    SELECT *, {_rank('atm_iv', 20, _back(20))} AS iv_rank_20d, {_rank('atm_iv', 60, _back(60))} AS iv_rank_60d,
+    list(atm_iv) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING) AS earlier FROM surface_days)) s LEFT JOIN vix_days v ON v.date = s.trade_date""")
+
+
+@query("iv_surface", "D3 X16", "SELECT * FROM surface_days", _sd)
 def _(t):
     return options.daily_surface(options.option_iv(t.chain, 300))
 
@@ -85,12 +133,14 @@ def stored_surface(t):
     return t.stored("surface", build)
 
 
-@query("iv_ranks", "D4 W7 W8 W9")
+@query("iv_ranks", "D4 W7 W8 W9", "SELECT * FROM surface_ranked", f"{_sd} iv_rank_20d iv_rank_60d iv_pctile_252 vix vix_chg_1d vix_ma5 vix_ma20")
 def _(t):
     return stored_surface(t)
 
 
-@query("surface_coverage", "D5 A16")
+@query("surface_coverage", "D5 A16", """SELECT ticker, count(*) AS sessions, min(trade_date) AS first_date, max(trade_date) AS last_date, min(atm_iv) AS min_atm, max(atm_iv) AS max_atm, count(vix) AS vix_days,
+    CASE WHEN count(vix) > 3 THEN corr(atm_iv * 1e2, vix) END AS corr_vix, quantile_cont(atm_iv, 0.5) AS median_atm, quantile_cont(skew_25d, 0.5) AS median_skew, quantile_cont(term_slope, 0.5) AS median_slope FROM surface_ranked GROUP BY 1""",
+       "min_atm max_atm corr_vix median_atm median_skew median_slope")
 def _(t):
     return options.surface_coverage(stored_surface(t))
 
@@ -204,18 +254,19 @@ def _r(n):
 _lv = lambda x, cuts: f"CASE WHEN {x} IS NULL THEN NULL " + " ".join(f"WHEN {x} < {e} THEN '{n}'" for e, n in cuts) + " ELSE 'crisis' END"
 define("reg0", f"""SELECT *, 1e2 * (open / prev - 1e0) AS open_gap_pct, 1e2 * (high - low) / prev AS range_pct, ln(close / prev) AS lr FROM (
     SELECT e.ticker AS underlier, e.date, e.open, e.high, e.low, e.close, v.close AS vix, lag(e.close) OVER (PARTITION BY e.ticker ORDER BY e.date) AS prev FROM eod_x e JOIN vix_x v ON v.date = e.date)""")
-define("reg1", f"""SELECT *, sum(CASE WHEN rise THEN 0 ELSE 1 END) OVER {_W} AS isle FROM (SELECT *, coalesce(vix > vix_prev, FALSE) AS rise FROM (SELECT *, lag(vix) OVER {_W} AS vix_prev FROM reg0))""")
+define("reg1", f"""SELECT *, list(vix) OVER (PARTITION BY underlier ORDER BY date ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING) AS earlier, sum(CASE WHEN rise THEN 0 ELSE 1 END) OVER {_W} AS isle FROM (SELECT *, coalesce(vix > vix_prev, FALSE) AS rise FROM (SELECT *, lag(vix) OVER {_W} AS vix_prev FROM reg0))""")
+define("reg2", "SELECT *, CASE WHEN len(earlier) = 251 THEN 1e2 * len(list_filter(earlier, lambda x: x <= vix)) / 251e0 END AS vix_pctile_252 FROM reg1")
 define("reg", f"""SELECT date, underlier, close, open_gap_pct, abs(open_gap_pct) >= 0.6e0 AS open_expansion, range_pct, range_pct >= 0.8e0 OR abs(open_gap_pct) >= 0.6e0 AS expansion_or, range_pct >= 0.8e0 AND abs(open_gap_pct) >= 0.6e0 AS expansion_and,
     vix AS vix_close, vix_prev, CASE WHEN count(vix) OVER {_r(5)} = 5 THEN avg(vix) OVER {_r(5)} END AS vix_ma5, CASE WHEN count(vix) OVER {_r(20)} = 20 THEN avg(vix) OVER {_r(20)} END AS vix_ma20,
     vix - lag(vix, 5) OVER {_W} AS vix_delta_5d, (row_number() OVER (PARTITION BY underlier, isle ORDER BY date) - 1)::BIGINT AS vix_up_streak,
     CASE WHEN count(vix) OVER {_r(20)} = 20 THEN 1e2 * (vix - min(vix) OVER {_r(20)}) / nullif(max(vix) OVER {_r(20)} - min(vix) OVER {_r(20)}, 0) END AS vix_rank_20d,
-    {_lv('vix', regime.LEVELS_FIXED)} AS regime_level_fixed, CASE WHEN vix > vix_prev THEN 'rising' WHEN vix < vix_prev THEN 'falling' ELSE 'flat' END AS regime_dir,
+    1e2 * {_rank('vix', 60, _r(60))} AS vix_rank_60d, vix_pctile_252, {_lv('vix', regime.LEVELS_FIXED)} AS regime_level_fixed, {_lv('vix_pctile_252', regime.LEVELS_PCT)} AS regime_level_pct, CASE WHEN vix > vix_prev THEN 'rising' WHEN vix < vix_prev THEN 'falling' ELSE 'flat' END AS regime_dir,
     CASE WHEN count(lr) OVER {_r(20)} = 20 THEN stddev_samp(lr) OVER {_r(20)} * sqrt(252e0) * 1e2 END AS rv20_hist,
     CASE WHEN count(lr) OVER nx = 20 THEN stddev_samp(lr) OVER nx * sqrt(252e0) * 1e2 END AS fwd_rv20, abs(1e2 * (lead(close) OVER {_W} / close - 1e0)) AS fwd_abs_1,
     abs(1e2 * (lead(close, 5) OVER {_W} / close - 1e0)) AS fwd_abs_5, 1e2 * (lead(close, 5) OVER {_W} / close - 1e0) AS fwd_ret_5, lead(vix, 5) OVER {_W} - vix AS fwd_vix_chg_5
-    FROM reg1 WINDOW nx AS (PARTITION BY underlier ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) QUALIFY range_pct IS NOT NULL""")
-_rd = "close open_gap_pct range_pct vix_close vix_prev vix_ma5 vix_ma20 vix_delta_5d vix_rank_20d rv20_hist fwd_rv20 fwd_abs_1 fwd_abs_5 fwd_ret_5 fwd_vix_chg_5"
-_rc = "date underlier close open_gap_pct open_expansion range_pct expansion_or expansion_and vix_close vix_prev vix_ma5 vix_ma20 vix_delta_5d vix_up_streak vix_rank_20d regime_level_fixed regime_dir rv20_hist fwd_rv20 fwd_abs_1 fwd_abs_5 fwd_ret_5 fwd_vix_chg_5".split()
+    FROM reg2 WINDOW nx AS (PARTITION BY underlier ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) QUALIFY range_pct IS NOT NULL""")
+_rd = "close open_gap_pct range_pct vix_close vix_prev vix_ma5 vix_ma20 vix_delta_5d vix_rank_20d vix_rank_60d vix_pctile_252 rv20_hist fwd_rv20 fwd_abs_1 fwd_abs_5 fwd_ret_5 fwd_vix_chg_5"
+_rc = "date underlier close open_gap_pct open_expansion range_pct expansion_or expansion_and vix_close vix_prev vix_ma5 vix_ma20 vix_delta_5d vix_up_streak vix_rank_20d vix_rank_60d vix_pctile_252 regime_level_fixed regime_level_pct regime_dir rv20_hist fwd_rv20 fwd_abs_1 fwd_abs_5 fwd_ret_5 fwd_vix_chg_5".split()
 
 
 def regime_table(t):
@@ -228,11 +279,19 @@ def _(t):
     return regime_table(t).select(*_rc)
 
 
-@query("regime_with_surface", "R1 J12")
-def _(t):
+define("reg_iv", """SELECT r.*, 1e2 * s.atm_iv AS atm_iv, 1e2 * s.iv_rank_20d AS iv_rank_20d, 1e2 * s.skew_25d AS skew_25d, 1e2 * s.term_slope AS term_slope, 1e2 * s.atm_iv - rv20_hist AS vrp_hist, 1e2 * s.atm_iv - fwd_rv20 AS fwd_vrp
+    FROM reg r LEFT JOIN surface_ranked s ON s.ticker = r.underlier AND s.trade_date = r.date""")
+
+
+def regime_with_surface(t):
     bars = t.eod_x.select(c("ticker").alias("underlier"), "date", "open", "high", "low", "close")
     s = stored_surface(t).withColumnsRenamed({"ticker": "underlier", "trade_date": "date"})
-    return regime.regime_daily(bars, t.vix_x.select("date", c("close").alias("vix")), s)
+    return t.stored("regime_iv", lambda: regime.regime_daily(bars, t.vix_x.select("date", c("close").alias("vix")), s))
+
+
+@query("regime_with_surface", "R1 J12", "SELECT * FROM reg_iv", f"{_rd} atm_iv iv_rank_20d skew_25d term_slope vrp_hist fwd_vrp", digits=6)
+def _(t):
+    return regime_with_surface(t)
 
 
 define("reg_cells", """SELECT r.*, unnest(list_filter([CASE WHEN expansion_and AND regime_dir = 'rising' THEN 'expansion + VIX rising' END, CASE WHEN expansion_and AND regime_dir = 'falling' THEN 'expansion + VIX falling' END,
@@ -244,9 +303,9 @@ def _(t):
     return regime.contingency(regime_table(t))
 
 
-@query("regime_levels", "R2 A14", "SELECT regime_level_fixed AS level, 'regime_level_fixed' AS scheme, count(*) AS n, avg(fwd_abs_5) AS abs5, avg(fwd_vix_chg_5) AS vix_chg FROM reg GROUP BY 1", "abs5 vix_chg")
+@query("regime_levels", "R2 A14 P12", " UNION ALL ".join(f"SELECT {s} AS level, '{s}' AS scheme, count(*) AS n, avg(fwd_abs_5) AS abs5, avg(fwd_vix_chg_5) AS vix_chg FROM reg WHERE {s} IS NOT NULL GROUP BY 1" for s in ("regime_level_fixed", "regime_level_pct")), "abs5 vix_chg")
 def _(t):
-    return regime.level_means(regime_table(t)).where("scheme = 'regime_level_fixed'")
+    return regime.level_means(regime_table(t))
 
 
 @query("feature_quartiles", "R2 A15", """SELECT CASE WHEN rv20_hist <= q1 THEN 'Q1' WHEN rv20_hist <= q2 THEN 'Q2' WHEN rv20_hist <= q3 THEN 'Q3' ELSE 'Q4' END AS quartile, count(*) AS n, avg(fwd_rv20) AS mean_outcome FROM reg,
@@ -255,9 +314,9 @@ def _(t):
     return regime.quartile_means(regime_table(t), "rv20_hist", "fwd_rv20")
 
 
-@query("volatility_premium", "R2", "SELECT measure, count(*) AS n, avg(x) AS mean, 1e2 * avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END) AS positive_pct, quantile_cont(x, 0.5) AS median FROM (SELECT unnest(['rv20_hist', 'fwd_rv20']) AS measure, unnest([rv20_hist, fwd_rv20]) AS x FROM reg WHERE rv20_hist IS NOT NULL AND fwd_rv20 IS NOT NULL) GROUP BY 1", "mean positive_pct median")
+@query("volatility_premium", "R2", "SELECT measure, count(*) AS n, avg(x) AS mean, 1e2 * avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END) AS positive_pct, quantile_cont(x, 0.5) AS median FROM (SELECT unnest(['vrp_hist', 'fwd_vrp']) AS measure, unnest([vrp_hist, fwd_vrp]) AS x FROM reg_iv WHERE vrp_hist IS NOT NULL AND fwd_vrp IS NOT NULL) GROUP BY 1", "mean positive_pct median")
 def _(t):
-    return regime.premium_summary(regime_table(t), ("rv20_hist", "fwd_rv20"))
+    return regime.premium_summary(regime_with_surface(t))
 
 
 @query("entry_eligibility", "R3", """SELECT date, underlier, CASE WHEN NOT expansion_or THEN 'skip' WHEN regime_dir = 'rising' OR coalesce(vix_close > vix_ma5, FALSE) THEN 'eligible' ELSE 'small' END AS decision,
@@ -266,14 +325,13 @@ def _(t):
     return regime.entry_eligibility(regime_table(t)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-define("ov", """SELECT r.*, w.weight FROM (SELECT * FROM reg WHERE underlier = 'BRB') r LEFT JOIN cand_dates w USING (date)
-    WHERE date BETWEEN (SELECT min(date) FROM cand_dates JOIN reg USING (date) WHERE underlier = 'BRB') AND (SELECT max(date) FROM cand_dates JOIN reg USING (date) WHERE underlier = 'BRB')""")
+define("ov", """SELECT r.*, w.weight FROM reg r LEFT JOIN cand_dates w USING (date)
+    WHERE date BETWEEN (SELECT min(date) FROM cand_dates JOIN reg USING (date)) AND (SELECT max(date) FROM cand_dates JOIN reg USING (date))""")
 
 
 @query("regime_overlay", "D11 A17", """SELECT facet, value, 1e2 * w / tw AS share_pct, 1e2 * n / tn AS base_pct, (1e2 * w / tw) / (1e2 * n / tn) AS lift FROM (
     SELECT facet, value, coalesce(sum(weight), 0e0) AS w, count(*) AS n FROM (SELECT weight, unnest(['expansion_and', 'regime_dir']) AS facet, unnest([CAST(expansion_and AS VARCHAR), regime_dir]) AS value FROM ov) WHERE value IS NOT NULL AND value <> 'false' GROUP BY 1, 2),
     (SELECT sum(weight) AS tw, count(*) AS tn FROM ov)""", "share_pct base_pct lift")
 def _(t):
-    one = regime_table(t).where("underlier = 'BRB'")
     w = options.candidate_session_weights(resolved(t), t.chain)
-    return reports.weighted_shares(w, one, ["expansion_and"], ["regime_dir"])
+    return reports.weighted_shares(w, regime_table(t), ["expansion_and"], ["regime_dir"])

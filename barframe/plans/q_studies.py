@@ -180,7 +180,9 @@ def _(t):
     return fades(t)
 
 
-@query("random_control", "V4 J15")
+@query("random_control", "V4 J15", f"""SELECT ticker, pick_date, direction, {_open_exc(5)} AS exc_5 FROM (
+    SELECT s.ticker, s.date AS pick_date, s.sn, unnest(['long', 'short']) AS direction FROM sess s WHERE s.t20 >= 5e7 AND substr(md5(s.ticker || '|' || CAST(s.date AS VARCHAR)), 1, 4) < '{65536 // 10:04x}') p
+    JOIN fwd e USING (ticker) JOIN bfwd n ON n.date = e.date WHERE e.sn = p.sn + 1 AND e.t20 IS NOT NULL AND e.open > 0 AND n.open > 0""", "exc_5")
 def _(t):
     return waves.random_control(t.eod, t.index, share=10)
 

@@ -6,6 +6,7 @@ time, so a task holds a few megabytes of text and never a Python object for each
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done and written.
+
+    Spark drops a shuffle's files when the driver's garbage collector finds that nothing refers to it any
+    more. Between large steps that is asked for, so that the disk holds one step's files and not all.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

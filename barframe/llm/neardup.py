@@ -9,8 +9,8 @@ known. What may reach the threshold by it is confirmed on the full sets.
 
 Work within buckets stays linear while it can: first all members meet one pivot, then the member that is most
 like a pivot (the original of a family of copies); members that are linked by then need no further test.
-Members of a bucket that are still apart are compared in blocks of sketches, all of them, so no link that
-shares a bucket is lost; only pairs that pass the estimate become rows.
+Members of a bucket that are still apart are compared in blocks, all of them, so no link that shares a bucket
+is lost: sketches first, then the full sets of those that have a hopeful pair. A block yields links, not pairs.
 
 Recall: at similarity s a pair shares a bucket with 1 - (1 - s**ROWS) ** BANDS, 0.99999998 at 0.85, and the
 estimate lies within ``SIGMAS`` standard errors with 0.999997.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.common import BASE_2, U64, Words, chunks, free_name, map_arrow, mixed, signed, windows
+from barframe.llm.common import BASE_2, U64, Words, chunks, free_name, map_arrow, mixed, release, signed, windows
 from barframe.llm.components import components
 from barframe.session import cut
 
@@ -135,7 +135,7 @@ def _bands(batches):
             r = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U64)
             band = np.tile(np.arange(BANDS, dtype=U64), len(r))
             packed = (((r[:, :, 0] << U64(16) | r[:, :, 1]) << U64(16) | r[:, :, 2]) << U64(16) | r[:, :, 3]).ravel()
-            yield pa.record_batch([signed(mixed(packed + mixed(band + U64(1)))), pa.array(np.repeat(batch.column("key").to_numpy(), BANDS))], names=["band", "key"])
+            yield pa.record_batch([signed(mixed(packed + mixed(band + U64(1)))), pa.array(band.astype(np.int32)), pa.array(np.repeat(batch.column("key").to_numpy(), BANDS))], names=["band", "no", "key"])
 
 
 def _hopeful(percent: int):
@@ -152,43 +152,91 @@ def _hopeful(percent: int):
     return keep
 
 
-def _within_blocks(percent: int):
-    """Pairs of sketches that may be similar, of the members of one (bucket, block, block) after the other; rows come sorted by it."""
+def _groups(batches, columns: tuple[str, ...]):
+    """Runs of rows that agree in ``columns``, as tables; rows come sorted by them, a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy() for c in columns]
+        new = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in columns):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_BLOCK = ("band", "i", "j")
+
+
+def _apart_pairs(rows: pa.Table, percent: int, least: float) -> np.ndarray:
+    """Pairs of one (bucket, block, block) that may be similar and are in different components, the likeliest first.
+
+    A pair that meets in several buckets counts in the one of its first equal band only.
+    """
+    key, component, size, side, no = (rows.column(c).to_numpy() for c in ("key", "component", "n_shingles", "side", "no"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    out = [np.empty((0, 3))]
+    for part in np.array_split(left, -(-len(left) // 32)):
+        n, m = size[part][:, None], size[right][None, :]
+        apart = (component[part][:, None] != component[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        i, k = np.nonzero(apart & ((key[part][:, None] < key[right][None, :]) | (right is not left)))
+        for lot in np.array_split(np.arange(len(i)), -(-len(i) // 20_000) or 1):
+            x, y = part[i[lot]], right[k[lot]]
+            bands = (sketch[x] == sketch[y]).reshape(len(x), BANDS, ROWS).all(-1)
+            here = bands.argmax(-1) == no[0] if len(x) else np.empty(0, bool)
+            x, y = x[here], y[here]
+            if len(x):
+                near = estimate(sketch[x], sketch[y], size[x], size[y])
+                out.append(np.column_stack([x, y, near])[near >= least])
+    pairs = np.concatenate(out)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2].astype(np.int64)
+
+
+def _open_members(percent: int):
+    """The members that have such a pair; all others need not show their sets."""
     least = least_estimate(percent)
 
-    def compare(rows: pa.Table):
-        key, component, size, side = (rows.column(c).to_numpy() for c in ("key", "component", "n_shingles", "side"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        out = []
-        for part in np.array_split(left, -(-len(left) // 32)):
-            apart = component[part][:, None] != component[right][None, :]
-            n, m = size[part][:, None], size[right][None, :]
-            i, k = np.nonzero(apart & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((key[part][:, None] < key[right][None, :]) | (right is not left)))
-            for lot in np.array_split(np.arange(len(i)), -(-len(i) // 20_000) or 1):
-                x, y = part[i[lot]], right[k[lot]]
-                if len(x):
-                    good = estimate(sketch[x], sketch[y], size[x], size[y]) >= least
-                    out.append(np.column_stack([np.minimum(key[x], key[y])[good], np.maximum(key[x], key[y])[good]]))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+    def run(batches):
+        for rows in _groups(batches, _BLOCK):
+            needed = np.unique(_apart_pairs(rows, percent, least))
+            if len(needed):
+                yield from rows.select([*_BLOCK, "no", "side", "key", "component"]).take(pa.array(needed)).combine_chunks().to_batches()
+
+    return run
+
+
+def _links_within(percent: int):
+    """Links between components, confirmed on full sets. Two components that a link has joined are not tested again."""
+    least = least_estimate(percent)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
-            new = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1
-            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("band", "i", "j")):
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield compare(pa.Table.from_batches(held))
+        for rows in _groups(batches, _BLOCK):
+            key, component = rows.column("key").to_numpy(), rows.column("component").to_numpy()
+            sets = [np.asarray(x.values) for x in rows.column("shingles")]
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            links = []
+            for x, y in _apart_pairs(rows, percent, least):
+                p, q = top(int(component[x])), top(int(component[y]))
+                if p != q:
+                    both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(key[x]), int(key[y])))
+            if links:
+                yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], names=["a", "b"])
 
     return run
 
@@ -235,7 +283,7 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     able = sketched.where("doc_id is not null and n_shingles > 0")
     nodes = cut(able.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
                 .select("key", "key2", "f.*", "n_shingles", "sketch"), "near-all-nodes")
-    banded = map_arrow(nodes.select("key", "sketch"), _bands, "band long, key long")
+    banded = map_arrow(nodes.select("key", "sketch"), _bands, "band long, no int, key long")
     pivots = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
     buckets = cut(banded.join(pivots, "band"), "near-buckets")
     known = _Nodes(nodes, buckets, rows, percent)
@@ -252,9 +300,12 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = _apart(buckets, links, "near-apart-2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "component")
-    facing = dealt.join(known.nodes.select("key", "n_shingles", "sketch"), "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    links = links.unionByName(known.confirmed(map_arrow(facing, _within_blocks(percent), "a long, b long")))
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "no", (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "component")
+    sketches_ = known.nodes.select("key", "n_shingles", "sketch")
+    facing = dealt.join(sketches_, "key").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    open_ = cut(map_arrow(facing, _open_members(percent), "band long, i int, j int, no int, side int, key long, component long"), "near-open")
+    facing = open_.join(sketches_, "key").join(known.sets, "key").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    links = links.select("a", "b").unionByName(map_arrow(facing, _links_within(percent), "a long, b long"))
     groups = components(links.select("a", "b"), "near-groups").withColumnRenamed("id", "key")
     # A component is named by its smallest document.
     named = nodes.select("key", "key2", "doc_id").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -269,11 +320,19 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, one of each group; all columns as they are."""
+    """The documents, one of each group; all columns as they are.
+
+    Texts are moved once, to meet the ids that stay. Only ids that stand in several rows are gathered again.
+    """
     mark, spare = free_name(documents, "near_mark"), free_name(documents, "near_row")
-    keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("mark").alias("_mark")).distinct()
+    keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    keep = cut(keep.groupBy("doc_id").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias("_keep"), F.col("k.mark").alias("_mark"), F.col("k.n").alias("_rows")), "near-keep")
+    release(documents.sparkSession)
     marked = documents.withColumn(mark, F.xxhash64("text"))
-    with_id = marked.where("doc_id is not null")
-    left = with_id.join(keep, (with_id.doc_id.cast("long") == keep._keep) & (with_id[mark] == keep._mark)).drop("_keep", "_mark")
-    one = left.groupBy("doc_id").agg(F.min(F.struct(F.col(mark), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))).alias(spare)).select(f"{spare}.row.*")
-    return one.unionByName(marked.where("doc_id is null").drop(mark))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+
+    def staying(some: DataFrame) -> DataFrame:
+        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col("_keep")) & (F.col(mark) == F.col("_mark"))).select(*columns)
+
+    several = staying(keep.where("_rows > 1")).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
+    return staying(keep.where("_rows = 1")).unionByName(several).unionByName(marked.where("doc_id is null").select(*columns))

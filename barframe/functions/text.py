@@ -87,7 +87,7 @@ def titles_similar(norm_a: Column, norm_b: Column, threshold: float = FUZZY_THRE
     """Near-duplicate test on two *normalised* titles.
 
     Short titles must be equal. Longer ones may differ by ``threshold`` of the longer length;
-    the bound is handed to ``levenshtein`` so that it can stop early.
+    a difference of lengths above that settles it without a distance.
     """
     longest = F.greatest(F.length(norm_a), F.length(norm_b))
     distance = F.levenshtein(norm_a, norm_b)

@@ -80,20 +80,21 @@ def _slices(text: str, low: str, m: re.Match, unit_first: bool) -> tuple:
 def _find(batches: Iterator[pd.DataFrame], key: str, text_col: str) -> Iterator[pd.DataFrame]:
     names = [key] + [f.split()[0] for f in MENTION.split(", ")]
     for pdf in batches:
-        rows = []
         for k, text in zip(pdf[key], pdf[text_col]):
-            if not text:
-                continue
             low = text.lower()
-            for pattern, first in ((MONEY, False), (UNIT_FIRST, True)):
-                rows += [(k, *_slices(text, low, m, first)) for m in pattern.finditer(text)]
-        yield pd.DataFrame(rows, columns=names)
+            rows = [(k, *_slices(text, low, m, first)) for pattern, first in ((MONEY, False), (UNIT_FIRST, True)) for m in pattern.finditer(text)]
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
 
 def money_mentions(texts: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Every money mention with position and context; a pure map, no shuffle."""
+    """Every money mention with position and context; a pure map, no shuffle.
+
+    A mention needs a digit and a unit of money: texts without stay in the JVM.
+    """
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text_col).mapInPandas(
+    some = texts.select(key, text_col).where(c(text_col).rlike(r"\p{Nd}") & c(text_col).rlike("(?i)(" + "|".join(sorted({u[:2] for u in UNIT_CRORE})) + ")"))
+    return some.mapInPandas(
         lambda it: _find(it, key, text_col), f"`{key}` {kind}, {MENTION}"
     )
 

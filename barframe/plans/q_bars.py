@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from barframe.operators import feed, indicators, reports, screener, sessions
 from barframe.plans.registry import define, query
 from barframe.plans.tables import AS_OF, SINCE, SPLIT
+from barframe.session import scratch_path
+from barframe.sources.sinks import replace_partitions
 
 c = F.col
 W = "PARTITION BY ticker ORDER BY date"
@@ -222,8 +224,11 @@ def _catalyst_events(t):
     FROM day_hits h LEFT JOIN best_catalyst b USING (ticker)""", "roc20 catalyst_score")
 def _(t):
     h = indicators.indicator_history(t.eod)
-    out = screener.nightly(h, t.eod, _catalyst_events(t), "2000-06-05 00:00:00", "2000-06-05", 15)
-    return out.select("ticker", "date", "setup_name", "roc20", "catalyst_event_id", "catalyst_title", "catalyst_score")
+    path = scratch_path(t.spark, "candidates")
+    for _ in range(2):  # the job run twice for one date leaves one run's rows
+        out = screener.nightly(h, t.eod, _catalyst_events(t), "2000-06-05 00:00:00", "2000-06-05", 15)
+        replace_partitions(out.select("ticker", "date", "setup_name", "roc20", "catalyst_event_id", "catalyst_title", "catalyst_score"), path, ["date"])
+    return t.spark.read.schema("ticker string, setup_name string, roc20 double, catalyst_event_id string, catalyst_title string, catalyst_score double, date date").parquet(path)
 
 
 @query("candidate_list", "P3 P4 J3 J2", """SELECT h.ticker, h.date, h.setup_name, b.id AS catalyst_event_id, e.title AS catalyst_title, e.impact_score AS catalyst_score,

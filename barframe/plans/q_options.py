@@ -335,3 +335,9 @@ define("ov", """SELECT r.*, w.weight FROM reg r LEFT JOIN cand_dates w USING (da
 def _(t):
     w = options.candidate_session_weights(resolved(t), t.chain)
     return reports.weighted_shares(w, regime_table(t), ["expansion_and"], ["regime_dir"])
+
+
+@query("weighted_regime_mean", "A17", "SELECT sum(fwd_abs_5 * weight) / sum(CASE WHEN fwd_abs_5 IS NOT NULL THEN weight END) AS weighted_fwd_abs_5, avg(fwd_abs_5) AS mean_fwd_abs_5 FROM reg JOIN cand_dates USING (date)", "weighted_fwd_abs_5 mean_fwd_abs_5")
+def _(t):
+    w = options.candidate_session_weights(resolved(t), t.chain).groupBy("date").agg(F.sum("weight").alias("weight"))
+    return reports.weighted_mean(regime_table(t).join(w, "date"), "fwd_abs_5", "weight")

@@ -83,6 +83,18 @@ def _(t):
     return scans.filing_items(raw, AS_OF, "https://filings.example.com/none")
 
 
+@query("scan_filing_items_b", "S6", """SELECT 'bse' AS source, coalesce(company_name, 'BSE') || ': ' || coalesce(category, attachment_text) AS title,
+    CASE WHEN filing_no % 3 = 0 THEN 'https://b.example.com/none' ELSE 'https://b.example.com/' || filing_no || '.pdf' END AS link, attachment_text AS snippet,
+    CASE WHEN filing_no % 5 = 0 THEN TIMESTAMP '""" + AS_OF + """' ELSE announced_at END AS published_at FROM filings""")
+def _(t):
+    rows = t.filings.select(
+        F.when(c("filing_no") % 3 == 0, "").otherwise(F.concat(c("filing_no").cast("string"), F.lit(".pdf"))).alias("ATTACHMENTNAME"),
+        c("company_name").alias("SLONGNAME"), c("category").alias("NEWSSUB"), c("attachment_text").alias("HEADLINE"),
+        F.when(c("filing_no") % 5 == 0, "soon").otherwise(F.date_format("announced_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("NEWS_DT"))
+    raw = t.spark.read.schema("ATTACHMENTNAME string, SLONGNAME string, NEWSSUB string, HEADLINE string, NEWS_DT string").json(land(t, rows, "json"))
+    return scans.filing_items_b(raw, AS_OF, "https://b.example.com/", "https://b.example.com/none")
+
+
 def filing_json(t):
     stamp = F.date_format(F.from_utc_timestamp("announced_at", "Asia/Kolkata"), "dd-MMM-yyyy HH:mm:ss")
     return t.filings.select(

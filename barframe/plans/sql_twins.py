@@ -49,18 +49,19 @@ def ncdf(x: str) -> str:
     return f"(5e-1 * (1e0 + {erf(f'(({x}) / sqrt(2e0))')}))"
 
 
-TICKER = "'BR' || " + letters("substr(p_brand, 7)")
+TICKER = "'BR' || " + letters("p_partkey // 80")
 _TEXT = "CASE o_orderkey % 8 " + " ".join(
     f"WHEN {i} THEN '{a}' || CAST(floor(o_totalprice / 1e3) AS BIGINT) || '{b}'" for i, (a, b) in enumerate(TEXTS)
 ) + " END"
 
 CTES = {
-    "trades": f"""SELECT {TICKER} AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+    "trades": f"""SELECT {TICKER} AS ticker, p_partkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
         (CAST(l_shipdate AS DATE) - DATE '1970-01-01')::BIGINT * 281474976710656 + l_orderkey * 1024 + l_linenumber * 128 + l_partkey % 128 AS ord,
         {r('1e2 * ln(1e0 + l_extendedprice / l_quantity)', 2)} AS px, l_quantity AS qty
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "eod": """SELECT ticker, date, arg_min(px, ord) AS open, max(px) AS high, min(px) AS low, arg_max(px, ord) AS close,
-        CAST(sum(qty) * 1000 AS BIGINT) AS volume, arg_max(px, ord) AS close_raw FROM trades GROUP BY 1, 2""",
+        CAST(sum(qty) * 1000 AS BIGINT) AS volume,
+        arg_max(px, ord) * (1 + any_value(p_partkey // 80) % 2) AS close_raw FROM trades GROUP BY 1, 2""",
     "idx": """SELECT 'BENCH' AS index_name, date, """ + ", ".join(
         f"CAST(sum(CAST(floor({x} * 1e2 + 5e-1) AS BIGINT)) AS DOUBLE) / count(*) / 1e2 AS {x}" for x in ("open", "high", "low", "close")
     ) + " FROM eod GROUP BY date",

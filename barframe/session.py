@@ -41,13 +41,16 @@ def build_session(app: str = "barframe", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A private folder is made only where the cluster names none (tests, local runs).
+    A private folder is made only in local mode (tests), where one machine is all there is; on a cluster
+    without the setting this is an error, since files of one machine are not seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-barframe-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -126,5 +126,9 @@ def upsert_columns(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace exactly the partitions present in ``df``; all others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replace exactly the partitions present in ``df``; all others stay.
+
+    Rows are gathered by partition first, so that a partition is a few files and not one of every task;
+    a large partition is split by size.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -7,6 +7,7 @@ time, so a task holds a few megabytes of text and never a Python object for each
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,8 +45,10 @@ def release(spark: SparkSession) -> None:
     Spark drops a shuffle's files when the driver's garbage collector finds that nothing refers to it any
     more. Between large steps that is asked for, so that the disk holds one step's files and not all.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python still named, the second what hung on it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

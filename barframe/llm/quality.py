@@ -86,14 +86,20 @@ def _features(sizes: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, training: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled rows for which ``training`` (a condition on doc_id) holds.
 
-    The rarer class is taken first: ``rows`` of each class at most come to the driver.
+    At most ``rows`` of each class come to the driver. Since that evens the classes out, the odds are set
+    right again by the classes' counts over all of these labels.
     """
     learn = labels.where(training)
+    counts = {r[label]: r["count"] for r in learn.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     sample = []
     for value in (0, 1):
         part = labelled_sample(learn.where(F.col(label) == value), documents, label, rows)
         sample += [(r["text"], r["label"]) for r in part.orderBy("doc_id", "text").collect()]
-    return train(sample)
+    model = train(sample)
+    if model.fit:
+        taken = [sum(y == k for _, y in sample) for k in (0, 1)]
+        model.fit.weights[0] += np.log(counts[1] / counts[0]) - np.log(taken[1] / taken[0])
+    return model
 
 
 def with_score(documents: DataFrame, model: Model, text: str = "text", column: str = "quality_score") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.common import BASE_1, BASE_2, U64, Words, chunks, map_arrow, mixed, signed, windows
+from barframe.llm.common import BASE_1, BASE_2, U64, Words, chunks, map_arrow, mixed, release, signed, windows
 from barframe.session import cut
 
 WINDOW = 13
@@ -112,16 +112,23 @@ def _without(batches):
         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["key", "n_removed", "kept"])
 
 
+def _shared_anchors(rows: DataFrame) -> DataFrame:
+    """(text key, anchors that another text has too). Both uses of the anchors sum up or split their hot ones."""
+    anchors = map_arrow(rows.where("doc_id is not null").select("text"), _anchors, "key long, anchor long")
+    shared = anchors.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("anchor")
+    return cut(anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "substring-anchors")
+
+
 def repeated_windows(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary of every row, texts that share anchors, start of every window that a smaller id has too)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     summary = cut(map_arrow(rows, _summary, "doc_id long, n_words long, key long, key2 long, mark long, plain string"), "substring-summary")
     # One document stands for all with the same words; copies are summed up before they meet.
     firsts = summary.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("key", "f.*")
-    anchors = map_arrow(rows.where("doc_id is not null").select("text"), _anchors, "key long, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("anchor")
-    proposed = anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    texts = cut(firsts.join(proposed, "key").join(rows, ["doc_id", "mark"]).select("doc_id", "key", "anchors", "text"), "substring-texts")
+    proposed = firsts.join(_shared_anchors(rows), "key")
+    release(rows.sparkSession)
+    texts = cut(proposed.join(rows, ["doc_id", "mark"]).select("doc_id", "key", "anchors", "text"), "substring-texts")
+    release(rows.sparkSession)
     near = cut(map_arrow(texts, _windows_around, "h1 long, h2 long, doc_id long, key long, start int"), "substring-windows")
     owners = near.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     repeated = near.join(owners, ["h1", "h2"]).where("doc_id > owner").select("key", "start")

@@ -33,6 +33,8 @@ SAMPLE_ROWS = 8000
 #: A term has so many letters at least, is toxic so often at least, and the lexicon holds so many at most.
 MIN_LETTERS, PURITY, LEXICON = 4, 0.9, 2000
 MAX_LETTERS = 24
+#: One in so many unrelated prefixes may look toxic by chance.
+SURPRISE = 1e8
 THRESHOLD = 0.5
 WINDOW = 8
 END = "\0"
@@ -240,6 +242,16 @@ def lexicon(counts: dict[str, tuple[int, int]]) -> list[str]:
     return [t for _, t in sorted(terms, key=lambda x: (-x[0], x[1]))[:LEXICON]]
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """One row of each family of copies: words that only copies share must not look like terms.
+
+    Copies have the same least hash of their long words, unrelated texts seldom do; a text without long words stands for itself.
+    """
+    long_words = F.filter(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: F.length(w) >= 8)
+    family = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    return sample.groupBy("label", family.alias("family")).agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("text", "label")
+
+
 def fit(documents: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Learn terms, their edits and the weights from labelled rows for which ``training`` (a condition on doc_id) holds."""
     sample = cut(labelled_sample(labels.where(training), documents, label, rows), "toxic-sample")
@@ -250,9 +262,9 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, label: str =
         return Model({}, empty)
     base = n_toxic / (n_toxic + n_other)
     purity = F.col("toxic") / (F.col("toxic") + F.col("other"))
-    mined = map_arrow(sample, _mine, "prefix string, toxic long, other long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    mined = map_arrow(_one_of_copies(sample), _mine, "prefix string, toxic long, other long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # Surprise: the chance of so pure a prefix among unrelated words, against the number of prefixes that are looked at.
-    strong = mined.where((purity >= max(PURITY, 1.5 * base)) & (F.col("toxic") * F.log(purity / base) >= math.log(1e6)))
+    strong = mined.where((purity >= max(PURITY, 1.5 * base)) & (F.col("toxic") * F.log(purity / base) >= math.log(SURPRISE)))
     counts = {r["prefix"]: (r["toxic"], r["other"]) for r in strong.orderBy(F.desc("toxic"), "prefix").limit(20 * LEXICON).collect()}
     terms = {t: edits_for(t) for t in lexicon(counts)}
     terms = _settle(sample, terms)
@@ -262,22 +274,26 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, label: str =
 
 
 def _settle(sample: DataFrame, terms: dict[str, int]) -> dict[str, int]:
-    """Take a term's edits away if its misspellings are found in clean rows too."""
+    """Leave each term as many edits as do not find clean rows too."""
     order = sorted(terms)
 
     def count(batches):
         reader, seen = Reader(terms), Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                seen.update({(reader.hits[w][1], label) for w in reader.words(text) if reader.hits[w][0]})
+                seen.update({(reader.hits[w][1], reader.hits[w][0], label) for w in reader.words(text) if reader.hits[w][0]})
         if seen:
             keys = list(seen)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["term", "label", "n"])
+            yield pa.record_batch([*[pa.array([k[i] for k in keys], pa.int64()) for i in range(3)], pa.array([seen[k] for k in keys], pa.int64())], names=["term", "edits", "label", "n"])
 
     found = defaultdict(int)
-    for r in map_arrow(sample, count, "term long, label long, n long").groupBy("term", "label").agg(F.sum("n").alias("n")).collect():
-        found[order[r["term"]], r["label"]] = r["n"]
-    return {t: 0 if found[t, 0] > 0.05 * found[t, 1] else e for t, e in terms.items()}
+    for r in map_arrow(sample, count, "term long, edits long, label long, n long").groupBy("term", "edits", "label").agg(F.sum("n").alias("n")).collect():
+        found[order[r["term"]], r["edits"], r["label"]] = r["n"]
+    settled = {}
+    for term, most in terms.items():
+        spoilt = (e for e in range(1, most + 1) if found[term, e, 0] > 0.05 * found[term, e, 1])
+        settled[term] = next(spoilt, most + 1) - 1
+    return settled
 
 
 def _features_of(sample: DataFrame, terms: dict[str, int]) -> DataFrame:

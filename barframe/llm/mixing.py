@@ -94,12 +94,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
     Rows of one id and size are told apart by nothing, so the plan is joined by both, once for each.
     """
-    size, taken, copy, share = (free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share"))
+    size, taken, copy, share, an_id, its_size, its_source = (
+        free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share", "mix_id", "mix_id_size", "mix_id_source"))
     planned = plan(documents, weights, epochs, seed).where("taken > 0").groupBy("doc_id", "size", "source").agg(
         F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows")).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.expr("taken div rows").alias(taken))
+        F.col("doc_id").alias(an_id), F.col("size").alias(its_size), F.col("source").alias(its_source), F.expr("taken div rows").alias(taken))
     sized = documents.withColumn(size, word_count("text"))
-    joined = sized.join(planned, sized.doc_id.eqNullSafe(planned._id) & (sized[size] == planned._size) & sized.source.eqNullSafe(planned._source))
+    joined = sized.join(planned, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(size) == F.col(its_size)) & F.col("source").eqNullSafe(F.col(its_source)))
     whole = F.expr(f"`{taken}` div `{size}`")
     repeated = joined.withColumn(share, F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)))).withColumn(copy, F.explode(share))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col(taken) - whole * F.col(size)).cast("int"))

@@ -324,15 +324,15 @@ def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFram
 
     Texts are moved once, to meet the ids that stay. Only ids that stand in several rows are gathered again.
     """
-    mark, spare = free_name(documents, "near_mark"), free_name(documents, "near_row")
+    mark, spare, an_id, its_mark, rows = (free_name(documents, x) for x in ("near_mark", "near_row", "near_id", "near_id_mark", "near_rows"))
     keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    keep = cut(keep.groupBy("doc_id").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias("_keep"), F.col("k.mark").alias("_mark"), F.col("k.n").alias("_rows")), "near-keep")
+    keep = cut(keep.groupBy("doc_id").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias(an_id), F.col("k.mark").alias(its_mark), F.col("k.n").alias(rows)), "near-keep")
     release(documents.sparkSession)
     marked = documents.withColumn(mark, F.xxhash64("text"))
     columns = [F.col(f"`{c}`") for c in documents.columns]
 
     def staying(some: DataFrame) -> DataFrame:
-        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col("_keep")) & (F.col(mark) == F.col("_mark"))).select(*columns)
+        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col(an_id)) & (F.col(mark) == F.col(its_mark))).select(*columns)
 
-    several = staying(keep.where("_rows > 1")).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
-    return staying(keep.where("_rows = 1")).unionByName(several).unionByName(marked.where("doc_id is null").select(*columns))
+    several = staying(keep.where(F.col(rows) > 1)).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
+    return staying(keep.where(F.col(rows) == 1)).unionByName(several).unionByName(marked.where("doc_id is null").select(*columns))

@@ -43,7 +43,7 @@ def rows():
 def docs(spark, rows):
     prepare(spark)
     # Names that the operators use themselves, as further columns.
-    return spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], SCHEMA + ", mix_taken long, near_mark string, quality_score double")
+    return spark.createDataFrame([(*r, 1, "x", 2.0, 5, "y") for r in rows], SCHEMA + ", mix_taken long, near_mark string, quality_score double, near_id long, taken string")
 
 
 @pytest.fixture(scope="module")

@@ -36,6 +36,7 @@ U64 = np.uint64
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")  # written steps are mostly text
     return spark
 
 

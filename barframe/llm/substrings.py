@@ -6,7 +6,7 @@ document only the ``ANCHOR``-word runs at positions in a difference cover modulo
 For any two positions there is a shift below PERIOD that brings both into the cover, and
 PERIOD - 1 + ANCHOR <= WINDOW, so two equal windows always share an anchor at the same place within them.
 Anchors that two different texts share are extended to all windows around them, and only those windows are
-compared, by 128-bit hashes.
+compared, by 96-bit hashes.
 
 Equal texts are one text: its smallest id stands for it, and each copy of at least WINDOW words goes whole.
 
@@ -69,8 +69,12 @@ def _anchors(batches):
             yield pa.record_batch([signed(keys[docs[use]]), signed(found[use] & ANCHOR_BITS)], names=["key", "anchor"])
 
 
+def _half(x: np.ndarray) -> pa.Array:
+    return pa.array((x >> U64(32)).astype(np.uint32).view(np.int32))
+
+
 def _windows_around(batches):
-    """Every window around a shared anchor: its 128-bit hash, document and start."""
+    """Every window around a shared anchor: its 96-bit hash, document and start."""
     for batch in chunks(batches):
         words = Words(batch.column("text"))
         one, two = words.hashes(), words.hashes(True)
@@ -91,9 +95,9 @@ def _windows_around(batches):
         upto = np.cumsum(marks)
         near = upto[np.minimum(starts + WINDOW - ANCHOR + 1, len(one))] > upto[starts]
         if near.any():
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False)[of[near]] for c in ("doc_id", "key"))
-            yield pa.record_batch([signed(h1[near]), signed(h2[near]), pa.array(ids), pa.array(keys), pa.array((starts - words.first[of])[near].astype(np.int32))],
-                                  names=["h1", "h2", "doc_id", "key", "start"])
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False)[of[near]] for c in ("doc_id", "tag"))
+            yield pa.record_batch([signed(h1[near]), _half(h2[near]), pa.array(ids), pa.array(tags), pa.array((starts - words.first[of])[near].astype(np.int32))],
+                                  names=["h1", "h2", "doc_id", "tag", "start"])
 
 
 def _without(batches):
@@ -127,19 +131,23 @@ def repeated_windows(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     firsts = summary.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("key", "f.*")
     proposed = firsts.join(_shared_anchors(rows), "key")
     release(rows.sparkSession)
-    texts = cut(proposed.join(rows, ["doc_id", "mark"]).select("doc_id", "key", "anchors", "text"), "substring-texts")
+    # ``tag`` tells apart texts of one id; windows are many, so they carry it instead of the whole key.
+    tag = F.shiftright("key", 32).cast("int").alias("tag")
+    texts = cut(proposed.join(rows, ["doc_id", "mark"]).select("doc_id", "key", tag, "anchors", "text"), "substring-texts")
+    release(rows.sparkSession)
+    near = cut(map_arrow(texts, _windows_around, "h1 long, h2 int, doc_id long, tag int, start int"), "substring-windows")
     release(rows.sparkSession)
-    near = cut(map_arrow(texts, _windows_around, "h1 long, h2 long, doc_id long, key long, start int"), "substring-windows")
     owners = near.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    repeated = near.join(owners, ["h1", "h2"]).where("doc_id > owner").select("key", "start")
+    repeated = near.join(owners, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "tag", "start")
     return summary, texts, repeated
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     summary, texts, repeated = repeated_windows(documents)
-    starts = repeated.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    cleaned = map_arrow(texts.select("key", "text").join(starts, "key"), _without, "key long, n_removed long, kept string").dropDuplicates(["key"])
+    starts = cut(repeated.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")), "substring-starts")
+    release(documents.sparkSession)
+    cleaned = map_arrow(texts.select("doc_id", "tag", "key", "text").join(starts, ["doc_id", "tag"]).select("key", "text", "starts"), _without, "key long, n_removed long, kept string").dropDuplicates(["key"])
     firsts = summary.where("doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("first_id"))
     known = firsts.join(cleaned, "key", "left")
     rows = summary.join(known, ["key", "key2"], "left")

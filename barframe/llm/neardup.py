@@ -12,8 +12,8 @@ like a pivot (the original of a family of copies); members that are linked by th
 Members of a bucket that are still apart are compared in blocks, all of them, so no link that shares a bucket
 is lost: sketches first, then the full sets of those that have a hopeful pair. A block yields links, not pairs.
 
-Recall: at similarity s a pair shares a bucket with 1 - (1 - s**ROWS) ** BANDS, 0.99999998 at 0.85, and the
-estimate lies within ``SIGMAS`` standard errors with 0.999997.
+Recall: at similarity s a pair shares a bucket with 1 - (1 - s**ROWS) ** BANDS, 0.99999998 at 0.85 and
+0.999997 at 0.8, and the estimate lies within ``SIGMAS`` standard errors with 0.999997.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 than five words are one shingle; equal texts are one node; rows without id are kept and link with nothing;

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from barframe.llm import leaks, mixing, neardup, quality, tokens
 from barframe.llm.common import free_name, prepare, remainder, table
 
+#: Near copies go from this similarity on (percent); op7 alone has a contract of its own, ``neardup.PERCENT``.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the compression classifier rejects. It learns from the labelled rows of its own input."""
@@ -24,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest id."""
     prepare(spark)
-    return neardup.without_duplicates(docs)
+    return neardup.without_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

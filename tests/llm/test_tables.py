@@ -109,6 +109,23 @@ def test_near_duplicates(docs, empty, rows, monkeypatch, block):
         assert ids.count(60) == 0 and ids.count(None) == 2 and sorted(i for i in ids if i is not None and i != 61) == sorted({i for i in sets if label[i] == i})
 
 
+def test_stage_drops_copies_of_a_similarity_of_eight_tenths(spark, tmp_path):
+    rnd = random.Random(17)
+    original = sentence(rnd, 300).split()
+    near, far = list(original), list(original)
+    for k in range(6):
+        near[20 + 45 * k] = f"n{k}"
+    for k in range(10):
+        far[12 + 28 * k] = f"f{k}"
+    rows = [(1, " ".join(original)), (2, " ".join(near)), (3, " ".join(far)), (4, sentence(rnd, 300))]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.81 < alike(1, 2) < 0.83 and max(alike(1, 3), alike(2, 3)) < 0.75
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in stages.near_duplicate_stage(spark, docs, str(tmp_path)).collect()) == [1, 3, 4]
+    assert all(r.kept for r in neardup.near_duplicates(docs).collect())
+
+
 def test_star_of_copies_that_are_not_like_each_other(spark):
     """Copies of one original, each close to it and too far from one another: all are one group."""
     rnd = random.Random(9)

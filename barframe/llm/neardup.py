@@ -18,7 +18,7 @@ Recall: at similarity s a pair shares a bucket with 1 - (1 - s**ROWS) ** BANDS,
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 than five words are one shingle; equal texts are one node; rows without id are kept and link with nothing;
 rows of one id with different texts are nodes of their own; an empty table gives an empty result. In
-``without_duplicates``, of several rows with the same id and words one stays.
+``without_duplicates``, of several rows with the same id one stays for each component that the id names.
 """
 
 from __future__ import annotations
@@ -277,7 +277,10 @@ def _apart(buckets: DataFrame, links: DataFrame, label: str) -> DataFrame:
 
 
 def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id) of every row of ``documents``; ``mark`` is the hash of its text."""
+    """(doc_id, mark, n_shingles, component, component_id) of every row of ``documents``; ``mark`` is the hash of its text.
+
+    ``component`` tells apart components of one id with unrelated texts; it is null where the set is empty.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     sketched = cut(map_arrow(rows, _sketch, "doc_id long, mark long, n_shingles long, key long, key2 long, sketch binary"), "near-sketches")
     able = sketched.where("doc_id is not null and n_shingles > 0")
@@ -310,8 +313,8 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # A component is named by its smallest document.
     named = nodes.select("key", "key2", "doc_id").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "component").select("key", "key2", "component_id")
-    return sketched.join(named, ["key", "key2"], "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(names, "component").select("key", "key2", "component", "component_id")
+    return sketched.join(named, ["key", "key2"], "left").select("doc_id", "mark", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -322,17 +325,17 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group; all columns as they are.
 
-    Texts are moved once, to meet the ids that stay. Only ids that stand in several rows are gathered again.
+    Texts are moved once, to meet the ids that stay. Only ids and texts that stand in several rows are gathered again.
     """
     mark, spare, an_id, its_mark, rows = (free_name(documents, x) for x in ("near_mark", "near_row", "near_id", "near_id_mark", "near_rows"))
-    keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    keep = cut(keep.groupBy("doc_id").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias(an_id), F.col("k.mark").alias(its_mark), F.col("k.n").alias(rows)), "near-keep")
+    keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").groupBy("doc_id", "component", "mark").agg(F.count(F.lit(1)).alias("n"))
+    keep = cut(keep.groupBy("doc_id", "component").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias(an_id), F.col("k.mark").alias(its_mark), F.col("k.n").alias(rows)), "near-keep")
     release(documents.sparkSession)
     marked = documents.withColumn(mark, F.xxhash64("text"))
     columns = [F.col(f"`{c}`") for c in documents.columns]
 
-    def staying(some: DataFrame) -> DataFrame:
-        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col(an_id)) & (F.col(mark) == F.col(its_mark))).select(*columns)
+    def staying(some: DataFrame, *more: str) -> DataFrame:
+        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col(an_id)) & (F.col(mark) == F.col(its_mark))).select(*columns, *more)
 
-    several = staying(keep.where(F.col(rows) > 1)).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
+    several = staying(keep.where(F.col(rows) > 1), an_id, its_mark).groupBy(an_id, its_mark).agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
     return staying(keep.where(F.col(rows) == 1)).unionByName(several).unionByName(marked.where("doc_id is null").select(*columns))

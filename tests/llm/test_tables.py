@@ -109,6 +109,18 @@ def test_near_duplicates(docs, empty, rows, monkeypatch, block):
         assert ids.count(60) == 0 and ids.count(None) == 2 and sorted(i for i in ids if i is not None and i != 61) == sorted({i for i in sets if label[i] == i})
 
 
+def test_one_id_with_unrelated_texts_keeps_each(spark):
+    rnd = random.Random(23)
+    a, b, c = (sentence(rnd, 120) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    # Id 1 names two groups that 8 and 9 join; 2 has two texts like each other; 3 stands twice, one of them in other letters, and without words.
+    rows = [(1, a), (1, b), (8, near(a)), (9, near(b)), (2, c), (2, near(c)), (3, "p q r s t u"), (3, "p q r s t u"), (3, "P q r s t u"), (3, ""), (3, None), (3, "v w x"), (3, "v w x")]
+    left = [(r.doc_id, r.text) for r in neardup.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(left) == 6 and {(1, a), (1, b), (3, "v w x")} < set(left)
+    assert sorted((i, (t or "").lower()) for i, t in left if i == 3) == [(3, ""), (3, "p q r s t u"), (3, "v w x")]
+    assert [t in (c, near(c)) for i, t in left if i == 2] == [True]
+
+
 def test_stage_drops_copies_of_a_similarity_of_eight_tenths(spark, tmp_path):
     rnd = random.Random(17)
     original = sentence(rnd, 300).split()

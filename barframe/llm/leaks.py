@@ -8,8 +8,8 @@ p being the chance that a shared shingle is the least of its bin, so p is set to
 bins to give p at the document's size. Large items need few bins, small ones many, tiny ones all shingles.
 An item and a document with an equal register are a candidate; candidates are settled by exact containment.
 
-Items go through in blocks of at most ``BLOCK_BYTES`` of text, each block broadcast; documents are never
-shuffled. Items shorter than five words are one shingle of their own length and are looked up in full.
+Items of one text are searched as one, and the matches meet the ids of all of them. The distinct texts go
+through in blocks of about ``BLOCK_BYTES``, each block broadcast; documents are never shuffled. Items shorter than five words are one shingle of their own length and are looked up in full.
 
 Defined results: null, empty and wordless texts or items match nothing; repeated rows match alike; rows
 without id are matched with a null id; an empty table on either side gives no rows.
@@ -18,6 +18,7 @@ without id are matched with a null id; an empty table on either side gives no ro
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +51,7 @@ def _load(least_shared: int) -> float:
 class Index:
     """The items of one block: exact shingle sets, and their registers for every number of bins that is asked for."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT):
+    def __init__(self, items: list[tuple[int | str, str]], percent: int = PERCENT):
         self.percent = percent
         column = pa.array([t for _, t in items], pa.string())
         sets, lengths = shingle_sets(column), Words(column).per_document
@@ -136,20 +137,21 @@ def _index(shared, percent: int) -> Index:
     return Index(shared.value, percent)
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded text; one pass a block, so the driver holds one block's worth at a time."""
-    texts = benchmark.select("item_id", "text").where("text is not null")
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """(hash, text) of the distinct texts of the items, in blocks of bounded text; one pass a block, so the driver holds one block's worth at a time."""
+    texts = benchmark.select("text").where("text is not null").distinct()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
-        rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select(F.md5("text").alias("mark"), "text").orderBy("mark").collect()
         if rows:
-            yield [(r["item_id"], r["text"]) for r in rows]
+            yield [(r["mark"], r["text"]) for r in rows]
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared_shingles) of every leak."""
-    schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
+    schema = "doc_id long, mark string, item_shingles long, shared_shingles long"
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
     spark, parts = documents.sparkSession, []
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -159,16 +161,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCEN
             for batch in chunks(batches):
                 if found := index.matches(batch.column("text")):
                     ids = batch.column("doc_id").to_pylist()
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*[(ids[d], index.ids[i], len(index.sets[i]), n) for d, i, n in found], strict=True)],
-                                          names=["doc_id", "item_id", "item_shingles", "shared_shingles"])
+                    yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*[(ids[d], index.ids[i], len(index.sets[i]), n) for d, i, n in found], strict=True), kinds, strict=True)],
+                                          names=["doc_id", "mark", "item_shingles", "shared_shingles"])
 
         parts.append(map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), search, schema))
     if not parts:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "doc_id long, item_id long, item_shingles long, shared_shingles long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    items = benchmark.where("text is not null").select(F.md5("text").alias("mark"), F.col("item_id").cast("long").alias("item_id"))
+    return out.join(items, "mark").select("doc_id", "item_id", "item_shingles", "shared_shingles")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

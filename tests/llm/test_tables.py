@@ -209,6 +209,15 @@ def test_leak_blocks_are_all_searched(spark, docs, rows, monkeypatch):
     assert {r.item_id for r in leaks.find_leaks(docs, bench).collect()} == set(range(6))
 
 
+def test_items_of_one_text_are_searched_once(spark, docs, rows, monkeypatch):
+    passage = lambda k: " ".join(rows[k][1].split()[10:40])
+    bench = spark.createDataFrame([(i, passage(0)) for i in range(50)] + [(100 + k, passage(k)) for k in range(1, 6)] + [(7, passage(0)), (None, passage(0))], "item_id long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 300)
+    assert sorted(t for block in leaks._blocks(bench) for _, t in block) == sorted(passage(k) for k in range(6))
+    found = [r.item_id for r in leaks.find_leaks(docs, bench).collect() if r.doc_id == 0]
+    assert sorted(found, key=repr) == sorted([*range(50), 7, None], key=repr)
+
+
 def test_bins_hide_a_leak_with_the_stated_probability():
     for k in (1, 7, 13, 52, 400):
         load = leaks._load(k)

@@ -8,8 +8,8 @@ the target is met, and of the last one its first words, so that a source takes i
 
 Defined results: a null text has size 0; the null source is a source of its own, last in order; a
 document of size 0 takes 0 words; with no documents the result is empty; documents without an id or
-with the same id and size share a place in the seeded order, which changes no total. Nothing is random:
-the seed and the ids alone decide.
+with the same id and size share a place in the seeded order, which changes no total; in ``mix`` each of
+them still takes a share of its own. Nothing is random: the seed, the ids and the texts decide.
 """
 
 from __future__ import annotations
@@ -60,17 +60,18 @@ def source_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long"))
 
 
-def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of ``documents``.
+def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, marked: bool = False) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) of every row of ``documents``; if ``marked``, also mark, the hash of its text.
 
     Order within a source is the md5 of seed and id. Its first three digits name one of 4,096 buckets:
     sizes are summed by bucket first, so running totals need one row a bucket and, inside a bucket, its
     own documents only; no task ever holds a whole source.
     """
-    spark = documents.sparkSession
+    spark, mark = documents.sparkSession, ["mark"] if marked else []
     sized = cut(documents.select(
         "doc_id", "source", word_count("text").alias("size"),
         F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
+        *[F.xxhash64("text").alias(m) for m in mark],
     ).withColumn("bucket", F.substring("place", 1, 3)), "mix-sizes")
     # Small tables (one row a source, 4,096 rows a source) are written, so that the planner knows their size and broadcasts by it.
     buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
@@ -83,24 +84,33 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     levels = cut(starts.join(targets, starts.source.eqNullSafe(targets.source)).select(
         starts.source, starts.bucket, "bucket_start", "source_size", "target", "rounds", "rest"), "mix-levels")
     rows = sized.join(levels, sized.source.eqNullSafe(levels.source) & (sized.bucket == levels.bucket)).drop(levels.source).drop(levels.bucket)
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *mark).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return rows.withColumn("taken", F.col("rounds") * F.col("size") + extra).select("doc_id", "size", "source", "source_size", "target", "taken")
+    return rows.withColumn("taken", F.col("rounds") * F.col("size") + extra).select("doc_id", "size", "source", "source_size", "target", "taken", *mark)
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``documents``, each as often as the plan takes it; a part is its first words.
 
-    Rows of one id and size are told apart by nothing, so the plan is joined by both, once for each.
+    Plan and rows meet by id, source and text. Rows that agree in all three are numbered on both sides, so that
+    each has its own share; only those are gathered.
     """
-    size, taken, copy, share, an_id, its_size, its_source = (
-        free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share", "mix_id", "mix_id_size", "mix_id_source"))
-    planned = plan(documents, weights, epochs, seed).where("taken > 0").groupBy("doc_id", "size", "source").agg(
-        F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows")).select(
-        F.col("doc_id").alias(an_id), F.col("size").alias(its_size), F.col("source").alias(its_source), F.expr("taken div rows").alias(taken))
-    sized = documents.withColumn(size, word_count("text"))
-    joined = sized.join(planned, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(size) == F.col(its_size)) & F.col("source").eqNullSafe(F.col(its_source)))
+    size, taken, copy, share, mark, number, an_id, its_source, its_mark, its_number, rows = (
+        free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share", "mix_mark", "mix_number", "mix_id", "mix_id_source", "mix_id_mark", "mix_id_number", "mix_rows"))
+    alike = Window.partitionBy(an_id, its_source, its_mark)
+    planned = cut(
+        plan(documents, weights, epochs, seed, marked=True).where("size > 0")
+        .select(F.col("doc_id").alias(an_id), F.col("source").alias(its_source), F.col("mark").alias(its_mark), F.col("taken").alias(taken))
+        .withColumn(its_number, F.row_number().over(alike.orderBy(F.desc(taken)))).withColumn(rows, F.count(F.lit(1)).over(alike)).where(F.col(taken) > 0), "mix-plan")
+    sized = documents.withColumn(mark, F.xxhash64("text")).withColumn(size, word_count("text"))
+    met = F.col("doc_id").eqNullSafe(F.col(an_id)) & F.col("source").eqNullSafe(F.col(its_source)) & (F.col(mark) == F.col(its_mark))
+    columns = [*[F.col(f"`{c}`") for c in documents.columns], size, taken]
+    once = sized.join(planned.where(F.col(rows) == 1), met).select(*columns)
+    again = planned.where(F.col(rows) > 1)
+    order = [F.col(f"`{c}`") for c, kind in documents.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    numbered = sized.join(again.where(F.col(its_number) == 1), met, "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", mark).orderBy(*order)))
+    joined = once.unionByName(numbered.join(again, met & (F.col(number) == F.col(its_number))).select(*columns))
     whole = F.expr(f"`{taken}` div `{size}`")
     repeated = joined.withColumn(share, F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)))).withColumn(copy, F.explode(share))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col(taken) - whole * F.col(size)).cast("int"))

@@ -253,6 +253,22 @@ def test_mixing(spark, docs, empty, rows):
     assert mixing.plan(empty).count() == mixing.mix(empty).count() == 0
 
 
+def test_equal_rows_have_shares_of_their_own(spark):
+    rnd = random.Random(31)
+    texts = [sentence(rnd, 9) for _ in range(5)]
+    rows = [(None, t, "s1", 1) for t in texts] + [(4, "a b c d e", "s1", k) for k in range(3)] + [(None, t, "s2", 1) for t in ("one two three four five", "v w x y z")] + [
+        (None, "six seven eight nine ten", "s2", k) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    goal = {r.source: round(r.target) for r in mixing.plan(docs).collect()}
+    got = mixing.mix(docs).collect()
+    for s, n in goal.items():
+        mine = [r.text for r in got if r.source == s]
+        assert sum(len(words(t)) for t in mine) == n and all(mine)
+        assert sum(t not in {x[1] for x in rows} for t in mine) == 1  # one cut document a source
+    first = {tuple(r) for r in got}
+    assert {r for r in rows if r[2] == "s1"} <= first and sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs).collect()))
+
+
 def test_tokens(spark, docs, empty, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

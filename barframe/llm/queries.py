@@ -32,7 +32,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("record")
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

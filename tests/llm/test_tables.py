@@ -313,6 +313,14 @@ def test_archives(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_archive_query_gives_whole_records(spark, data_dir):
+    got = queries.QUERIES["op4_warc_derivatives"](spark, data_dir).collect()
+    assert len(got) == 2 * spark.read.parquet(f"{data_dir}/pages.parquet").count()
+    for r in got:
+        fields, block = warc.parse(bytes(r.record))
+        assert (fields["warc-type"], fields["warc-record-id"], len(block), warc.digest(block)) == (r.record_type, r.record_id, r.content_length, r.block_digest)
+
+
 def test_trained_operators_on_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
     from pyspark.sql import functions as F

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barframe.llm import leaks, mixing, neardup, substrings
+from barframe.llm import collocations, leaks, mixing, neardup, substrings
 
 _TEXT = "coalesce(text, '')"
 _WORDS = rf"regexp_extract_all({_TEXT}, '[^\x20\x09-\x0D]+')"
@@ -85,6 +85,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+SQL_OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, unnest(flatten([[w[i:i + k] FOR i IN range(1, len(w) - k + 1)] FOR k IN range(0, {collocations.ORDER})])) AS w FROM p),
+f AS (SELECT lang, w, array_to_string(w, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, w HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT lang, w, phrase, f AS a FROM f WHERE len(w) > 1),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, ({collocations.SCALE}::HUGEINT * k.a) // (l.f + r.f) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.w = k.w[1:k.k] JOIN f r ON r.lang = k.lang AND r.w = k.w[k.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, array_to_string(unnest(flatten([[w[i:i + m] FOR i IN range(1, len(w) - m + 1)] FOR m IN range(1, len(w) - 1)])), ' ') AS phrase FROM c WHERE len(w) > 2),
+o AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY lang, phrase),
+v AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase)
+      WHERE around IS NULL OR 100::HUGEINT * around < {collocations.COVERED}::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM v JOIN t USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 ORACLES = {
     "op5_mixing": SQL_OP5, "op6_substring_dedup": SQL_OP6, "op7_near_duplicates": SQL_OP7, "op8_benchmark_leaks": SQL_OP8, "op9_quality_rules": SQL_OP9,
+    "op12_collocations": SQL_OP12,
 }

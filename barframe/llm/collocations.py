@@ -4,10 +4,11 @@ At every word a window of ``ORDER`` words begins, padded with nulls where its pi
 counted: a phrase of k words stands as often as the windows that begin with it, so the counts of shorter phrases
 are the sums of ROLLUP over ever shorter prefixes, and no n-gram is ever exploded on its own.
 
-Most windows are rare, and a phrase below ``least`` is no candidate, nor part of one. So before the ROLLUP a window
-is cut back to its longest prefix that stands often enough. Windows are dealt by their first two words, hence a task
-knows these sums by itself; pairs that hold very many windows are dealt by their third word, too, and keep both
-words. Windows are added up within blocks of text before they are shuffled.
+Most windows are rare, and a phrase below ``least`` is no candidate, nor part of one. So a window ends early at a
+pair of words that is rare (by a filter that knows every frequent pair), and before the ROLLUP it is cut back to its
+longest prefix that stands often enough. Windows are dealt by their first two words, hence a task knows these sums by
+itself; pairs that hold very many windows are dealt by their third word, too, and keep both words. Windows are added
+up within blocks of text before they are shuffled.
 
 Defined results: a null or empty text has no words; a null language is ``und``; equal documents count each; an empty
 table gives no rows; only ``text`` and ``lang`` are read, whatever other columns there are. Ties in the order go by
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barframe.llm.common import Words, map_arrow, text_bytes
+from barframe.llm.common import BASE_1, U64, Words, map_arrow, mixed, signed, text_bytes
 from barframe.session import cut
 
 ORDER = 4
@@ -42,6 +44,9 @@ BREAKS[[0x20, 0x09]] = True
 #: Bytes of text whose windows are added up at once.
 BLOCK_BYTES = 8 << 20
 OUT_ROWS = 1 << 16
+#: Distinct pairs that a task gathers before it passes them on, and the filter of frequent pairs.
+HELD_PAIRS = 4_000_000
+HASHES, MOST_BITS = 4, 1 << 30
 #: A pair of words with more than this share of a sample's windows is dealt by its third word, too.
 HOT_SHARE, SAMPLE_OF, SALTS = 1 / 2000, 64, 32
 WORDS = [f"w{k + 1}" for k in range(ORDER)]
@@ -74,73 +79,150 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
         yield block()
 
 
-def block_windows(texts: pa.Array, langs: pa.Array) -> tuple[list[np.ndarray], np.ndarray, pa.Array, pa.Array]:
-    """Distinct windows of a block in order: columns of word numbers (-1: padding), their counts, languages, and the words."""
-    data, _ = text_bytes(texts)
-    words = Words(texts, BREAKS)
-    n = len(words.starts)
-    if not n:
-        return [np.empty(0, np.int64)] * ORDER, np.empty(0, np.int64), langs.slice(0, 0), pa.array([], pa.string())
-    lengths = words.ends - words.starts
-    letters = data[~BREAKS[data]]
-    letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint8)
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary)
-    rank = np.empty(len(order), np.int64)
-    rank[order.to_numpy()] = np.arange(len(order))
-    number = rank[coded.indices.to_numpy()]
-    # A piece is named by the stops before it and its text.
-    text = np.repeat(np.arange(len(texts)), words.per_document)
-    piece = np.cumsum(STOPS[data])[words.starts] + text
-    columns = [number]
-    for k in range(1, ORDER):
-        lead = np.full(n, -1)
-        if n > k:
-            lead[:-k] = np.where(piece[k:] == piece[:-k], number[k:], -1)
-        columns.append(lead)
-    tongue = langs.dictionary_encode()
-    spoken = tongue.indices.to_numpy()[text].astype(np.int64)
-    front, back = columns[0] << 32 | columns[1] & 0xFFFFFFFF, (columns[2] & 0xFFFFFFFF) << 32 | columns[3] & 0xFFFFFFFF
-    by = np.lexsort((back, front, spoken))
-    new = np.ones(n, bool)
-    new[1:] = (np.diff(front[by]) != 0) | (np.diff(back[by]) != 0) | (np.diff(spoken[by]) != 0)
-    at = np.flatnonzero(new)
-    chosen = by[at]
-    return [c[chosen] for c in columns], np.diff(np.append(at, n)), tongue.dictionary.take(pa.array(spoken[chosen])), coded.dictionary.take(order).cast(pa.large_string()).cast(pa.string())
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Block:
+    """The words of a block as numbers, where windows may run, and the languages."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        data, _ = text_bytes(texts)
+        words = Words(texts, BREAKS)
+        self.size = n = len(words.starts)
+        letters = data[~BREAKS[data]]
+        letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint8)
+        offsets = np.concatenate(([0], np.cumsum(words.ends - words.starts))).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        self.words, self.numbers = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # A piece is named by the stops before it and its text.
+        text = np.repeat(np.arange(len(texts)), words.per_document)
+        self.piece = np.cumsum(STOPS[data])[words.starts] + text if n else text
+        tongue = langs.dictionary_encode()
+        self.langs, self.spoken = tongue.dictionary, tongue.indices.to_numpy()[text].astype(np.int64)
+
+    def lead(self, column: np.ndarray, k: int) -> np.ndarray:
+        """The value k words further on, -1 beyond the piece."""
+        out = np.full(self.size, -1)
+        if self.size > k:
+            out[:-k] = np.where(self.piece[k:] == self.piece[:-k], column[k:], -1)
+        return out
+
+    def pairs(self) -> np.ndarray:
+        """A hash of language, word and next word at every word; 0 at the last word of a piece."""
+        after = self.lead(self.numbers, 1)
+        word, tongue = (np.array([xxhash.xxh64_intdigest(x) for x in column.to_pylist()], U64) for column in (self.words, self.langs))
+        if not self.size:
+            return np.empty(0, U64)
+        return np.where(after < 0, U64(0), mixed(word[self.numbers] * BASE_1 + word[after] + tongue[self.spoken]) | U64(1))
+
+    def windows(self, frequent: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Distinct windows in order: columns of word numbers (-1: none), languages and counts.
+
+        A window ends where its piece ends, or before the first pair of words that ``frequent`` does not know.
+        """
+        columns, goes_on = [self.numbers], np.ones(self.size, bool)
+        known = np.ones(self.size, bool) if frequent is None else holds(frequent, self.pairs())
+        for k in range(1, ORDER):
+            goes_on = goes_on & (self.lead(known.astype(np.int64), k - 1) == 1 if k > 1 else known)
+            columns.append(np.where(goes_on, self.lead(self.numbers, k), -1))
+        front, back = columns[0] << 32 | columns[1] & 0xFFFFFFFF, (columns[2] & 0xFFFFFFFF) << 32 | columns[3] & 0xFFFFFFFF
+        by = np.lexsort((back, front, self.spoken))
+        new = np.ones(self.size, bool)
+        new[1:] = (np.diff(front[by]) != 0) | (np.diff(back[by]) != 0) | (np.diff(self.spoken[by]) != 0)
+        at = np.flatnonzero(new)
+        return [c[by[at]] for c in columns], self.spoken[by[at]], np.diff(np.append(at, self.size))
+
+
+def _distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[at], np.add.reduceat(counts[order], at)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        found, counts = _distinct(*map(np.concatenate, zip(*held, strict=True)))
+        for a in range(0, len(found), OUT_ROWS):
+            yield pa.record_batch([signed(found[a : a + OUT_ROWS]), pa.array(counts[a : a + OUT_ROWS])], names=["pair", "n"])
+
     for texts, langs in _blocks(batches):
-        columns, counts, spoken, words = block_windows(texts, langs)
-        for a in range(0, len(counts), OUT_ROWS):
-            part = slice(a, a + OUT_ROWS)
-            taken = [words.take(pa.array(c[part], mask=c[part] < 0)) for c in columns]
-            yield pa.record_batch([spoken[part], *taken, pa.array(counts[part])], names=["lang", *WORDS, "n"])
+        pairs = Block(texts, langs).pairs()
+        pairs = pairs[pairs != 0]
+        if len(pairs):
+            held.append(_distinct(pairs, np.ones(len(pairs), np.int64)))
+        if sum(len(p) for p, _ in held) > HELD_PAIRS:
+            yield from out()
+            held = []
+    if held:
+        yield from out()
+
+
+def _places(pair: Column, k: int, bits: int) -> Column:
+    return (pair.bitwiseAND(F.lit(0xFFFFFFFF)) + k * F.shiftrightunsigned(pair, 32)) % bits
 
 
-def windows(documents: DataFrame) -> DataFrame:
+def holds(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which pairs the filter knows; all it was made of and few others."""
+    low, high, size = pairs & U64(0xFFFFFFFF), pairs >> U64(32), U64(64 * len(bits))
+    out = np.ones(len(pairs), bool)
+    for k in range(HASHES):
+        place = (low + U64(k) * high) % size
+        out &= (bits[place >> U64(6)] >> (place & U64(63)) & U64(1)).astype(bool)
+    return out
+
+
+def frequent_pairs(documents: DataFrame, least: int = LEAST) -> np.ndarray:
+    """A Bloom filter of the pairs of words that stand ``least`` times, by hashes: equal hashes only make it larger.
+
+    Its size follows their number up to ``MOST_BITS``; from there on it lets more windows pass, never fewer.
+    """
+    texts = documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+    counted = map_arrow(texts, _pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    frequent = cut(counted.where(F.col("n") >= least).select("pair"), "collocation-pairs")
+    bits = min(MOST_BITS, 1 << max(16, (12 * frequent.count()).bit_length()))
+    places = frequent.select(F.explode(F.array(*[_places(F.col("pair"), k, bits) for k in range(HASHES)])).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, U64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
+    return out
+
+
+def _windows(frequent: Broadcast | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in _blocks(batches):
+            block = Block(texts, langs)
+            columns, spoken, counts = block.windows(None if frequent is None else frequent.value)
+            words = block.words.cast(pa.large_string()).cast(pa.string())
+            for a in range(0, len(counts), OUT_ROWS):
+                part = slice(a, a + OUT_ROWS)
+                taken = [words.take(pa.array(c[part], mask=c[part] < 0)) for c in columns]
+                yield pa.record_batch([block.langs.take(pa.array(spoken[part])), *taken, pa.array(counts[part])], names=["lang", *WORDS, "n"])
+
+    return run
+
+
+def windows(documents: DataFrame, frequent: Broadcast | None = None) -> DataFrame:
     """(lang, w1..w4, n): padded windows with their counts, added up within blocks of text only."""
-    return map_arrow(documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang")), _windows, _SCHEMA)
+    return map_arrow(documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang")), _windows(frequent), _SCHEMA)
 
 
-def hot_pairs(documents: DataFrame) -> DataFrame:
-    """(lang, w1, w2): pairs that hold a large share of the windows, by a sample of the texts; at most 1 / ``HOT_SHARE`` of them.
+def hot_pairs(documents: DataFrame, frequent: Broadcast) -> list[str]:
+    """``w1 w2 lang`` of the pairs that hold a large share of the windows, by a sample of the texts; at most 1 / ``HOT_SHARE`` of them.
 
     They only decide which task counts a window, never a result.
     """
-    sample = windows(documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0)).where("w2 is not null")
+    sample = windows(documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0), frequent)
     pairs = cut(sample.groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("rows")), "collocation-sample")
-    least = pairs.agg(F.sum("rows").alias("s")).first()["s"] or 0
-    return pairs.where(F.col("rows") > HOT_SHARE * least).select("lang", "w1", "w2")
+    total = pairs.agg(F.sum("rows").alias("s")).first()["s"] or 0
+    return [r["pair"] for r in pairs.where((F.col("rows") > HOT_SHARE * total) & F.col("w2").isNotNull()).select(F.concat_ws(" ", "w1", "w2", "lang").alias("pair")).collect()]
 
 
 def frequent_prefixes(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, w1..w4, n): windows added up, each cut back to its longest prefix of ``least`` occurrences (or to one word)."""
-    hot = sorted({(r["lang"], r["w1"], r["w2"]) for r in hot_pairs(documents).collect()})  # bounded: 1 / HOT_SHARE pairs
-    pair = F.concat_ws(" ", "w1", "w2", "lang")
-    salt = F.when(pair.isin([f"{a} {b} {lang}" for lang, a, b in hot]), F.pmod(F.xxhash64("w3"), F.lit(SALTS)).cast("int")).otherwise(-1) if hot else F.lit(-1)
-    dealt = windows(documents).withColumn("salt", salt).repartition("lang", "w1", "w2", "salt")
+    frequent = documents.sparkSession.sparkContext.broadcast(frequent_pairs(documents, least))
+    hot = hot_pairs(documents, frequent)
+    salt = F.when(F.concat_ws(" ", "w1", "w2", "lang").isin(hot), F.pmod(F.xxhash64("w3"), F.lit(SALTS)).cast("int")).otherwise(-1) if hot else F.lit(-1)
+    dealt = windows(documents, frequent).withColumn("salt", salt).repartition("lang", "w1", "w2", "salt")
     counted = dealt.groupBy("lang", "w1", "w2", "salt", "w3", "w4").agg(F.sum("n").alias("n"))
     three, two = Window.partitionBy("lang", "w1", "w2", "salt", "w3"), Window.partitionBy("lang", "w1", "w2", "salt")
     summed = counted.withColumn("n3", F.sum("n").over(three)).withColumn("n2", F.sum("n").over(two))

@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +31,18 @@ from pyspark.sql import types as T
 
 from barframe.llm.common import chunks, map_arrow
 
-#: Fixed value: the pre-tokens of byte-level tokenizers.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pre-tokens of byte-level tokenizers, for letters L, numbers N and what is neither X.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{X}+|\s+(?!\S)|\s+"
+#: A word of letters that every Unicode version knows, and stops after it: a pre-token each.
+_LATIN = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
+_WORD = re.compile(f"([{_LATIN}]+)([.,;:!?]+)")
+_LETTERS = re.compile(f" ?[{_LATIN}]+").fullmatch
 #: A space before a visible character always begins a new pre-token.
 _SEAM = re.compile(r" (?=\S)")
-#: Remembered words a generation, none longer than WORD_CHARS, and remembered pairs.
-REMEMBERED, WORD_CHARS, PAIRS = 200_000, 40, 400_000
+#: Remembered words a generation, words of one chunk that may be remembered at all, and remembered pairs.
+REMEMBERED, MOST_WORDS, PAIRS = 200_000, 300_000, 400_000
+#: Other remembered pre-tokens are no longer than this, and remembered steps of the automaton no more.
+PIECE_CHARS, MOST_STEPS = 16, 1_000_000
 #: The end of a spine that no merge ends.
 NEVER = 1 << 60
 
@@ -47,6 +54,22 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in visible}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
 
 
+def pretoken_pattern(library: Callable[[str], list]) -> str:
+    """``PRETOKENS`` for the characters that ``library`` (a text to its pre-tokens) takes for letters and numbers.
+
+    Its Unicode version may be older than that of ``regex``; what was assigned since is a symbol to it.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    newer = [c for kind, one in (("L", "a"), ("N", "1")) for c in regex.findall(rf"\p{{{kind}}}", every) if len(library(one + c)) > 1]
+    if not newer:
+        return PRETOKENS.format(L=r"\p{L}", N=r"\p{N}", X=r"[^\s\p{L}\p{N}]")
+    points = sorted(map(ord, newer))
+    starts = [p for k, p in enumerate(points) if not k or points[k - 1] != p - 1]
+    ends = [p for k, p in enumerate(points) if k + 1 == len(points) or points[k + 1] != p + 1]
+    odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+    return PRETOKENS.format(L=rf"[\p{{L}}--[{odd}]]", N=rf"[\p{{N}}--[{odd}]]", X=rf"[[^\s\p{{L}}\p{{N}}]||[{odd}]]")
+
+
 class SuffixAutomaton:
     """All substrings of the given byte strings; a state is a class of substrings that end at the same places.
 
@@ -102,6 +125,9 @@ class Tables:
             model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         if not plain or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
+        from tokenizers import pre_tokenizers
+
+        self.pattern = pretoken_pattern(pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str)
         byte = byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in given["added_tokens"]}
@@ -124,6 +150,7 @@ class Tables:
         # Tokens that merging their own bytes does not give never stand in an encoding.
         fits = Fit(self)
         own = [i for i in vocab.values() if len(self.bytes[i]) == 1 or (self.rank[i] >= 0 and fits.open_until(int(self.left[i]), int(self.right[i]), int(self.rank[i])))]
+        self.widths = [len(x) for x in self.bytes]
         automaton = SuffixAutomaton([self.bytes[i] for i in own])
         self.link, self.length = np.array(automaton.link), np.array(automaton.length)
         token = np.full(len(self.link), -1)
@@ -140,13 +167,14 @@ class Tables:
         self.step_to = np.array([to for go in automaton.go for to in go.values()])
 
 
-class Fit(dict):
-    """Whether two tokens can follow each other; answers are remembered."""
+class Fit:
+    """Whether two tokens can follow each other; answers are remembered in a row a left token."""
 
     def __init__(self, tables: Tables):
-        super().__init__()
         self.merge, self.size = tables.merge, tables.size
         self.rank, self.left, self.right = tables.rank.tolist(), tables.left.tolist(), tables.right.tolist()
+        self.rows: list[dict[int, bool]] = [{} for _ in range(self.size)]
+        self.known = 0
 
     def open_until(self, u: int, v: int, until: int = NEVER) -> bool:
         """Does the seam of u and v stay open for all merges before rank ``until``?
@@ -169,10 +197,13 @@ class Fit(dict):
             else:
                 return True
 
-    def __missing__(self, pair: int) -> bool:
-        if len(self) > PAIRS:
-            self.clear()
-        self[pair] = fits = self.open_until(*divmod(pair, self.size))
+    def add(self, u: int, v: int) -> bool:
+        if self.known > PAIRS:
+            self.known = 0
+            for row in self.rows:
+                row.clear()
+        self.known += 1
+        self.rows[u][v] = fits = self.open_until(u, v)
         return fits
 
 
@@ -184,70 +215,133 @@ class Encoder(dict):
 
     def __init__(self, tables: Tables, special: bool = True):
         super().__init__()
-        self.tables, self.fit, self.old = tables, Fit(tables), {}
-        self.go = dict(zip(tables.step_keys.tolist(), tables.step_to.tolist(), strict=True))
-        self.link, self.length, self.token, self.up = (x.tolist() for x in (tables.link, tables.length, tables.token, tables.up))
-        self.pretokens = regex.compile(PRETOKENS).findall
+        self.tables, self.fit, self.old, self.pieces = tables, Fit(tables), {}, {}
+        self.step = {k: (to, 0) for k, to in zip(tables.step_keys.tolist(), tables.step_to.tolist(), strict=True)}
+        self.link, self.length = tables.link.tolist(), tables.length.tolist()
+        # Per state: the length of the token that it is, and the tokens that end where it ends, with and without that one.
+        token, up = tables.token.tolist(), tables.up.tolist()
+        self.whole = [n if t >= 0 else -1 for n, t in zip(self.length, token, strict=True)]
+        self.ends: list[tuple] = [()] * len(token)
+        for s in np.argsort(tables.length, kind="stable")[1:].tolist():
+            self.ends[s] = ((self.length[s], token[s]), *self.ends[up[s]]) if token[s] >= 0 else self.ends[up[s]]
+        self.inner = [self.ends[u] for u in up]
+        self.pretokens = regex.compile(tables.pattern, regex.V1).findall
         added = sorted(tables.added, key=len, reverse=True) if special else []
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
-    def last_tokens(self, piece: bytes) -> list[int]:
-        """The last token of the encoding of every prefix of ``piece``; of the empty one, -1."""
-        go, link, lengths, token, up, fit, size = self.go, self.link, self.length, self.token, self.up, self.fit, self.tables.size
-        last = [-1]
-        state = n = i = 0
-        for b in piece:
-            i += 1
-            to = go.get(state << 8 | b)
-            while to is None:
-                state = link[state]
-                n = lengths[state]
-                to = go.get(state << 8 | b)
-            state = to
-            n += 1
-            at = state if n == lengths[state] and token[state] >= 0 else up[state]
-            if n < lengths[state] and n <= lengths[link[state]]:  # the match is one of a shorter class
-                at = up[state]
-            while True:
-                before = last[i - lengths[at]]
-                if before < 0 or fit[before * size + token[at]]:
-                    break
-                at = up[at]
-            last.append(token[at])
-        return last
-
-    def piece_ids(self, piece: bytes) -> list[int]:
-        last, widths = self.last_tokens(piece), self.tables.bytes
-        ids, at = [], len(piece)
-        while at:
-            ids.append(last[at])
-            at -= len(widths[last[at]])
-        return ids[::-1]
+    def _fall_back(self, state: int, b: int) -> tuple[int, int]:
+        """The state after ``b`` where the match must be shortened first, and the match's new length; remembered."""
+        at = state
+        while (to := self.step.get(at << 8 | b)) is None or to[1]:
+            at = self.link[at]
+        hop = (to[0], self.length[at] + 1)
+        if len(self.step) < MOST_STEPS:
+            self.step[state << 8 | b] = hop
+        return hop
 
-    def _ids(self, text: str) -> bytes:
-        return np.array([i for p in self.pretokens(text) for i in self.piece_ids(p.encode())], "<u4").tobytes()
+    def prefixes(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """For each piece the last token of every prefix of it (-1 for the empty one); good until the next is asked for.
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+        Prefixes that a piece shares with the piece before it are not worked out again, so pieces best come sorted.
+        """
+        step, whole, ends, inner, rows, add = self.step, self.whole, self.ends, self.inner, self.fit.rows, self.fit.add
+        last, states, matched, known = [-1], [0], [0], b""
+        for piece in pieces:
+            i, shared = 0, min(len(known), len(piece))
+            while i < shared and known[i] == piece[i]:
+                i += 1
+            del last[i + 1 :], states[i + 1 :], matched[i + 1 :]
+            state, n = states[i], matched[i]
+            for b in piece[i:]:
+                i += 1
+                hop = step.get(state << 8 | b) or self._fall_back(state, b)
+                state = hop[0]
+                n = hop[1] or n + 1
+                for width, token in ends[state] if n == whole[state] else inner[state]:
+                    before = last[i - width]
+                    if before < 0:
+                        break
+                    fits = rows[before].get(token)
+                    if fits or fits is None and add(before, token):
+                        break
+                last.append(token)
+                states.append(state)
+                matched.append(n)
+            known = piece
+            yield last
+
+    def ids_of(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """The ids of each piece: last tokens, followed back from the end."""
+        width = self.tables.widths
+        for last in self.prefixes(pieces):
+            ids, at = [], len(last) - 1
+            while at:
+                ids.append(last[at])
+                at -= width[last[at]]
+            ids.reverse()
+            yield ids
+
+    def _text_ids(self, text: str) -> bytes:
+        return b"".join([self.get(p[1:]) or self._piece(p) if p[0] == " " else self._piece(p) for p in self.pretokens(text)])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
         if ids is None:
-            ids = self._ids(" " + word)
-        if len(word) <= WORD_CHARS:
-            self[word] = ids
+            ids = array("I", next(self.ids_of([piece.encode()]))).tobytes()
+            if len(piece) <= PIECE_CHARS:
+                if len(self.pieces) > REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
         return ids
 
-    def __call__(self, text: str) -> bytes:
+    def learn(self, words: set[str]) -> None:
+        """Enter all words that are not known yet."""
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        out = []
-        for k, part in enumerate(self.added.split(text) if self.added else [text]):
-            if k % 2:
-                out.append(self.tables.added[part].to_bytes(4, "little"))
-            elif part:
+        new, letters, stopped = words.difference(self), [], []
+        for word in new:
+            ids = self.old.get(word)
+            if ids is not None:
+                self[word] = ids
+            elif _LETTERS(word):
+                letters.append(word)
+            elif spelt := _WORD.fullmatch(word):
+                stopped.append((word, *spelt.groups()))
+                if spelt[1] not in self and spelt[1] not in new:
+                    letters.append(spelt[1])
+            else:
+                self[word] = self._text_ids(" " + word)
+        letters = sorted(set(letters))
+        for word, ids in zip(letters, self.ids_of((" " + w).encode() for w in letters), strict=True):
+            self[word] = array("I", ids).tobytes()
+        for word, own, stops in stopped:
+            self[word] = self[own] + self._piece(stops)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts: list[list[tuple[str, list[str]]]] = []
+        words: set[str] = set()
+        for text in texts:
+            cut = []
+            for part in self.added.split(text) if self.added else [text]:
                 first, *rest = _SEAM.split(part)
-                out.append(self._ids(first))
-                out.extend(map(self.__getitem__, rest))
-        return b"".join(out)
+                words.update(rest)
+                cut.append((first, rest))
+            parts.append(cut)
+        self.learn(words)
+        out = []
+        for cut in parts:
+            ids = []
+            for k, (first, rest) in enumerate(cut):
+                if k % 2:  # a special token: it has no seam, or is taken whole all the same
+                    ids.append(self.tables.added[" ".join([first, *rest])].to_bytes(4, "little"))
+                else:
+                    ids.append(self._text_ids(first))
+                    ids.extend(map(self.__getitem__, rest))
+            out.append(b"".join(ids))
+        if len(words) > MOST_WORDS:  # a chunk of very many words is not kept
+            self.clear()
+        return out
 
 
 def decoded(ids: bytes, tokens: list[bytes]) -> str:
@@ -282,7 +376,7 @@ def with_ids(documents: DataFrame, tokenizer: str, text: str = "text", column: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(sent, special)
         for batch in chunks(batches, text):
-            ids = pa.array([encoder(t or "") for t in batch.column(text).to_pylist()], pa.binary())
+            ids = pa.array(encoder([t or "" for t in batch.column(text).to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, column])
 
     return map_arrow(documents, encode, T.StructType([*documents.schema.fields, T.StructField(column, T.BinaryType())]))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import collocations, leaks, licences, mixing, neardup, quality, rules, substrings, tokens, toxicity, warc
+from barframe.llm import bpe, collocations, leaks, licences, mixing, neardup, quality, rules, substrings, tokens, toxicity, warc
 from barframe.llm.common import remainder, table
 from barframe.llm.oracles import ORACLES  # noqa: F401
 
@@ -59,10 +59,19 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.with_text(bpe.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).select("doc_id", "ids"), tokenizer)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_toxicity, op3_token_files, op4_warc_derivatives, op5_mixing, op6_substring_dedup, op7_near_duplicates, op8_benchmark_leaks,
-    op9_quality_rules, op10_licence_scan, op12_collocations)}
+    op9_quality_rules, op10_licence_scan,
+    op11_bpe_round_trip, op12_collocations)}

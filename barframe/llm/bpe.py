@@ -34,9 +34,9 @@ from barframe.llm.common import chunks, map_arrow
 #: Fixed value: the pre-tokens of byte-level tokenizers, for letters L, numbers N and what is neither X.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{X}+|\s+(?!\S)|\s+"
 #: A word of letters that every Unicode version knows, and stops after it: a pre-token each.
-_LATIN = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
-_WORD = re.compile(f"([{_LATIN}]+)([.,;:!?]+)")
-_LETTERS = re.compile(f" ?[{_LATIN}]+").fullmatch
+LATIN = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
+_WORD = re.compile(f"([{LATIN}]+)([.,;:!?]+)")
+_LETTERS = re.compile(f" ?[{LATIN}]+").fullmatch
 #: A space before a visible character always begins a new pre-token.
 _SEAM = re.compile(r" (?=\S)")
 #: Remembered words a generation, words of one chunk that may be remembered at all, and remembered pairs.

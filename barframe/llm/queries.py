@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import bpe, collocations, leaks, licences, mixing, neardup, quality, rules, substrings, tokens, toxicity, warc
+from barframe.llm import alignment, bpe, collocations, leaks, licences, mixing, neardup, quality, rules, substrings, tokens, toxicity, warc
 from barframe.llm.common import remainder, table
 from barframe.llm.oracles import ORACLES  # noqa: F401
 
@@ -71,7 +71,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_toxicity, op3_token_files, op4_warc_derivatives, op5_mixing, op6_substring_dedup, op7_near_duplicates, op8_benchmark_leaks,
     op9_quality_rules, op10_licence_scan,
-    op11_bpe_round_trip, op12_collocations)}
+    op11_bpe_round_trip, op12_collocations, op13_tokenizer_alignment)}

@@ -113,6 +113,7 @@ class Side:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -123,6 +124,8 @@ class Side:
         new = [w for w in new if w not in again]
         for word, ids in zip(new, self.encode(new) if new else [], strict=True):
             self.known[word] = array("i", ids).tobytes()
+            if len(word) > WORD_CHARS:
+                self.long.append(word)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has. A text is a list of known words."""
@@ -130,9 +133,10 @@ class Side:
         return np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.array([len(p) // 4 for p in parts])
 
     def forget(self) -> None:
-        """Drop words that are too long to keep."""
-        for word in [w for w in self.known if len(w) > WORD_CHARS]:
+        """Drop the words of the last text that are too long to keep."""
+        for word in self.long:
             del self.known[word]
+        self.long = []
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         n = self.width[ids]

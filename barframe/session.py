@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +72,41 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+#: Tables written since the innermost ``settle`` began.
+_STEPS: ContextVar[tuple[str, ...]] = ContextVar("barframe_steps", default=())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage through a written table in the shared folder (survives executor loss)."""
+    """Cut lineage through a written table in the shared folder (survives executor loss).
+
+    The table stays until the ``settle`` around it ends, or for good if there is none.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    _STEPS.set((*_STEPS.get(), path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write what ``build`` returns, and delete the tables that were cut for it, also if it fails.
+
+    What is returned depends on its own table only; that one belongs to the next ``settle`` around, if any.
+    """
+    around = _STEPS.get()
+    _STEPS.set(())
+    try:
+        result = build()
+        path = scratch_path(spark, label)
+        result.write.mode("overwrite").parquet(path)
+        around = (*around, path)
+    finally:
+        for step in _STEPS.get():
+            delete(spark, step)
+        _STEPS.set(around)
+    return spark.read.schema(result.schema).parquet(path)

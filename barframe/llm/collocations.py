@@ -26,6 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barframe.llm import bloom
 from barframe.llm.common import BASE_1, U64, Words, map_arrow, mixed, signed, text_bytes
 from barframe.session import cut
 
@@ -44,9 +45,8 @@ BREAKS[[0x20, 0x09]] = True
 #: Bytes of text whose windows are added up at once.
 BLOCK_BYTES = 8 << 20
 OUT_ROWS = 1 << 16
-#: Distinct pairs that a task gathers before it passes them on, and the filter of frequent pairs.
+#: Distinct pairs that a task gathers before it passes them on.
 HELD_PAIRS = 4_000_000
-HASHES, MOST_BITS = 4, 1 << 30
 #: A pair of words with more than this share of a sample's windows is dealt by its third word, too.
 HOT_SHARE, SAMPLE_OF, SALTS = 1 / 2000, 64, 32
 WORDS = [f"w{k + 1}" for k in range(ORDER)]
@@ -118,7 +118,7 @@ class Block:
         A window ends where its piece ends, or before the first pair of words that ``frequent`` does not know.
         """
         columns, goes_on = [self.numbers], np.ones(self.size, bool)
-        known = np.ones(self.size, bool) if frequent is None else holds(frequent, self.pairs())
+        known = np.ones(self.size, bool) if frequent is None else bloom.holds(frequent, self.pairs())
         for k in range(1, ORDER):
             goes_on = goes_on & (self.lead(known.astype(np.int64), k - 1) == 1 if k > 1 else known)
             columns.append(np.where(goes_on, self.lead(self.numbers, k), -1))
@@ -157,34 +157,11 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _places(pair: Column, k: int, bits: int) -> Column:
-    return (pair.bitwiseAND(F.lit(0xFFFFFFFF)) + k * F.shiftrightunsigned(pair, 32)) % bits
-
-
-def holds(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Which pairs the filter knows; all it was made of and few others."""
-    low, high, size = pairs & U64(0xFFFFFFFF), pairs >> U64(32), U64(64 * len(bits))
-    out = np.ones(len(pairs), bool)
-    for k in range(HASHES):
-        place = (low + U64(k) * high) % size
-        out &= (bits[place >> U64(6)] >> (place & U64(63)) & U64(1)).astype(bool)
-    return out
-
-
 def frequent_pairs(documents: DataFrame, least: int = LEAST) -> np.ndarray:
-    """A Bloom filter of the pairs of words that stand ``least`` times, by hashes: equal hashes only make it larger.
-
-    Its size follows their number up to ``MOST_BITS``; from there on it lets more windows pass, never fewer.
-    """
+    """A filter of the pairs of words that stand ``least`` times, by hashes: equal hashes only make it larger."""
     texts = documents.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     counted = map_arrow(texts, _pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    frequent = cut(counted.where(F.col("n") >= least).select("pair"), "collocation-pairs")
-    bits = min(MOST_BITS, 1 << max(16, (12 * frequent.count()).bit_length()))
-    places = frequent.select(F.explode(F.array(*[_places(F.col("pair"), k, bits) for k in range(HASHES)])).alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, U64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
-    return out
+    return bloom.made_of(cut(counted.where(F.col("n") >= least).select("pair"), "collocation-pairs"))
 
 
 def _windows(frequent: Broadcast | None):

@@ -13,7 +13,7 @@ Members of a bucket that are still apart are compared in blocks, all of them, so
 is lost: sketches first, then the full sets of those that have a hopeful pair. A block yields links, not pairs.
 
 Recall: at similarity s a pair shares a bucket with 1 - (1 - s**ROWS) ** BANDS, 0.99999998 at 0.85 and
-0.999997 at 0.8, and the estimate lies within ``SIGMAS`` standard errors with 0.999997.
+0.999993 at 0.8, and the estimate lies within ``SIGMAS`` standard errors with 0.999997.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 than five words are one shingle; equal texts are one node; rows without id are kept and link with nothing;
@@ -24,17 +24,20 @@ rows of one id with different texts are nodes of their own; an empty table gives
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.common import BASE_2, U64, Words, chunks, free_name, map_arrow, mixed, release, signed, windows
+from barframe.llm import bloom
+from barframe.llm.common import BASE_2, U64, Words, chunks, free_name, map_arrow, mixed, signed, windows
 from barframe.llm.components import components
-from barframe.session import cut
+from barframe.session import cut, settle
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base of the scale, and the rate that keeps small sets off the lower end.
 SCALE, RATE = 1.001, 20.0
@@ -134,7 +137,10 @@ def _bands(batches):
         if batch.num_rows:
             r = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U64)
             band = np.tile(np.arange(BANDS, dtype=U64), len(r))
-            packed = (((r[:, :, 0] << U64(16) | r[:, :, 1]) << U64(16) | r[:, :, 2]) << U64(16) | r[:, :, 3]).ravel()
+            packed = np.zeros(r.shape[:2], U64)
+            for k in range(ROWS):
+                packed = mixed(packed + r[:, :, k] + U64(1))
+            packed = packed.ravel()
             yield pa.record_batch([signed(mixed(packed + mixed(band + U64(1)))), pa.array(band.astype(np.int32)), pa.array(np.repeat(batch.column("key").to_numpy(), BANDS))], names=["band", "no", "key"])
 
 
@@ -247,8 +253,10 @@ class _Nodes:
     def __init__(self, nodes: DataFrame, buckets: DataFrame, rows: DataFrame, percent: int):
         self.percent = percent
         self.nodes = cut(nodes.join(buckets.select("key").distinct(), "key"), "near-nodes")
-        texts = self.nodes.select("doc_id", "mark", "key").join(rows, ["doc_id", "mark"]).select("key", "text")
-        self.sets = cut(map_arrow(texts, _sets, "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
+        # Texts are not moved: a filter of the nodes' documents goes to them. The few others that pass are harmless.
+        wanted = rows.sparkSession.sparkContext.broadcast(bloom.made_of(cut(self.nodes.select(F.xxhash64("doc_id", "mark").alias("h")), "near-wanted")))
+        hashed = rows.where("doc_id is not null").select(F.xxhash64("doc_id", "mark").alias("h"), "text")
+        self.sets = cut(map_arrow(hashed, _sets(wanted), "key long, shingles array<long>").dropDuplicates(["key"]), "near-sets")
 
     def hopeful(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.nodes.select(F.col("key").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -261,11 +269,20 @@ class _Nodes:
         return counted.where(100 * F.col("both") >= self.percent * F.col("either")).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"))
 
 
-def _sets(batches):
-    for batch in chunks(batches):
-        sets = shingle_sets(batch.column("text"))
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        yield pa.record_batch([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(sets)))], names=["key", "shingles"])
+def _sets(wanted: Broadcast):
+    """The full sets of the rows whose hash passes the filter, under their key."""
+
+    def run(batches):
+        for batch in batches:
+            passing = bloom.holds(wanted.value, batch.column("h").to_numpy().view(U64))
+            for part in chunks(iter([batch.filter(pa.array(passing))])):
+                sets = [s for s in shingle_sets(part.column("text")) if len(s)]
+                if sets:
+                    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                    keys = np.array([mixed(s).sum() for s in sets], U64)
+                    yield pa.record_batch([signed(keys), pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate(sets)))], names=["key", "shingles"])
+
+    return run
 
 
 def _apart(buckets: DataFrame, links: DataFrame, label: str) -> DataFrame:
@@ -277,6 +294,11 @@ def _apart(buckets: DataFrame, links: DataFrame, label: str) -> DataFrame:
 
 
 def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``_linked``, written, with all its steps deleted."""
+    return settle(documents.sparkSession, lambda: _linked(documents, percent), "near-linked")
+
+
+def _linked(documents: DataFrame, percent: int) -> DataFrame:
     """(doc_id, mark, n_shingles, component, component_id) of every row of ``documents``; ``mark`` is the hash of its text.
 
     ``component`` tells apart components of one id with unrelated texts; it is null where the set is empty.
@@ -305,9 +327,10 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "no", (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "component")
     sketches_ = known.nodes.select("key", "n_shingles", "sketch")
-    facing = dealt.join(sketches_, "key").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since the work is not in proportion to bytes
+    facing = dealt.join(sketches_, "key").repartition(tasks, *_BLOCK).sortWithinPartitions(*_BLOCK)
     open_ = cut(map_arrow(facing, _open_members(percent), "band long, i int, j int, no int, side int, key long, component long"), "near-open")
-    facing = open_.join(sketches_, "key").join(known.sets, "key").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    facing = open_.join(sketches_, "key").join(known.sets, "key").repartition(tasks, *_BLOCK).sortWithinPartitions(*_BLOCK)
     links = links.select("a", "b").unionByName(map_arrow(facing, _links_within(percent), "a long, b long"))
     groups = components(links.select("a", "b"), "near-groups").withColumnRenamed("id", "key")
     # A component is named by its smallest document.
@@ -325,17 +348,31 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group; all columns as they are.
 
-    Texts are moved once, to meet the ids that stay. Only ids and texts that stand in several rows are gathered again.
+    A filter tells rows that surely stay from those in question; only the latter are moved, and only ids and texts that
+    stand in several rows are gathered.
     """
     mark, spare, an_id, its_mark, rows = (free_name(documents, x) for x in ("near_mark", "near_row", "near_id", "near_id_mark", "near_rows"))
-    keep = linked(documents, percent).where("doc_id is not null and doc_id = component_id").groupBy("doc_id", "component", "mark").agg(F.count(F.lit(1)).alias("n"))
-    keep = cut(keep.groupBy("doc_id", "component").agg(F.min(F.struct("mark", "n")).alias("k")).select(F.col("doc_id").alias(an_id), F.col("k.mark").alias(its_mark), F.col("k.n").alias(rows)), "near-keep")
-    release(documents.sparkSession)
-    marked = documents.withColumn(mark, F.xxhash64("text"))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    spark = documents.sparkSession
 
-    def staying(some: DataFrame, *more: str) -> DataFrame:
-        return marked.where("doc_id is not null").join(some, (F.col("doc_id").cast("long") == F.col(an_id)) & (F.col(mark) == F.col(its_mark))).select(*columns, *more)
+    def decided() -> DataFrame:
+        one = linked(documents, percent).where("doc_id is not null").withColumn("stays", F.col("doc_id") == F.col("component_id"))
+        kept = one.where("stays").groupBy("doc_id", "component", "mark").agg(F.count(F.lit(1)).alias("n"))
+        kept = kept.groupBy("doc_id", "component").agg(F.min(F.struct("mark", "n")).alias("k")).select("doc_id", "k.mark", "k.n")
+        # Rows in question: those of a (doc_id, mark) that goes, or that stands in several rows.
+        rows_ = one.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("all")).join(kept, ["doc_id", "mark"], "left")
+        return rows_.where("n is null or all > 1").select(F.col("doc_id").alias(an_id), F.col("mark").alias(its_mark), F.col("n").isNotNull().alias(rows))
 
-    several = staying(keep.where(F.col(rows) > 1), an_id, its_mark).groupBy(an_id, its_mark).agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
-    return staying(keep.where(F.col(rows) == 1)).unionByName(several).unionByName(marked.where("doc_id is null").select(*columns))
+    asked = settle(spark, decided, "near-asked")
+    filter_ = spark.sparkContext.broadcast(bloom.made_of(settle(spark, lambda: asked.select(F.xxhash64(an_id, its_mark).alias("h")), "near-asked-hashes")))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.holds(filter_.value, h.to_numpy().view(U64)))
+
+    # Only rows that the filter holds are moved, to meet the decision; all others stay where they are.
+    marked = documents.withColumn(mark, F.xxhash64("text")).withColumn(spare, F.col("doc_id").isNotNull() & maybe(F.xxhash64(F.col("doc_id").cast("long"), F.col(mark))))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    met = (F.col("doc_id").cast("long") == F.col(an_id)) & (F.col(mark) == F.col(its_mark))
+    moved = marked.where(F.col(spare)).join(asked, met, "left")
+    several = moved.where(F.col(rows)).groupBy(an_id, its_mark).agg(F.min(F.struct(*columns)).alias(spare)).select(f"{spare}.*")
+    return marked.where(~F.col(spare)).select(*columns).unionByName(moved.where(F.col(rows).isNull()).select(*columns)).unionByName(several)

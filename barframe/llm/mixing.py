@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.llm.common import free_name
-from barframe.session import cut
+from barframe.session import cut, settle
 
 EPOCHS = 3
 WEIGHTS = (5, 2, 1)
@@ -60,17 +60,22 @@ def source_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long"))
 
 
+def _place(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, marked: bool = False) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of ``documents``; if ``marked``, also mark, the hash of its text.
+    """(doc_id, size, source, source_size, target, taken) of every row of ``documents``; if ``marked``, also what ``mix`` needs.
 
-    Order within a source is the md5 of seed and id. Its first three digits name one of 4,096 buckets:
+    That is the row's place in the seeded order (place, then doc_id, size and mark, the hash of the text), the whole rounds
+    of its source, and extra, its words in the last round. Order within a source is the md5 of seed and id. Its first three digits name one of 4,096 buckets:
     sizes are summed by bucket first, so running totals need one row a bucket and, inside a bucket, its
     own documents only; no task ever holds a whole source.
     """
     spark, mark = documents.sparkSession, ["mark"] if marked else []
     sized = cut(documents.select(
         "doc_id", "source", word_count("text").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
+        _place(seed).alias("place"),
         *[F.xxhash64("text").alias(m) for m in mark],
     ).withColumn("bucket", F.substring("place", 1, 3)), "mix-sizes")
     # Small tables (one row a source, 4,096 rows a source) are written, so that the planner knows their size and broadcasts by it.
@@ -87,35 +92,53 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *mark).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return rows.withColumn("taken", F.col("rounds") * F.col("size") + extra).select("doc_id", "size", "source", "source_size", "target", "taken", *mark)
+    rows = rows.withColumn("extra", extra).withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "taken", *(["place", "mark", "rounds", "extra"] if marked else []))
+
+
+def edges(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """Where each source's last round ends: (source, rounds, edge, alike, whole, part).
+
+    Documents before ``edge`` are taken once more than ``rounds``. Of the ``alike`` ones at the edge ``whole`` are, too,
+    and ``part`` words of one.
+    """
+    rows = cut(plan(documents, weights, epochs, seed, marked=True).select("source", "rounds", "size", "extra", F.struct("place", "doc_id", "size", "mark").alias("at")), "mix-plan")
+    last = cut(rows.groupBy("source").agg(F.first("rounds").alias("rounds"), F.max(F.when(F.col("extra") > 0, F.col("at"))).alias("edge")), "mix-last")
+    there = last.select(F.col("source").alias("its"), "edge")
+    at_edge = rows.where("size > 0").join(there, F.expr("source <=> its and at <=> edge"))
+    ends = at_edge.groupBy("its").agg(F.count(F.lit(1)).alias("alike"), F.count_if(F.col("extra") == F.col("size")).alias("whole"), F.sum(F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(0)).alias("part"))
+    return last.join(ends, F.expr("source <=> its"), "left").select("source", "rounds", "edge", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("alike", "whole", "part")])
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``documents``, each as often as the plan takes it; a part is its first words.
 
-    Plan and rows meet by id, source and text. Rows that agree in all three are numbered on both sides, so that
-    each has its own share; only those are gathered.
+    A source's last round ends at one place of its seeded order, so one row a source tells all and texts are not moved.
+    Rows that share that place (equal ids and texts) are numbered, so that each has a share of its own; only those are
+    gathered, and only if there are several.
     """
-    size, taken, copy, share, mark, number, an_id, its_source, its_mark, its_number, rows = (
-        free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share", "mix_mark", "mix_number", "mix_id", "mix_id_source", "mix_id_mark", "mix_id_number", "mix_rows"))
-    alike = Window.partitionBy(an_id, its_source, its_mark)
-    planned = cut(
-        plan(documents, weights, epochs, seed, marked=True).where("size > 0")
-        .select(F.col("doc_id").alias(an_id), F.col("source").alias(its_source), F.col("mark").alias(its_mark), F.col("taken").alias(taken))
-        .withColumn(its_number, F.row_number().over(alike.orderBy(F.desc(taken)))).withColumn(rows, F.count(F.lit(1)).over(alike)).where(F.col(taken) > 0), "mix-plan")
-    sized = documents.withColumn(mark, F.xxhash64("text")).withColumn(size, word_count("text"))
-    met = F.col("doc_id").eqNullSafe(F.col(an_id)) & F.col("source").eqNullSafe(F.col(its_source)) & (F.col(mark) == F.col(its_mark))
-    columns = [*[F.col(f"`{c}`") for c in documents.columns], size, taken]
-    once = sized.join(planned.where(F.col(rows) == 1), met).select(*columns)
-    again = planned.where(F.col(rows) > 1)
-    order = [F.col(f"`{c}`") for c, kind in documents.dtypes if not any(x in kind for x in ("map<", "variant"))]
-    numbered = sized.join(again.where(F.col(its_number) == 1), met, "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", mark).orderBy(*order)))
-    joined = once.unionByName(numbered.join(again, met & (F.col(number) == F.col(its_number))).select(*columns))
-    whole = F.expr(f"`{taken}` div `{size}`")
+    spark = documents.sparkSession
+    size, taken, copy, share, number, at = (free_name(documents, n) for n in ("mix_size", "mix_taken", "mix_copy", "mix_share", "mix_number", "mix_at"))
+    names = {n: free_name(documents, f"mix_{n}") for n in ("source", "rounds", "edge", "alike", "whole", "part")}
+    ends = settle(spark, lambda: edges(documents, weights, epochs, seed), "mix-edges").withColumnsRenamed(names)
+    source, rounds, edge, alike, whole, part = (F.col(n) for n in names.values())
+    sized = documents.withColumn(size, word_count("text")).where(F.col(size) > 0).withColumn(
+        at, F.struct(_place(seed).alias("place"), "doc_id", F.col(size).alias("size"), F.xxhash64("text").alias("mark")))
+    met = sized.join(ends, F.col("source").eqNullSafe(source))
+    here = F.col(at).eqNullSafe(edge)
+    if ends.where(alike > 1).isEmpty():
+        met = met.withColumn(number, F.lit(1))
+    else:
+        order = [F.col(f"`{c}`") for c, kind in documents.dtypes if not any(x in kind for x in ("map<", "variant"))]
+        alone = met.where(~here).withColumn(number, F.lit(1))
+        met = alone.unionByName(met.where(here).withColumn(number, F.row_number().over(Window.partitionBy("source").orderBy(*order))))
+    extra = F.when(F.col(at) < edge, F.col(size)).when(~here, 0).when(F.col(number) <= whole, F.col(size)).when(F.col(number) == whole + 1, part).otherwise(0)
+    joined = met.withColumn(taken, rounds * F.col(size) + F.coalesce(extra, F.lit(0))).where(F.col(taken) > 0)
+    times = F.expr(f"`{taken}` div `{size}`")
     repeated = joined.withColumn(share, F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)))).withColumn(copy, F.explode(share))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col(taken) - whole * F.col(size)).cast("int"))
-    text = F.when(F.col(copy) <= whole, F.col("text")).otherwise(F.array_join(words, " "))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col(taken) - times * F.col(size)).cast("int"))
+    text = F.when(F.col(copy) <= times, F.col("text")).otherwise(F.array_join(words, " "))
     changed = {"text": text}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col(copy) <= whole, F.col("n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(copy) <= times, F.col("n_chars")).otherwise(F.length(text)).cast(documents.schema["n_chars"].dataType)
     return repeated.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])

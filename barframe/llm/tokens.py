@@ -2,9 +2,9 @@
 
 Documents in ascending id order become one stream of token ids, an end id after each. A shard is one
 range of ids; it is written as an Arrow file whose batches hold ``BATCH_ROWS`` sequences of exactly
-``SEQUENCE`` ids and a mask of the same shape (false: padding after the shard's last id). All batches but
+``SEQUENCE`` ids and a mask of the same shape, a byte each (0: padding after the shard's last id). All batches but
 the last are equal, so sequence i lies in batch i // BATCH_ROWS at row i % BATCH_ROWS, and a memory map
-gives its ids without a copy. A second file of the shard lists its documents: id, first token, length.
+gives its ids and its mask without a copy. A second file of the shard lists its documents: id, first token, length.
 Ids fit 16 bits if the vocabulary does, else they take 32.
 
 Defined results: a null or empty text is the end id alone; rows of one id follow each other by text;
@@ -33,12 +33,16 @@ from barframe.session import cut, scratch_path
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
+#: Text a shard, about; and the characters of a text that order it among texts of one id before shards are cut.
+SHARD_BYTES, KEY_CHARS = 256 << 20, 32
 END = 2
 #: Encoded pieces in one generation of what a worker remembers, none longer than PIECE_CHARS.
 REMEMBERED, PIECE_CHARS = 250_000, 40
+#: A text beyond so many characters leaves nothing behind.
+LONG_TEXT = 1 << 22
 #: Latin letters, and a word of them with a stop or none.
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
-_WORD = re.compile(f"([{_LETTERS}]+)([.,]?)")
+_WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)")
 #: A space before a visible character always begins a new pre-token, so a text may be cut there.
 _SEAM = re.compile(r" (?=\S)")
 
@@ -65,36 +69,43 @@ class Encoder(dict):
         self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         self.space = spell.pre_tokenize_str(" ")[0][0]
         self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None
-        self.stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in ("", ".", ",")}
+        self.stops = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
+        self.model, self.parts = self.library.model.tokenize, self.library.pre_tokenizer.pre_tokenize_str if self.direct else None
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _encoded(self, piece: str) -> bytes:
-        if self.direct and (m := _WORD.fullmatch(piece)):
-            ids = [t.id for t in self.library.model.tokenize(self.space + m[1].translate(self.spelt))] + self.stops[m[2]]
-        else:
+        """The ids of a space and ``piece``."""
+        if not self.direct or any(x in piece for x in self.added):
             ids = self.library.encode(" " + piece, add_special_tokens=False).ids
+        elif m := _WORD.fullmatch(piece):
+            if m[2]:
+                return self[m[1]] + self.stops[m[2]]
+            ids = [t.id for t in self.model(self.space + piece.translate(self.spelt))]
+        else:  # the library's own steps, which spares it all but the ids
+            ids = [t.id for part, _ in self.parts(" " + piece) for t in self.model(part)]
         return array(self.code, ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) or self._encoded(piece)
-        if len(piece) <= PIECE_CHARS:
-            self[piece] = ids
+        self[piece] = ids = self.old.get(piece) or self._encoded(piece)
         return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
         if len(self) > REMEMBERED:
-            self.old = dict(self)
+            self.old = {k: v for k, v in self.items() if len(k) <= PIECE_CHARS}
             self.clear()
         out = []
         for text in texts:
             first, *rest = _SEAM.split(text)
             begun = array(self.code, self.library.encode(first, add_special_tokens=False).ids).tobytes()
             out.append(begun + b"".join(map(self.__getitem__, rest)))
+            if len(self) > 2 * REMEMBERED or len(text) > LONG_TEXT:  # very many or very long pieces are not kept
+                self.clear()
         return out
 
 
 def _schema(kind: type) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,7 +115,7 @@ def _batch(ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     rows = -(-len(ids) // SEQUENCE)
     padded = np.zeros(rows * SEQUENCE, ids.dtype)
     padded[: len(ids)] = ids
-    mask = np.arange(len(padded)) < len(ids)
+    mask = (np.arange(len(padded)) < len(ids)).view(np.uint8)
     return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (padded, mask)], schema=schema)
 
 
@@ -171,8 +182,11 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = END) ->
             shard.close()
             yield pa.record_batch([pa.array([number], pa.int64()), pa.array([shard.total], pa.int64())], names=["shard", "tokens"])
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
-        _shards(documents.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    # Of many rows without id or with one id, the beginning of the text deals them to several shards.
+    keys = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, KEY_CHARS).asc_nulls_first()]
+    ordered = texts.repartitionByRange(max(_partitions(documents.sparkSession), -(-size // SHARD_BYTES)), *keys).sortWithinPartitions(keys[0], F.col("text").asc_nulls_first())
     manifest = cut(map_arrow(ordered, encode, "shard long, tokens long"), "token-manifest")
     bases, total = [], 0
     for r in manifest.orderBy("shard").collect():  # one short row a shard
@@ -181,7 +195,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = END) ->
     return documents.sparkSession.createDataFrame(bases, "shard long, tokens long, base long")
 
 
-def _shards(spark: SparkSession) -> int:
+def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -196,9 +210,8 @@ def open_shard(folder: str, shard: int) -> tuple[pa.ipc.RecordBatchFileReader, p
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and mask of one sequence of a shard, by its number alone."""
     batch = reader.get_batch(number // BATCH_ROWS)
-    row = number % BATCH_ROWS
-    ids = batch.column("ids").flatten().to_numpy()[row * SEQUENCE : (row + 1) * SEQUENCE]
-    return ids, batch.column("mask").flatten().to_numpy(zero_copy_only=False)[row * SEQUENCE : (row + 1) * SEQUENCE]
+    row = slice(number % BATCH_ROWS * SEQUENCE, (number % BATCH_ROWS + 1) * SEQUENCE)
+    return batch.column("ids").values.to_numpy()[row], batch.column("mask").values.to_numpy()[row].view(bool)
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -224,14 +237,14 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.record_batch([docs.column("doc_id"), start, docs.column("n_tokens"), pa.array(sums, pa.int64())],
                                           names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, _shards(manifest.sparkSession))
+    n = max(1, _partitions(manifest.sparkSession))
     return map_arrow(manifest.select("shard", "base").repartition(n, "shard"), load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _stream(reader: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
-        yield batch.column("ids").flatten().to_numpy()[batch.column("mask").flatten().to_numpy(zero_copy_only=False)]
+        yield batch.column("ids").values.to_numpy()[batch.column("mask").values.to_numpy().view(bool)]
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end: int = END) -> DataFrame:

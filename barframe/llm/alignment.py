@@ -37,6 +37,7 @@ from barframe.session import cut
 
 #: A single space between visible characters begins a token in both tokenizers.
 _SEAM = re.compile(r"(?<=[^ ]) (?=\S)")
+STOPS = ".,;:!?"
 #: Such a word is one pre-token.
 only_letters = re.compile(f"[{LATIN}]+").fullmatch
 #: Words in one generation of what a worker remembers, none longer than WORD_CHARS.
@@ -114,18 +115,37 @@ class Side:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.long: list[str] = []
+        # If no token holds a letter and then a stop, stops behind a word are tokens of their own.
+        self.stops: dict[str, bytes] = {}
+        parted = not any(re.search(f"[{LATIN}][{STOPS}]", t.decode("utf-8", "replace")) for t in tokens)
+        self.stopped = re.compile(f"([{LATIN}]+)([{STOPS}]{{1,3}})").fullmatch if parted else lambda word: None
+
+    def _stop(self, stops: str) -> bytes:
+        if stops not in self.stops:
+            letter, both = self.encode(["a", "a" + stops])
+            self.stops[stops] = array("i", both[len(letter) :]).tobytes()
+        return self.stops[stops]
 
     def learn(self, words: set[str]) -> None:
+        """Enter the words that are not known yet."""
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
-        new = list(words.difference(self.known))
-        again = {w: self.old[w] for w in new if w in self.old}
-        self.known.update(again)
-        new = [w for w in new if w not in again]
+        known, old, stopped = self.known, self.old, self.stopped
+        new, ended = [], []
+        for word in words.difference(known):
+            if word in old:
+                known[word] = old[word]
+            elif m := stopped(word):
+                ended.append((word, *m.groups()))
+            else:
+                new.append(word)
+        new.extend({base for _, base, _ in ended}.difference(known, words))
         for word, ids in zip(new, self.encode(new) if new else [], strict=True):
-            self.known[word] = array("i", ids).tobytes()
+            known[word] = array("i", ids).tobytes()
             if len(word) > WORD_CHARS:
                 self.long.append(word)
+        for word, base, stops in ended:
+            known[word] = known[base] + self._stop(stops)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has. A text is a list of known words."""

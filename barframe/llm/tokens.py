@@ -37,9 +37,9 @@ BATCH_ROWS = 64
 SHARD_BYTES, KEY_CHARS = 256 << 20, 32
 END = 2
 #: Encoded pieces in one generation of what a worker remembers, none longer than PIECE_CHARS.
-REMEMBERED, PIECE_CHARS = 250_000, 40
-#: A text beyond so many characters leaves nothing behind.
-LONG_TEXT = 1 << 22
+REMEMBERED, PIECE_CHARS = 400_000, 40
+#: Characters of text whose pieces are looked up at once.
+LOT_CHARS = 1 << 20
 #: Latin letters, and a word of them with a stop or none.
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
 _WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)")
@@ -73,21 +73,31 @@ class Encoder(dict):
         self.model, self.parts = self.library.model.tokenize, self.library.pre_tokenizer.pre_tokenize_str if self.direct else None
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def _encoded(self, piece: str) -> bytes:
-        """The ids of a space and ``piece``."""
+    def _pieces(self, piece: str) -> bytes:
+        """The ids of a space and ``piece``, which is no plain word."""
         if not self.direct or any(x in piece for x in self.added):
             ids = self.library.encode(" " + piece, add_special_tokens=False).ids
-        elif m := _WORD.fullmatch(piece):
-            if m[2]:
-                return self[m[1]] + self.stops[m[2]]
-            ids = [t.id for t in self.model(self.space + piece.translate(self.spelt))]
         else:  # the library's own steps, which spares it all but the ids
             ids = [t.id for part, _ in self.parts(" " + piece) for t in self.model(part)]
         return array(self.code, ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.old.get(piece) or self._encoded(piece)
-        return ids
+    def learn(self, pieces: set[str]) -> None:
+        """Enter the pieces that are not known yet."""
+        old, code, model, space, spelt = self.old, self.code, self.model, self.space, self.spelt
+        for piece in pieces.difference(self):
+            ids = old.get(piece)
+            if ids is None:
+                m = _WORD.fullmatch(piece) if self.direct else None
+                if m is None:
+                    ids = self._pieces(piece)
+                else:
+                    word, stop = m.groups()
+                    ids = self.get(word)
+                    if ids is None:
+                        self[word] = ids = array(code, [t.id for t in model(space + word.translate(spelt))]).tobytes()
+                    if stop:
+                        ids += self.stops[stop]
+            self[piece] = ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
@@ -95,15 +105,40 @@ class Encoder(dict):
             self.old = {k: v for k, v in self.items() if len(k) <= PIECE_CHARS}
             self.clear()
         out = []
-        for text in texts:
-            first, *rest = _SEAM.split(text)
-            begun = array(self.code, self.library.encode(first, add_special_tokens=False).ids).tobytes()
-            out.append(begun + b"".join(map(self.__getitem__, rest)))
-            if len(self) > 2 * REMEMBERED or len(text) > LONG_TEXT:  # very many or very long pieces are not kept
+        for lot in _lots(texts):
+            parts = [_SEAM.split(t) for t in lot]
+            self.learn(set().union(*(p[1:] for p in parts)))
+            for first, *rest in parts:
+                begun = array(self.code, self.library.encode(first, add_special_tokens=False).ids).tobytes()
+                out.append(begun + b"".join(map(self.__getitem__, rest)))
+            if len(self) > 2 * REMEMBERED:  # a lot of very many pieces leaves nothing behind
                 self.clear()
         return out
 
 
+_WORKER: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """One encoder a worker process: what a task has learnt serves the next one."""
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(path)
+    return _WORKER[path]
+
+
+def _lots(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``LOT_CHARS``."""
+    lot, size = [], 0
+    for text in texts:
+        lot.append(text)
+        size += len(text)
+        if size > LOT_CHARS:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot
+
+
 def _schema(kind: type) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
 
@@ -171,7 +206,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = END) ->
     target = as_uri(folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = Encoder(tokenizer), None, TaskContext.get().partitionId()
+        encoder, shard, number = worker_encoder(tokenizer), None, TaskContext.get().partitionId()
         closing = np.array([end], encoder.kind).tobytes()
         for batch in batches:
             if not batch.num_rows:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barframe.llm import stages
 from barframe.llm.common import prepare
-from barframe.session import cut
+from barframe.session import settle
 
 STAGES = [
     ("quality classifier", stages.quality_stage),
@@ -24,9 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{number}")
-    return docs
+    def through(number: int) -> DataFrame:
+        """The rows of stage ``number``. A stage's input is deleted as soon as its output is written."""
+        if number < 0:
+            return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+        docs = settle(spark, lambda: through(number - 1), f"stage-{number - 1}") if number else through(-1)
+        return STAGES[number][1](spark, docs, sf_dir)
+
+    return settle(spark, lambda: through(len(STAGES) - 1), "stages")

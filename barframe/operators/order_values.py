@@ -1,15 +1,12 @@
 """The value of an order out of long filing texts.
 
-A small Arrow helper finds the money mentions of each text and the words around them; which
-mentions count, how they score and which one wins are ordinary columns, open to inspection.
+Money mentions are found by two patterns whose matches and the text between them give each mention's
+place and the words around it; which mentions count, how they score and which one wins are ordinary
+columns, open to inspection.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +23,15 @@ UNIT_CRORE = {
 USD_INR = 83.0
 MIN_CRORE, MAX_CRORE = 0.05, 100_000.0
 
-# Mention patterns.
-MONEY = re.compile(
-    r"(?P<cur>(?:US\s*\$|U\.?S\.?D|\$|Rs\.?|INR|₹)\s*)?(?P<num>\d[\d,]*(?:\.\d+)?)\s*"
-    r"(?P<unit>crores?|crs?\b|lakhs?|lacs?|millions?|mn\b|billions?|bn\b)", re.I)
-UNIT_FIRST = re.compile(
-    r"(?:in|value in|amount in)\s+(?P<unit>crores?|lakhs?|lacs?|millions?|billions?)"
-    r"[^0-9%]{0,40}?(?P<num>\d[\d,]*(?:\.\d+)?)", re.I)
+# Mention patterns, groups currency, number and unit; and unit, number where the unit comes first.
+MONEY = (
+    r"((?:US\s*\$|U\.?S\.?D|\$|Rs\.?|INR|₹)\s*)?(\d[\d,]*(?:\.\d+)?)\s*"
+    r"(crores?|crs?\b|lakhs?|lacs?|millions?|mn\b|billions?|bn\b)")
+UNIT_FIRST = (
+    r"(?:in|value in|amount in)\s+(crores?|lakhs?|lacs?|millions?|billions?)"
+    r"[^0-9%]{0,40}?(\d[\d,]*(?:\.\d+)?)")
+#: Letters of either case; digits, spaces and word ends as Unicode has them.
+FLAGS = "(?iU)"
 DOLLAR = r"(?i)us\s*\$|u\.?s\.?d|\$"
 CURRENCY = r"(?i)rs\.?|inr|₹|rupees|us\s*\$|u\.?s\.?d|\$"
 QUANTITY = (
@@ -61,42 +60,47 @@ NEGATIVE = (
     "employs", "founded in", "incorporated in", "operates in",
 )
 
-MENTION = (
-    "unit_first boolean, pos int, cur string, num string, unit string, after string, lead string, around string, "
-    "near string, window string, evidence string"
-)
+#: Characters that any rule looks back or ahead, and the shortest mention.
+REACH, SHORTEST = 130, 3
 
 
-def _slices(text: str, low: str, m: re.Match, unit_first: bool) -> tuple:
-    a, b = m.span()
-    left = lambda s, n: s[max(0, a - n):a]
-    return (
-        unit_first, a, None if unit_first else (m["cur"] or ""), m["num"], m["unit"],
-        text[b:b + 22], left(text, 28), text[max(0, a - 30):b + 10], low[max(0, a - 70):b + 50],
-        left(low, 130) + " " + low[b:b + 90], text[max(0, a - 70):b + 50],
-    )
+def _matches(text: Column, pattern: str, unit_first: bool) -> Column:
+    """An array of (unit_first, pos, match, before, behind) of every match; contexts of ``REACH`` characters."""
+    found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
+    gaps = F.split(text, FLAGS + pattern, -1)
+    # A running sum of lengths gives the places.
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    places = F.aggregate(steps, start, lambda acc, x: F.struct((acc.at + x.g + x.m).alias("at"), F.array_append(acc.places, acc.at + x.g).alias("places"))).places
+    # No rule looks across more than REACH characters, so only the ends of long gaps are carried along.
+    short = F.transform(gaps, lambda g: F.when(F.length(g) > 2 * REACH, F.concat(F.left(g, F.lit(REACH)), F.right(g, F.lit(REACH)))).otherwise(g))
+    parts = F.flatten(F.zip_with(short, found, lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+    reach = 2 * (REACH // SHORTEST + 2)
 
+    def mention(place: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(1), 2 * i + 2 - reach)
+        before = F.right(F.array_join(F.slice(parts, first, 2 * i + 2 - first), ""), F.lit(REACH))
+        behind = F.left(F.array_join(F.slice(parts, 2 * i + 3, F.lit(reach)), ""), F.lit(REACH))
+        return F.struct(F.lit(unit_first).alias("unit_first"), place.alias("pos"), F.element_at(found, i + 1).alias("match"), before.alias("before"), behind.alias("behind"))
 
-def _find(batches: Iterator[pd.DataFrame], key: str, text_col: str) -> Iterator[pd.DataFrame]:
-    names = [key] + [f.split()[0] for f in MENTION.split(", ")]
-    for pdf in batches:
-        for k, text in zip(pdf[key], pdf[text_col]):
-            low = text.lower()
-            rows = [(k, *_slices(text, low, m, first)) for pattern, first in ((MONEY, False), (UNIT_FIRST, True)) for m in pattern.finditer(text)]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+    return F.transform(places, mention)
 
 
 def money_mentions(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """Every money mention with position and context; a pure map, no shuffle.
 
-    A mention needs a digit and a unit of money: texts without stay in the JVM.
+    A mention needs a digit and a unit of money: texts without are left alone.
     """
-    kind = texts.schema[key].dataType.simpleString()
-    some = texts.select(key, text_col).where(c(text_col).rlike(r"\p{Nd}") & c(text_col).rlike("(?i)(" + "|".join(sorted({u[:2] for u in UNIT_CRORE})) + ")"))
-    return some.mapInPandas(
-        lambda it: _find(it, key, text_col), f"`{key}` {kind}, {MENTION}"
-    )
+    some = texts.select(key, c(text_col).alias("_text")).where(c("_text").rlike(r"\p{Nd}") & c("_text").rlike("(?i)(" + "|".join(sorted({u[:2] for u in UNIT_CRORE})) + ")"))
+    rows = some.select(key, F.inline(F.concat(_matches(c("_text"), MONEY, False), _matches(c("_text"), UNIT_FIRST, True))))
+    before, match, behind, first = c("before"), c("match"), c("behind"), c("unit_first")
+    group = lambda pattern, i: F.regexp_extract(match, FLAGS + pattern, i)
+    around = lambda n, m: F.concat(F.right(before, F.lit(n)), match, F.left(behind, F.lit(m)))
+    return rows.select(
+        key, "unit_first", "pos", F.when(~first, group(MONEY, 1)).alias("cur"),
+        F.when(first, group(UNIT_FIRST, 2)).otherwise(group(MONEY, 2)).alias("num"), F.when(first, group(UNIT_FIRST, 1)).otherwise(group(MONEY, 3)).alias("unit"),
+        F.left(behind, F.lit(22)).alias("after"), F.right(before, F.lit(28)).alias("lead"), around(30, 10).alias("around"), F.lower(around(70, 50)).alias("near"),
+        F.lower(F.concat(before, F.lit(" "), F.left(behind, F.lit(90)))).alias("window"), around(70, 50).alias("evidence"))
 
 
 def _has_any(text: Column, words) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barframe.operators import feed, indicators, reports, screener, sessions
+from barframe.operators import feed, indicators, order_values, reports, screener, sessions
+from barframe.plans import order_value_sql
 from barframe.plans.registry import define, query
 from barframe.plans.tables import AS_OF, SINCE, SPLIT
-from barframe.session import scratch_path
+from barframe.session import scratch_path, spread
 from barframe.sources.sinks import replace_partitions
 
 c = F.col
@@ -274,19 +275,15 @@ define("typed_events", "SELECT * FROM typed WHERE event_type IS NOT NULL")
 define("entries", """SELECT t.*, e.date AS entry_date, e.close AS entry_close, e.sn AS entry_sn, e.t20, e.f1, e.f3, e.f5, e.f10, e.f20, n.nsn, n.close AS n_close, n.n1, n.n3, n.n5, n.n10, n.n20,
     CASE WHEN n.close >= n.sma50 THEN 'up' ELSE 'down' END AS regime
     FROM typed_events t ASOF JOIN fwd e ON e.ticker = t.symbol AND e.date > t.tradeable_after LEFT JOIN bfwd n ON n.date = e.date""")
-define("order_values_t", """SELECT seq_id, symbol, CAST(regexp_extract(attachment_text, '([0-9]+) (crore|lakh)', 1) AS DOUBLE) * CASE WHEN attachment_text LIKE '%lakh%' THEN 1e-2 ELSE 1e0 END AS value_cr,
-    CASE WHEN attachment_text LIKE '%crore%' THEN 'high' ELSE 'low' END AS confidence FROM filings WHERE regexp_matches(attachment_text, '[0-9]+ (crore|lakh)')""")
+define("order_values_t", f"SELECT v.*, symbol FROM ({order_value_sql.order_values('filings', 'seq_id', 'attachment_text')}) v JOIN filings USING (seq_id)")
 define("candidate_tagged", """SELECT c.*, x.seq_id IS NOT NULL AS has_catalyst, v.value_cr AS catalyst_value_cr, x.event_type AS catalyst_type
     FROM candidate_outcomes c LEFT JOIN LATERAL (SELECT seq_id, event_type FROM entries e WHERE e.symbol = c.ticker AND e.entry_sn <= c.entry_sn AND e.entry_sn > c.entry_sn - 10
       ORDER BY e.entry_sn DESC, e.seq_id LIMIT 1) x ON TRUE LEFT JOIN order_values_t v ON v.seq_id = x.seq_id AND v.confidence = 'high'""")
 
 
 def filing_order_values(t):
-    n = F.regexp_extract("attachment_text", r"([0-9]+) (crore|lakh)", 1).cast("double")
-    lakh, crore = c("attachment_text").like("%lakh%"), c("attachment_text").like("%crore%")
-    return t.filings.where(c("attachment_text").rlike("[0-9]+ (crore|lakh)")).select(
-        "seq_id", "symbol", (n * F.when(lakh, 0.01).otherwise(1.0)).alias("value_cr"), F.when(crore, "high").otherwise("low").alias("confidence")
-    )
+    """(seq_id, symbol, value_cr, confidence, n_candidates, evidence) of every filing, by the order-value operator."""
+    return order_values.order_values(spread(t.filings.select("seq_id", "symbol", "attachment_text")), "seq_id", "attachment_text")
 
 
 def tagged(t):

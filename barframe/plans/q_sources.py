@@ -147,7 +147,7 @@ def _(t):
     return scans.intraday_bars(raw, "landed").select("ticker", "ts", "open", "high", "low", "close", "volume")
 
 
-@query("scan_order_values", "S12", "SELECT seq_id, symbol, 'ok' AS pdf_status, value_cr, CASE WHEN confidence = 'low' THEN 'none' ELSE confidence END AS confidence, 0::INTEGER AS n_candidates FROM order_values_t", "value_cr")
+@query("scan_order_values", "S12", "SELECT seq_id, symbol, 'ok' AS pdf_status, value_cr, CASE WHEN confidence = 'high' THEN 'high' ELSE 'none' END AS confidence, 0::INTEGER AS n_candidates FROM order_values_t", "value_cr")
 def _(t):
     rows = q_bars.filing_order_values(t).select("seq_id", "symbol", F.lit("ok").alias("status"), "value_cr", F.when(c("confidence") == "high", "high").alias("confidence"))
     return scans.order_value_lines(t.spark.read.schema(scans.ORDER_VALUE_SCHEMA).json(land(t, rows, "json"))).drop("evidence")

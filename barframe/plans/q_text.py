@@ -12,7 +12,7 @@ from barframe.functions.filings import setup_base, setup_direction
 from barframe.functions.numbers import blend_scores, parse_number
 from barframe.operators import analysis, dedup, feed, order_values
 from barframe.operators.sessions import bind
-from barframe.plans import q_bars  # noqa: F401
+from barframe.plans import order_value_sql, q_bars
 from barframe.plans.registry import define, query
 from barframe.plans.sql_twins import WS, norm_text, strip_html
 from barframe.plans.tables import AS_OF
@@ -256,18 +256,33 @@ def _(t):
 # ---- order values ---------------------------------------------------------------------------------
 
 
-@query("order_values_from_filings", "T15", """SELECT seq_id, value_cr, confidence, n_candidates FROM (
-    SELECT seq_id, v AS value_cr, CASE WHEN k IN (0, 1, 2, 3) THEN 'high' ELSE 'low' END AS confidence, 1::BIGINT AS n_candidates FROM (
-      SELECT seq_id, filing_no % 8 AS k, floor(CAST(regexp_extract(attachment_text, '([0-9]+) (crore|lakh)', 1) AS DOUBLE) * CASE WHEN attachment_text LIKE '%lakh%' THEN 1e-2 ELSE 1e0 END * 1e2 + 5e-1) / 1e2 AS v FROM filings WHERE regexp_matches(attachment_text, '[0-9]+ (crore|lakh)')) WHERE v >= 0.05e0)
-    UNION ALL SELECT seq_id, NULL, 'none', 0 FROM filings WHERE NOT regexp_matches(attachment_text, '[0-9]+ (crore|lakh)') OR floor(CAST(regexp_extract(attachment_text, '([0-9]+) (crore|lakh)', 1) AS DOUBLE) * CASE WHEN attachment_text LIKE '%lakh%' THEN 1e-2 ELSE 1e0 END * 1e2 + 5e-1) / 1e2 < 0.05e0""", "value_cr")
+@query("order_values_from_filings", "T15", "SELECT seq_id, value_cr, confidence, n_candidates, evidence FROM order_values_t", "value_cr")
 def _(t):
-    return order_values.order_values(spread(t.filings).select("seq_id", "attachment_text"), "seq_id", "attachment_text").select("seq_id", "value_cr", "confidence", "n_candidates")
+    return q_bars.filing_order_values(t).drop("symbol")
 
 
-@query("order_values_from_documents", "T15")
+@query("order_values_from_documents", "T15", order_value_sql.order_values("documents", "doc_id", "text"), "value_cr")
 def _(t):
-    d = t.texts("documents").select("doc_id", "text")
-    return order_values.order_values(d, "doc_id", "text")
+    return order_values.order_values(t.texts("documents").select("doc_id", "text"), "doc_id", "text")
+
+
+# Whole documents as filings: amounts of every kind stand between their halves and at the end.
+define("long_filings", """SELECT doc_id, left(text, 900) || ' received an order worth Rs. ' || (doc_id * 37 % 9000) / 100 || ' crore from a state utility. ' || substr(text, 901)
+    || CASE WHEN doc_id % 3 = 0 THEN ' Revenue of INR ' || (doc_id % 700 + 100) || ' crore in the previous year.' ELSE '' END
+    || CASE WHEN doc_id % 4 = 0 THEN ' Built-up area of ' || (doc_id % 9 + 1) || '.5 million sq ft; contract value US$ ' || (doc_id % 50 + 1) || ' mn' ELSE '' END
+    || CASE WHEN doc_id % 5 = 0 THEN ' Total value in lakhs for the work order: ' || (doc_id % 900 + 10) || ',000.50' ELSE '' END AS body FROM documents""")
+
+
+@query("order_values_from_long_texts", "T15", order_value_sql.order_values("long_filings", "doc_id", "body"), "value_cr")
+def _(t):
+    n, text = c("doc_id"), c("text")
+    part = lambda k, *x: F.when(n % k == 0, F.concat(*x)).otherwise("")
+    body = F.concat(
+        F.left(text, F.lit(900)), F.lit(" received an order worth Rs. "), ((n * 37 % 9000) / 100).cast("string"), F.lit(" crore from a state utility. "), F.expr("substring(text, 901)"),
+        part(3, F.lit(" Revenue of INR "), (n % 700 + 100).cast("string"), F.lit(" crore in the previous year.")),
+        part(4, F.lit(" Built-up area of "), (n % 9 + 1).cast("string"), F.lit(".5 million sq ft; contract value US$ "), (n % 50 + 1).cast("string"), F.lit(" mn")),
+        part(5, F.lit(" Total value in lakhs for the work order: "), (n % 900 + 10).cast("string"), F.lit(",000.50")))
+    return order_values.order_values(t.texts("documents").select("doc_id", body.alias("body")), "doc_id", "body")
 
 
 @query("order_value_confidence", "A9 S12", "SELECT confidence, count(*) AS n, quantile_cont(value_cr, 0.5) AS median_cr FROM order_values_t GROUP BY 1", "median_cr")

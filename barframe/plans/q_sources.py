@@ -168,25 +168,25 @@ def table(t, name):
 @query("insert_new_rows", "S14", "SELECT ticker, date, close FROM eod WHERE volume % 3 = 0", "close")
 def _(t):
     at = table(t, "eod")
-    sinks.insert_new(t.eod.where(c("volume") % 3 != 0).select("ticker", "date", "close"), at, ["ticker", "date"])
-    return sinks.insert_new(t.eod.select("ticker", "date", "close"), at, ["ticker", "date"])
+    sinks.insert_new(t.eod.where(c("volume") % 3 != 0).select("ticker", "date", "close"), at, ["ticker", "date"], by=F.year("date"))
+    return sinks.insert_new(t.eod.select("ticker", "date", "close"), at, ["ticker", "date"], by=F.year("date"))
 
 
 @query("upsert_rows", "S15", "SELECT ticker, date, CASE WHEN volume % 3 = 0 THEN close + 1 ELSE close END AS close FROM eod", "close")
 def _(t):
     at = table(t, "eod")
     rows = t.eod.select("ticker", "date", "close", "volume")
-    sinks.upsert(rows.where(c("volume") % 2 == 0).drop("volume"), at, ["ticker", "date"])
+    sinks.upsert(rows.where(c("volume") % 2 == 0).drop("volume"), at, ["ticker", "date"], by=F.year("date"))
     new = rows.where((c("volume") % 2 != 0) | (c("volume") % 3 == 0))
-    return sinks.upsert(new.withColumn("close", F.when(c("volume") % 3 == 0, c("close") + 1).otherwise(c("close"))).drop("volume"), at, ["ticker", "date"])
+    return sinks.upsert(new.withColumn("close", F.when(c("volume") % 3 == 0, c("close") + 1).otherwise(c("close"))).drop("volume"), at, ["ticker", "date"], by=F.year("date"))
 
 
 @query("upsert_columns", "S16", "SELECT ticker, date, CASE WHEN volume % 3 = 0 THEN open ELSE close END AS px, volume FROM eod", "px")
 def _(t):
     at = table(t, "part")
-    sinks.upsert_columns(t.eod.select("ticker", "date", c("close").alias("px"), "volume"), at, ["ticker", "date"])
+    sinks.upsert_columns(t.eod.select("ticker", "date", c("close").alias("px"), "volume"), at, ["ticker", "date"], by=F.year("date"))
     new = t.eod.select("ticker", "date", F.when(c("volume") % 3 == 0, c("open")).alias("px"), F.lit(None).cast("long").alias("volume"))
-    return sinks.upsert_columns(new, at, ["ticker", "date"])
+    return sinks.upsert_columns(new, at, ["ticker", "date"], by=F.year("date"))
 
 
 @query("replace_partitions", "S17", "SELECT ticker, date, CASE WHEN year(date) = 1997 THEN open ELSE close END AS px, year(date)::INTEGER AS yr FROM eod", "px")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-#: Tables written since the innermost ``settle`` began.
+#: Tables written since the innermost ``settle`` or ``steps`` began.
 _STEPS: ContextVar[tuple[str, ...]] = ContextVar("barframe_steps", default=())
 
 
@@ -84,7 +85,7 @@ def delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a written table in the shared folder (survives executor loss).
 
-    The table stays until the ``settle`` around it ends, or for good if there is none.
+    The table stays until the ``settle`` or ``steps`` around it ends, or for good if there is none.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -93,20 +94,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
-    """Write what ``build`` returns, and delete the tables that were cut for it, also if it fails.
-
-    What is returned depends on its own table only; that one belongs to the next ``settle`` around, if any.
-    """
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end, also if it fails."""
     around = _STEPS.get()
     _STEPS.set(())
     try:
-        result = build()
-        path = scratch_path(spark, label)
-        result.write.mode("overwrite").parquet(path)
-        around = (*around, path)
+        yield
     finally:
-        for step in _STEPS.get():
-            delete(spark, step)
+        for path in _STEPS.get():
+            delete(spark, path)
         _STEPS.set(around)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Write what ``build`` returns, and delete the tables that were cut for it.
+
+    What is returned depends on its own table only; that one belongs to the ``settle`` or ``steps`` around, if any.
+    """
+    path = scratch_path(spark, label)
+    with steps(spark):
+        result = build()
+        result.write.mode("overwrite").parquet(path)
+    _STEPS.set((*_STEPS.get(), path))
     return spark.read.schema(result.schema).parquet(path)

@@ -1,9 +1,9 @@
-"""Keyed sinks on plain Parquet tables.
+"""Keyed sinks on partitioned Parquet tables.
 
-A table is a directory of immutable versions plus the name of the current one. A write
-builds a complete new version and then switches the name, so a lost executor, a retried task
-or a crashed driver leaves the previous version intact. Appends and partition replacement
-avoid the rewrite where the semantics allow it.
+A key decides the partition of its row: by a date in it where there is one, else by a bucket of its
+hash. A write reads only the partitions that its keys fall into and replaces them (or adds to them)
+by Spark's dynamic partition overwrite; files of other partitions are neither read nor touched, so
+the work follows the batch and not the history.
 """
 
 from __future__ import annotations
@@ -12,41 +12,59 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barframe.session import cut, steps
 
 c = F.col
+#: Partition columns of a stored table: where the key belongs, and which batch wrote a row (insert-only tables).
+PART, BATCH = "part_", "batch_"
+BUCKETS = 16
+
+
+def _part(keys: list[str], by: Column | None) -> Column:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) if by is None else by
+    return F.coalesce(bucket.cast("string"), F.lit("none"))
 
 
-def _fs(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+def _exists(spark: SparkSession, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _current(spark: SparkSession, table: str) -> str | None:
-    """Newest complete version (a version counts once its success marker exists)."""
-    fs, p = _fs(spark, table)
-    if not fs.exists(p):
+def _stored(spark: SparkSession, table: str, columns: T.StructType | None, *more: str) -> DataFrame | None:
+    """The table with its partition columns; by ``columns`` if given, else as its files have them."""
+    if not _exists(spark, table):
         return None
-    names = sorted(
-        s.getPath().getName() for s in fs.listStatus(p)
-        if s.isDirectory() and s.getPath().getName().startswith("v") and
-        fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    )
-    return f"{table}/{names[-1]}" if names else None
+    if columns is None:
+        return spark.read.option("mergeSchema", True).parquet(table)
+    partitions = [T.StructField(m, T.StringType()) for m in more]
+    return spark.read.schema(T.StructType([*columns.fields, *partitions])).parquet(table)
+
+
+def _write(df: DataFrame, table: str, *by: str) -> None:
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+
+
+def _touched(df: DataFrame) -> list[str]:
+    """The partitions of a batch; far fewer than its rows."""
+    return [r[PART] for r in df.select(PART).distinct().collect()]
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame | None:
-    at = _current(spark, table)
-    return None if at is None else spark.read.parquet(at)
+    stored = _stored(spark, table, None)
+    return None if stored is None else stored.drop(PART, BATCH)
 
 
-def rebuild(df: DataFrame, table: str) -> DataFrame:
-    """Replace the whole table by a query's result (create-table-as)."""
-    spark = df.sparkSession
-    at = _current(spark, table)
-    number = 1 if at is None else int(at.rsplit("/v", 1)[1].split("-")[0]) + 1
-    path = f"{table}/v{number:08d}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def rebuild(df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:
+    """Replace the whole table by a query's result (create-table-as), partitioned by ``by``.
+
+    The result is complete in the shared folder before the old table goes, so it may be made of that table.
+    """
+    with steps(df.sparkSession):
+        writer = cut(df, "rebuild").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(*by) if by else writer).parquet(table)
+    return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
 def newest_per_key(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
@@ -56,15 +74,6 @@ def newest_per_key(df: DataFrame, keys: list[str], rank: list[Column]) -> DataFr
     return df.groupBy(*keys).agg(F.max_by(F.struct(*body), order).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
-def _batches(spark: SparkSession, table: str) -> list[str]:
-    """Complete batches of an insert-only table; a half-written one has no success marker."""
-    fs, p = _fs(spark, f"{table}/rows")
-    if not fs.exists(p):
-        return []
-    done = lambda d: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))
-    return [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and done(s.getPath())]
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """One row per key, the first by ``order``; ties, and no order at all, are settled by the rows' own content.
 
@@ -77,38 +86,51 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = N
     return df.groupBy(*keys).agg(F.min_by(F.struct(*body), rank).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
-def insert_new(df: DataFrame, table: str, keys: list[str], batch_id: str | None = None, order: list[Column] | None = None) -> DataFrame:
-    """Insert rows whose key is absent; returns exactly the rows that were new.
+def new_rows(df: DataFrame, table: str, keys: list[str], batch: str, by: Column | None = None, order: list[Column] | None = None) -> DataFrame:
+    """The rows of ``df`` whose key no other batch of the table holds, with their partition; only the partitions of its keys are read."""
+    fresh = first_per_key(df, keys, order).withColumn(PART, _part(keys, by))
+    stored = _stored(df.sparkSession, table, df.select(*keys).schema, PART, BATCH)
+    if stored is None:
+        return fresh
+    known = stored.where(c(PART).isin(_touched(df.select(*keys).withColumn(PART, _part(keys, by)))) & (c(BATCH) != batch))
+    return fresh.join(known.select(*keys), keys, "left_anti")
+
 
-    The fresh rows are written once under the table and then read back, so what is returned
-    is what is stored. Older files are never touched. A batch named by ``batch_id`` that is
-    already there is not written again: its rows are returned as they were.
+def insert_new(
+    df: DataFrame, table: str, keys: list[str], batch_id: str | None = None, order: list[Column] | None = None, by: Column | None = None,
+) -> DataFrame:
+    """Insert rows whose key is absent; returns exactly the rows that were new, as they are stored.
+
+    ``by`` is made of key columns and names the partition. A batch that is written again under its
+    ``batch_id`` finds the same new rows and replaces its own files, so a replay changes nothing.
     """
-    spark = df.sparkSession
-    batch = f"{table}/rows/b-{batch_id or uuid.uuid4().hex}"
-    known = _batches(spark, table)
-    if any(k.endswith(f"/b-{batch_id}") for k in known):
-        return spark.read.schema(df.schema).parquet(batch)
-    fresh = first_per_key(df, keys, order)
-    if known:
-        fresh = fresh.join(spark.read.schema(df.schema).parquet(*known).select(*keys), keys, "left_anti")
-    fresh.write.mode("overwrite").parquet(batch)
-    return spark.read.schema(df.schema).parquet(batch)
+    spark, batch = df.sparkSession, batch_id or uuid.uuid4().hex
+    _write(new_rows(df, table, keys, batch, by, order).withColumn(BATCH, F.lit(batch)), table, PART, BATCH)
+    return _stored(spark, table, df.schema, PART, BATCH).where(c(BATCH) == batch).drop(PART, BATCH)
 
 
 def read_inserted(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(*_batches(spark, table))
+    return read_table(spark, table)
 
 
-def upsert(df: DataFrame, table: str, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
-    """Insert or update on key. ``newest``: rank inside ``df`` when a key repeats (greatest wins)."""
+def _replaced(df: DataFrame, table: str, keys: list[str], by: Column | None, join) -> DataFrame:
+    """Write ``join(old, new)`` over the partitions that the keys of ``df`` fall into; ``old`` holds just their rows."""
     spark = df.sparkSession
+    new = df.withColumn(PART, _part(keys, by))
+    stored = _stored(spark, table, None)
+    with steps(spark):
+        if stored is not None:
+            # Complete in the shared folder before the partitions it is made of are replaced.
+            old = stored.withColumn(PART, c(PART).cast("string")).where(c(PART).isin(_touched(new)))
+            new = cut(join(old, new), "upsert")
+        _write(new, table, PART)
+    return read_table(spark, table)
+
+
+def upsert(df: DataFrame, table: str, keys: list[str], newest: list[Column] | None = None, by: Column | None = None) -> DataFrame:
+    """Insert or update on key. ``newest``: rank inside ``df`` when a key repeats (greatest wins)."""
     new = newest_per_key(df, keys, newest) if newest else first_per_key(df, keys)
-    old = read_table(spark, table)
-    if old is not None:
-        kept = old.join(new.select(*keys), keys, "left_anti")
-        new = new.unionByName(kept, allowMissingColumns=True)
-    return rebuild(new, table)
+    return _replaced(new, table, keys, by, lambda old, n: n.unionByName(old.join(n.select(*keys), keys, "left_anti"), allowMissingColumns=True))
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,9 +142,9 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, *[pick(x).alias(x) for x in cols])
 
 
-def upsert_columns(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
-    old = read_table(df.sparkSession, table)
-    return rebuild(df if old is None else merged(old, df, keys), table)
+def upsert_columns(df: DataFrame, table: str, keys: list[str], by: Column | None = None) -> DataFrame:
+    """Insert or update on key, column by column: NULLs of ``df`` and columns it lacks leave the stored values."""
+    return _replaced(df, table, keys, by, lambda old, new: merged(old, new, [*keys, PART]))
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -65,7 +65,7 @@ def rolling_capture(raw: DataFrame, bars_table: str, checkpoint_dir: str, source
     """Overlapping re-reads of recent bars; repeats are absorbed by the key."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        insert_new(intraday_bars(batch, source), bars_table, ["ticker", "interval", "ts"], f"epoch-{epoch}")
+        insert_new(intraday_bars(batch, source), bars_table, ["ticker", "interval", "ts"], f"epoch-{epoch}", by=F.to_date("ts"))
 
     return _start(raw, handle, checkpoint_dir, every)
 

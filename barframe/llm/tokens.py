@@ -2,7 +2,7 @@
 
 Documents in ascending id order become one stream of token ids, an end id after each. A shard is one
 range of ids; it is written as an Arrow file whose batches hold ``BATCH_ROWS`` sequences of exactly
-``SEQUENCE`` ids and a mask of the same shape, a byte each (0: padding after the shard's last id). All batches but
+``SEQUENCE`` ids and a mask, a bit each (0: padding after the shard's last id). All batches but
 the last are equal, so sequence i lies in batch i // BATCH_ROWS at row i % BATCH_ROWS, and a memory map
 gives its ids and its mask without a copy. A second file of the shard lists its documents: id, first token, length.
 Ids fit 16 bits if the vocabulary does, else they take 32.
@@ -69,7 +69,7 @@ class Encoder(dict):
         self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         self.space = spell.pre_tokenize_str(" ")[0][0]
         self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None
-        self.stops = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
+        self.stops = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ["", "\n", *".,;:!?"]}
         self.model, self.parts = self.library.model.tokenize, self.library.pre_tokenizer.pre_tokenize_str if self.direct else None
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
@@ -81,22 +81,32 @@ class Encoder(dict):
             ids = [t.id for part, _ in self.parts(" " + piece) for t in self.model(part)]
         return array(self.code, ids).tobytes()
 
+    def _word(self, key: str, first: str, word: str) -> bytes:
+        """The ids of ``first`` and a word of letters that is one pre-token with it; remembered under ``key``."""
+        ids = self.get(key) or self.old.get(key)
+        if ids is None:
+            ids = array(self.code, [t.id for t in self.model(first + word.translate(self.spelt))]).tobytes()
+        self[key] = ids
+        return ids
+
     def learn(self, pieces: set[str]) -> None:
         """Enter the pieces that are not known yet."""
-        old, code, model, space, spelt = self.old, self.code, self.model, self.space, self.spelt
+        old, code, model, space = self.old, self.code, self.model, self.space
         for piece in pieces.difference(self):
             ids = old.get(piece)
             if ids is None:
-                m = _WORD.fullmatch(piece) if self.direct else None
-                if m is None:
-                    ids = self._pieces(piece)
+                if self.direct and piece.isascii() and piece.isalpha():
+                    ids = array(code, [t.id for t in model(space + piece)]).tobytes()
                 else:
-                    word, stop = m.groups()
-                    ids = self.get(word)
-                    if ids is None:
-                        self[word] = ids = array(code, [t.id for t in model(space + word.translate(spelt))]).tobytes()
-                    if stop:
-                        ids += self.stops[stop]
+                    # Words with a stop or none; a single line end between visible characters is a pre-token of its own.
+                    lines = [_WORD.fullmatch(x) for x in piece.split("\n")] if self.direct else [None]
+                    if all(lines):
+                        (word, stop), *further = (m.groups() for m in lines)
+                        ids = self._word(word, space, word) + self.stops[stop]
+                        for word, stop in further:
+                            ids += self.stops["\n"] + self._word("\n" + word, "", word) + self.stops[stop]
+                    else:
+                        ids = self._pieces(piece)
             self[piece] = ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -139,8 +149,21 @@ def _lots(texts: list[str]) -> Iterator[list[str]]:
         yield lot
 
 
+def _lots(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``LOT_CHARS``."""
+    lot, size = [], 0
+    for text in texts:
+        lot.append(text)
+        size += len(text)
+        if size > LOT_CHARS:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot
+
+
 def _schema(kind: type) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.uint8(), SEQUENCE // 8))])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -150,8 +173,8 @@ def _batch(ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     rows = -(-len(ids) // SEQUENCE)
     padded = np.zeros(rows * SEQUENCE, ids.dtype)
     padded[: len(ids)] = ids
-    mask = (np.arange(len(padded)) < len(ids)).view(np.uint8)
-    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQUENCE) for x in (padded, mask)], schema=schema)
+    mask = np.packbits(np.arange(len(padded)) < len(ids), bitorder="little")
+    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((padded, SEQUENCE), (mask, SEQUENCE // 8))], schema=schema)
 
 
 class _Shard:
@@ -243,10 +266,14 @@ def open_shard(folder: str, shard: int) -> tuple[pa.ipc.RecordBatchFileReader, p
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a shard, by its number alone."""
-    batch = reader.get_batch(number // BATCH_ROWS)
-    row = slice(number % BATCH_ROWS * SEQUENCE, (number % BATCH_ROWS + 1) * SEQUENCE)
-    return batch.column("ids").values.to_numpy()[row], batch.column("mask").values.to_numpy()[row].view(bool)
+    """Ids and packed mask of one sequence of a shard, by its number alone: views of the file, nothing is copied."""
+    batch, row = reader.get_batch(number // BATCH_ROWS), number % BATCH_ROWS
+    return tuple(batch.column(name).values.to_numpy()[row * n : (row + 1) * n] for name, n in (("ids", SEQUENCE), ("mask", SEQUENCE // 8)))
+
+
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """A packed mask (or several, one after the other) as booleans."""
+    return np.unpackbits(mask, bitorder="little").view(bool)
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -279,7 +306,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 def _stream(reader: pa.ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
-        yield batch.column("ids").values.to_numpy()[batch.column("mask").values.to_numpy().view(bool)]
+        yield batch.column("ids").values.to_numpy()[unpacked(batch.column("mask").values.to_numpy())]
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end: int = END) -> DataFrame:

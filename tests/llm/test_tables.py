@@ -290,8 +290,23 @@ def test_sequences_are_reached_by_number(spark, docs, tmp_path):
         whole = np.concatenate(list(tokens._stream(reader)))
         assert len(whole) == r.tokens
         for k in range(-(-r.tokens // tokens.SEQUENCE)):
-            ids, mask = tokens.sequence(reader, k)
+            ids, packed = tokens.sequence(reader, k)
+            mask = tokens.unpacked(packed)
             assert len(ids) == len(mask) == tokens.SEQUENCE and ids[mask].tolist() == whole[k * tokens.SEQUENCE:(k + 1) * tokens.SEQUENCE].tolist()
+            # Views of the mapped file: the same addresses as the batch's own buffers.
+            batch, row = reader.get_batch(k // tokens.BATCH_ROWS), k % tokens.BATCH_ROWS
+            for view, name in ((ids, "ids"), (packed, "mask")):
+                assert view.__array_interface__["data"][0] == batch.column(name).values.buffers()[1].address + row * view.nbytes and not view.flags.writeable
+
+
+def test_many_rows_of_one_id_are_dealt_to_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame([(None, f"{chr(97 + k % 26)}{k} some text of row {k}") for k in range(300)] + [(7, None), (8, "")], "doc_id long, text string")
+    manifest = tokens.write(docs, str(tmp_path), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = tokens.read(manifest, str(tmp_path)).collect()
+    assert manifest.count() > 3 and len(rows) == 302
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
 def test_rules_and_licences(docs, empty, rows):

@@ -8,7 +8,8 @@ are derived from ids and digests, so a rerun gives the same records.
 
 Defined results: a null or empty page is a response with an empty body, converted to an empty text; a null url
 becomes an empty target; a record that is not a well-formed response gives no derivatives but one row of type
-``invalid``; repeated rows give repeated records; an empty table gives an empty result.
+``invalid``; chunked, gzip and deflate bodies are undone, unsound ones taken as they are; an unknown charset reads as
+UTF-8; markup that is never closed hides nothing; repeated rows give repeated records; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -36,12 +38,13 @@ SOFTWARE = "barframe"
 #: Pages carry no time of their own: the time of the crawl is a parameter.
 CRAWLED = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_HIDING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|blockquote|pre)\b[^>]*|br\s*/?)>", re.I)
 _TAG = re.compile(r"<[!/a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_HTML, _LANG = re.compile(r"<html\b([^>]*)", re.I), re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_ANCHOR, _HREF = re.compile(r"<a\b([^>]*)", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -88,13 +91,102 @@ def response(url: str | None, body: str | None, crawled: str = CRAWLED) -> bytes
         ("WARC-Payload-Digest", sum_), ("Content-Type", "application/http; msgtype=response")], http + payload)
 
 
+def visible(page: str) -> str:
+    """The page with a blank for each comment, script, style, noscript and template. One pass: what is never closed is looked for once."""
+    out, at, unclosed = [], 0, set()
+    start = 0
+    while m := _HIDING.search(page, start):
+        name = (m[1] or "").lower()
+        start = m.end()
+        if name in unclosed:
+            continue
+        if name:
+            opened = page.find(">", m.end())
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, opened + 1) if opened >= 0 else None
+            end = end.end() if end else -1
+        else:
+            end = page.find("-->", m.end())
+            end = end + 3 if end >= 0 else -1
+        if end < 0:
+            unclosed.add(name)
+        else:
+            out += [page[at : m.start()], " "]
+            at = start = end
+    return "".join([*out, page[at:]])
+
+
+def _tagged(page: str) -> tuple[str, str]:
+    """The page up to its last tag end, and the rest, where no tag can be."""
+    last = page.rfind(">") + 1
+    return page[:last], page[last:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: scripts, styles and comments gone, blocks on lines of their own, entities decoded, blanks collapsed."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
+    tagged, rest = _tagged(visible(page))
+    lines = (" ".join(x.split()) for x in html.unescape(_TAG.sub("", _BREAK.sub("\n", tagged)) + rest).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str:
+    begin = _TITLE.search(_tagged(page)[0])
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    if not end:
+        return ""
+    tagged, rest = _tagged(page[begin.end() : end.start()])
+    return " ".join(html.unescape(_TAG.sub("", tagged) + rest).split())
+
+
+def language_of(page: str) -> str:
+    return next((found[-1] for m in _HTML.finditer(page) if (found := _LANG.findall(m[1]))), "")
+
+
+def hrefs(page: str) -> list[str]:
+    """The targets of a page's anchors in order; of several in one tag the last that has a value."""
+    out, done = [], 0
+    for m in _ANCHOR.finditer(page):
+        if m.start() < done:  # within the value before
+            continue
+        for place in reversed(list(_HREF.finditer(m[1]))):
+            if value := _VALUE.match(page, m.start(1) + place.end()):
+                out.append(html.unescape(next(g for g in value.groups() if g is not None)))
+                done = value.end()
+                break
+    return out
+
+
+def _whole(data: bytes) -> bytes:
+    """The body behind a chunked transfer; as it is where its chunks do not add up."""
+    out, at = [], 0
+    while True:
+        line = data.find(b"\r\n", at)
+        try:
+            size = int(data[at:line].split(b";")[0], 16) if line >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or line + 2 + size > len(data):
+            return data
+        if not size:
+            return b"".join(out)
+        out.append(data[line + 2 : line + 2 + size])
+        at = line + 4 + size
+
+
+def _unpacked(payload: bytes, headers: dict[str, str]) -> bytes:
+    """The body of an HTTP message, its transfer and content encodings undone where they are known and sound."""
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        payload = _whole(payload)
+    for coding in reversed(headers.get("content-encoding", "").lower().replace(" ", "").split(",")):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for wbits in (47, -15):
+                try:
+                    payload = zlib.decompress(payload, wbits)
+                    break
+                except zlib.error:
+                    continue
+    return payload
+
+
 def derive(data: bytes | None) -> list[dict]:
     """Metadata and conversion of a response; each a row with the record's bytes and its main fields."""
     parsed = parse(data or b"")
@@ -104,19 +196,19 @@ def derive(data: bytes | None) -> list[dict]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *headers = head.decode("latin-1").split("\r\n")
     kind = next((v.strip() for k, _, v in (h.partition(":") for h in headers) if k.strip().lower() == "content-type"), "")
-    charset = (_CHARSET.search(kind.encode()) or _CHARSET.search(payload[:2048]) or [b"", b"utf-8"])[1].decode()
+    body = _unpacked(payload, {h.partition(":")[0].strip().lower(): h.partition(":")[2] for h in headers})
+    charset = (_CHARSET.search(kind.encode()) or _CHARSET.search(body[:2048]) or [b"", b"utf-8"])[1].decode()
     try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode(charset, "replace")
+    except (LookupError, UnicodeError):  # no such charset, or one that is no charset of texts
+        page = body.decode("utf-8", "replace")
     source = {k: fields.get(k, "") for k in ("warc-record-id", "warc-target-uri", "warc-date")}
     payload_digest = fields.get("warc-payload-digest") or digest(payload)
     linked = [("WARC-Refers-To", source["warc-record-id"]), ("WARC-Refers-To-Target-URI", source["warc-target-uri"]), ("WARC-Refers-To-Date", source["warc-date"])]
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    about = [("software", SOFTWARE), ("title", " ".join(html.unescape(_TAG.sub("", title[1])).split()) if title else ""), ("language", lang[1] if lang else ""),
+    about = [("software", SOFTWARE), ("title", title_of(page)), ("language", language_of(page)),
              ("http-status", status.split(" ")[1] if " " in status else ""), *((f"http-header-{h.partition(':')[0].strip().lower()}", h.partition(":")[2].strip()) for h in headers if ":" in h),
              ("source-payload-digest", payload_digest), ("source-block-digest", fields.get("warc-block-digest") or digest(block))]
-    links = dict.fromkeys(_absolute(source["warc-target-uri"], html.unescape(next(g for g in m.groups() if g is not None))) for m in _LINK.finditer(page))
+    links = dict.fromkeys(_absolute(source["warc-target-uri"], x) for x in hrefs(page))
     about += [("outlink", x) for x in links]
     out = []
     for record_type, content, body, more in (

@@ -194,3 +194,67 @@ def test_encoder_forgets_and_still_agrees(encoder, monkeypatch):
 
 def test_fold_of_an_id():
     assert zlib.crc32(b"17") % 4 == zlib.crc32(str(17).encode()) % 4
+
+
+def _response(payload, *headers):
+    http = "\r\n".join(["HTTP/1.1 200 OK", *headers]).encode() + b"\r\n\r\n"
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a.example/"), ("Content-Type", "application/http; msgtype=response")], http + payload)
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "no-such", "base64", "utf-16"])
+def test_a_bad_charset_kills_nothing(charset):
+    rows = warc.derive(_response(b"<p>plain words</p>", f"Content-Type: text/html; charset={charset}"))
+    assert [r["record_type"] for r in rows] == ["metadata", "conversion"]
+
+
+def test_transfer_and_content_encodings_are_undone():
+    import gzip
+
+    page = b"<title>T</title><p>packed words</p>"
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i:i + 9]), packed[i:i + 9]) for i in range(0, len(packed), 9)) + b"0\r\n\r\n"
+    for body, headers in ((packed, ["Content-Encoding: gzip"]), (chunked, ["Content-Encoding: gzip", "Transfer-Encoding: chunked"]), (page, ["Content-Encoding: gzip"]),
+                          (page, ["Transfer-Encoding: chunked"]), (page, [])):
+        assert b"T\npacked words" in warc.derive(_response(body, "Content-Type: text/html", *headers))[1]["record"]
+
+
+@pytest.mark.parametrize("markup", ["<!--", "<script>", "<style", "<a <", "<a href", "<title", "<html ", "<p<", "</", "<a href='"])
+def test_unclosed_markup_takes_linear_time(markup):
+    import time
+
+    page = markup * 20_000
+    start = time.perf_counter()
+    warc.plain_text(page), warc.title_of(page), warc.language_of(page), warc.hrefs(page)
+    assert time.perf_counter() - start < 2  # the old patterns took minutes
+
+
+def plain_page(page):
+    """Text, title and links by the parser of the standard library."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.links, self.title, self.inside = [], "", None
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = tag if tag in ("title", "script", "style") else self.inside
+            self.links += [v for k, v in attrs if tag == "a" and k == "href" and v is not None]
+
+        def handle_endtag(self, tag):
+            self.inside = None if tag == self.inside else self.inside
+
+        def handle_data(self, data):
+            self.title += data if self.inside == "title" else ""
+
+    reader = Reader()
+    reader.feed(page)
+    return " ".join(reader.title.split()), reader.links
+
+
+def test_titles_and_links_are_those_of_a_parser(data_dir):
+    import pyarrow.parquet as pq
+
+    pages = [p.decode("utf-8", "replace") if isinstance(p, bytes) else p or "" for p in pq.read_table(f"{data_dir}/pages.parquet", columns=["html"]).column(0).to_pylist()]
+    wrong = [p for p in pages if (warc.title_of(p), warc.hrefs(p)) != plain_page(p)]
+    assert len(pages) > 10 and not wrong

@@ -32,6 +32,8 @@ from barframe.session import cut
 SAMPLE_ROWS = 8000
 #: A term has so many letters at least, is toxic so often at least, and the lexicon holds so many at most.
 MIN_LETTERS, PURITY, LEXICON = 4, 0.9, 2000
+#: Words from so many letters on can be terms, too, but as whole words without edits.
+SHORT_LETTERS = 2
 MAX_LETTERS = 24
 #: One in so many unrelated prefixes may look toxic by chance.
 SURPRISE = 1e8
@@ -205,11 +207,15 @@ class Reader:
 
 
 def _prefixes(text: str) -> set[str]:
+    """What may be a term: stems and whole words, of short words the whole word alone."""
     out = set()
     for w in {w.decode() for w in tokens(text)}:
-        if MIN_LETTERS <= len(w) <= MAX_LETTERS:
-            w += END
+        if len(w) >= MIN_LETTERS:
+            # A word that is longer than any term has stems only.
+            w = w + END if len(w) <= MAX_LETTERS else w[:MAX_LETTERS]
             out.update(w[:k] for k in range(MIN_LETTERS, len(w) + 1))
+        elif len(w) >= SHORT_LETTERS:
+            out.add(w + END)
     return out
 
 
@@ -264,7 +270,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, label: str =
     purity = F.col("toxic") / (F.col("toxic") + F.col("other"))
     mined = map_arrow(_one_of_copies(sample), _mine, "prefix string, toxic long, other long").groupBy("prefix").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # Surprise: the chance of so pure a prefix among unrelated words, against the number of prefixes that are looked at.
-    strong = mined.where((purity >= max(PURITY, 1.5 * base)) & (F.col("toxic") * F.log(purity / base) >= math.log(SURPRISE)))
+    strong = mined.where((purity >= max(PURITY, base + (1 - base) / 2)) & (F.col("toxic") * F.log(purity / base) >= math.log(SURPRISE)))
     counts = {r["prefix"]: (r["toxic"], r["other"]) for r in strong.orderBy(F.desc("toxic"), "prefix").limit(20 * LEXICON).collect()}
     terms = {t: edits_for(t) for t in lexicon(counts)}
     terms = _settle(sample, terms)

@@ -258,3 +258,30 @@ def test_titles_and_links_are_those_of_a_parser(data_dir):
     pages = [p.decode("utf-8", "replace") if isinstance(p, bytes) else p or "" for p in pq.read_table(f"{data_dir}/pages.parquet", columns=["html"]).column(0).to_pylist()]
     wrong = [p for p in pages if (warc.title_of(p), warc.hrefs(p)) != plain_page(p)]
     assert len(pages) > 10 and not wrong
+
+
+def _labelled(spark, n, share, term):
+    import random
+
+    rnd = random.Random(6)
+    words = ["word%s" % "".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    rows = []
+    for i in range(n):
+        toxic = rnd.random() < share
+        body = [rnd.choice(words) for _ in range(30)]
+        if toxic:
+            body.insert(rnd.randrange(30), term)
+        rows.append((i, " ".join(body), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return rows, docs, spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("share, term", [(0.2, "zug"), (0.2, "qx"), (0.75, "zugarben"), (0.85, "zugarben")])
+def test_short_terms_and_mostly_toxic_labels(spark, share, term):
+    from pyspark.sql import functions as F
+
+    rows, docs, labels = _labelled(spark, 600, share, term)
+    model = toxicity.fit(docs, labels, F.col("doc_id") >= 0)
+    assert model.terms
+    got = {r.doc_id: r.s for r in toxicity.with_score(docs, model, column="s").collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows)

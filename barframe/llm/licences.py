@@ -26,7 +26,7 @@ from barframe.llm.common import map_arrow
 
 #: The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Opening or characteristic sentences of public licence notices, and their labels.
+#: Opening sentences, conditions and disclaimers of public licence notices, and their labels.
 TEMPLATES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("gpl", "This work is licensed under the GNU General Public License"),
@@ -43,9 +43,22 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("public-domain", "This is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "All rights reserved"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mit", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("public-domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"),
 )
 #: Words of a match, other words within a chain, and the covered share from which a template labels a text.
 LEAST, GAP, SHARE = 3, 8, 0.6
+#: Of a table of whole licence texts, paragraphs of so many words are templates; it may hold so many bytes.
+PARAGRAPH, TABLE_BYTES = 10, 32 << 20
 #: Other bytes than 0-9, a-z and those above 127 part words; A-Z are folded.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _NONE = "\0"
@@ -187,13 +200,22 @@ def findings(automaton: Automaton, text: str | None) -> tuple[int, int, int | No
     return len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | covered)), score
 
 
-def scan_licences(documents: DataFrame) -> DataFrame:
+def templates_of(licences: DataFrame) -> tuple[tuple[str, str], ...]:
+    """The paragraphs of a table (label, text) of whole licence texts, for ``scan_licences``; its size is checked."""
+    size = licences.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > TABLE_BYTES:
+        raise ValueError(f"{size} bytes of licence texts, more than {TABLE_BYTES}")
+    rows = licences.where("label is not null and text is not null").select("label", "text").distinct().orderBy("label", "text").collect()
+    return tuple(dict.fromkeys((r["label"], p) for r in rows for p in re.split(r"\n\s*\n", r["text"]) if len(words_of(p)) >= PARAGRAPH))
+
+
+def scan_licences(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row. One pass."""
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches):
-        automaton = Automaton()
+        automaton = Automaton(templates=templates)
         for batch in batches:
             if batch.num_rows:
                 rows = zip(*[findings(automaton, t) for t in batch.column("text").to_pylist()], strict=True)
@@ -203,11 +225,11 @@ def scan_licences(documents: DataFrame) -> DataFrame:
     return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
-def covered_spans(documents: DataFrame) -> DataFrame:
+def covered_spans(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, label, template, share, first_word, end_word): the best chain of every template that a text touches."""
 
     def run(batches):
-        automaton = Automaton()
+        automaton = Automaton(templates=templates)
         for batch in batches:
             out = [(d, automaton.labels[t], t, share, first, end) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
                    for t, share, first, end in automaton.spans(automaton.scan(words_of(text))[1])]

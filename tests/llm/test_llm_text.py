@@ -285,3 +285,40 @@ def test_short_terms_and_mostly_toxic_labels(spark, share, term):
     assert model.terms
     got = {r.doc_id: r.s for r in toxicity.with_score(docs, model, column="s").collect()}
     assert all((got[i] >= toxicity.THRESHOLD) == bool(y) for i, _, y in rows)
+
+
+def test_licence_paragraphs_and_tables_of_licences(spark):
+    docs = spark.createDataFrame([
+        (1, "code " * 9 + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software. " + "code " * 9),
+        (2, "x THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY y"),
+        (3, "You may paint the fence green on any day of the week but a holiday, if the neighbours agree."), (4, None)], "doc_id long, text string")
+    assert [r.labels for r in licences.scan_licences(docs).orderBy("doc_id").collect()] == ["bsd", "mit", "", ""]
+    own = spark.createDataFrame([("fence", "Fence licence\n\nYou may paint the fence green on any day of the week but a holiday.\n\nshort"), (None, "x"), ("none", None)], "label string, text string")
+    templates = licences.templates_of(own)
+    assert len(templates) == 1
+    assert [r.labels for r in licences.scan_licences(docs, templates).orderBy("doc_id").collect()] == ["", "", "fence", ""]
+    assert [(r.doc_id, r.label) for r in licences.covered_spans(docs, templates).where("share > 0.9").collect()] == [(3, "fence")]
+
+
+def plain_share(text, template):
+    """The best chain by trying all chains of all maximal matches."""
+    words, other = licences.words_of(text), licences.words_of(template)
+    runs = [(i, j, next(k for k in range(len(words) + 1) if i + k >= len(words) or j + k >= len(other) or words[i + k] != other[j + k])) for i in range(len(words)) for j in range(len(other))]
+    runs = [(i, j, n) for i, j, n in runs if n >= licences.LEAST and not (i and j and words[i - 1] == other[j - 1])]
+    return max([n for _, _, n in runs], default=0) / len(other), runs
+
+
+def test_a_chain_is_no_shorter_than_its_longest_match_and_no_longer_than_all():
+    rnd = __import__("random").Random(3)
+    for label, template in licences.TEMPLATES[:6]:
+        for _ in range(12):
+            words = template.split()
+            del words[rnd.randrange(len(words))]
+            words.insert(rnd.randrange(len(words)), "other")
+            text = " ".join(["before"] * 3 + words + ["after"])
+            automaton = licences.Automaton(templates=((label, template),))
+            spans = automaton.spans(automaton.scan(licences.words_of(text))[1])
+            least, runs = plain_share(text, template)
+            covered = {j + k for _, j, n in runs for k in range(n)}
+            share = max([s for t, s, _, _ in spans if t >= automaton.n_phrases], default=0.0)
+            assert least - 1e-9 <= share <= len(covered) / len(licences.words_of(template)) + 1e-9

@@ -300,7 +300,7 @@ def _(t):
     return backtest.strategy_guard(paper(t), ["direction"])
 
 
-define("journal_in", """SELECT (date - DATE '1970-01-01')::BIGINT * 1000 + CAST(translate(substr(ticker, 3), 'ABCDEFGHIJ', '0123456789') AS BIGINT) AS id, ticker, direction, entry, entry * CASE direction WHEN 'long' THEN 0.95e0 ELSE 1.05e0 END AS stop, exit_close, date::TIMESTAMP AS opened_at, date::TIMESTAMP + INTERVAL 10 HOUR AS x_at, CAST(floor(t20 / 1e6) AS BIGINT) % 4 <> 0 AS has_exit FROM signals""")
+define("journal_in", """SELECT (date - DATE '1970-01-01')::BIGINT * 100000000 + CAST(translate(substr(ticker, 3), 'ABCDEFGHIJ', '0123456789') AS BIGINT) AS id, ticker, direction, entry, entry * CASE direction WHEN 'long' THEN 0.95e0 ELSE 1.05e0 END AS stop, exit_close, date::TIMESTAMP AS opened_at, date::TIMESTAMP + INTERVAL 10 HOUR AS x_at, CAST(floor(t20 / 1e6) AS BIGINT) % 4 <> 0 AS has_exit FROM signals""")
 define("journal_t", """SELECT id, ticker, direction, entry, stop, opened_at, CASE WHEN has_exit THEN exit_close END AS exit_price, CASE WHEN has_exit THEN x_at END AS closed_at,
     CASE WHEN has_exit THEN round(CASE direction WHEN 'long' THEN exit_close - entry ELSE entry - exit_close END / abs(entry - stop), 2) END AS r_multiple FROM journal_in""")
 
@@ -308,7 +308,7 @@ define("journal_t", """SELECT id, ticker, direction, entry, stop, opened_at, CAS
 def journal(t):
     s = signals(t)
     number = F.translate(F.substring("ticker", 3, 10), "ABCDEFGHIJ", "0123456789").cast("long")
-    ids = s.withColumn("id", F.unix_date("date").cast("long") * 1000 + number)
+    ids = s.withColumn("id", F.unix_date("date").cast("long") * 100_000_000 + number)
     at = c("date").cast("timestamp")
     rows = ids.select(
         "id", "ticker", "direction", "entry", (c("entry") * F.when(c("direction") == "long", 0.95).otherwise(1.05)).alias("stop"), at.alias("opened_at"),

@@ -76,10 +76,10 @@ CTES = {
     "bench": """SELECT date, open, close, row_number() OVER (ORDER BY date) AS nsn,
         avg(close) OVER (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sma50 FROM idx""",
     "action_plan": """SELECT a.ticker, s.date AS true_date, s.date - 3 AS ex_date, subject, f FROM (
-        SELECT ticker, n * 3 + 30 AS sn, 'Bonus 1:1' AS subject, 5e-1 AS f FROM nums
-        UNION ALL SELECT ticker, n * 2 + 110, 'Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share', 2e-1 FROM nums
-        UNION ALL SELECT ticker, n * 2 + 110, 'Bonus 1:2', 2e0 / 3e0 FROM nums WHERE n % 5 = 0
-        UNION ALL SELECT ticker, n + 60, 'Interim Dividend - Rs 2 Per Share', NULL FROM nums) a
+        SELECT ticker, n * 3 % 60 + 30 AS sn, 'Bonus 1:1' AS subject, 5e-1 AS f FROM nums
+        UNION ALL SELECT ticker, n * 2 % 220 + 110, 'Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share', 2e-1 FROM nums
+        UNION ALL SELECT ticker, n * 2 % 220 + 110, 'Bonus 1:2', 2e0 / 3e0 FROM nums WHERE n % 5 = 0
+        UNION ALL SELECT ticker, n % 290 + 60, 'Interim Dividend - Rs 2 Per Share', NULL FROM nums) a
         JOIN sess s ON s.ticker = a.ticker AND s.sn = a.sn""",
     "nums": "SELECT DISTINCT ticker, CAST(translate(substr(ticker, 3), 'ABCDEFGHIJ', '0123456789') AS BIGINT) AS n FROM eod",
     "actions": """SELECT ticker, ex_date, subject, CASE WHEN subject LIKE 'Bonus%' THEN 'bonus' WHEN subject LIKE 'Face%' THEN 'split' ELSE 'dividend' END AS action_type,

@@ -139,13 +139,13 @@ class Tables:
     # ---- corporate actions and raw prices ----------------------------------------------------
     @cached_property
     def action_plan(self) -> DataFrame:
-        """Planted actions with the session they really act on."""
+        """Planted actions with the session they really act on; every instrument has them, well apart."""
         n = F.translate(F.substring("ticker", 3, 10), LETTERS, DIGITS).cast("long")
         plan = F.array(
-            F.struct((n * 3 + 30).alias("sn"), F.lit("Bonus 1:1").alias("subject"), F.lit(0.5).alias("f")),
-            F.struct((n * 2 + 110).alias("sn"), F.lit("Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share").alias("subject"), F.lit(0.2).alias("f")),
-            F.struct((n * 2 + 110).alias("sn"), F.when(n % 5 == 0, F.lit("Bonus 1:2")).alias("subject"), F.lit(2.0 / 3.0).alias("f")),
-            F.struct((n + 60).alias("sn"), F.lit("Interim Dividend - Rs 2 Per Share").alias("subject"), F.lit(None).cast("double").alias("f")),
+            F.struct((n * 3 % 60 + 30).alias("sn"), F.lit("Bonus 1:1").alias("subject"), F.lit(0.5).alias("f")),
+            F.struct((n * 2 % 220 + 110).alias("sn"), F.lit("Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share").alias("subject"), F.lit(0.2).alias("f")),
+            F.struct((n * 2 % 220 + 110).alias("sn"), F.when(n % 5 == 0, F.lit("Bonus 1:2")).alias("subject"), F.lit(2.0 / 3.0).alias("f")),
+            F.struct((n % 290 + 60).alias("sn"), F.lit("Interim Dividend - Rs 2 Per Share").alias("subject"), F.lit(None).cast("double").alias("f")),
         )
         s = with_session_number(self.eod.select("ticker", "date"))
         want = self.eod.select("ticker").distinct().select("ticker", F.inline(plan)).where("subject is not null")

@@ -33,26 +33,56 @@ def shown(x):
 
 
 # ---- scans ------------------------------------------------------------------------------------
-@query("scan_equity_eod", "S1 X10", "SELECT ticker, date, open, high, low, close, volume, prev_close FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev_close FROM eod) WHERE volume % 10 <> 3 AND volume % 4000 <> 0", "open high low close prev_close")
-def _(t):
-    b = sessions.with_previous_close(t.eod)
-    rows = b.select(
+def land_days(t, df, day, name):
+    """A folder of one CSV file a day, called as an exchange calls it: ``name`` with the day (DDMMYYYY) in it."""
+    files = scratch_path(t.spark, "landed-days")
+    df.withColumn("_day", F.date_format(day, "ddMMyyyy")).repartition("_day").write.option("header", True).partitionBy("_day").csv(files)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(files).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    flat = f"{files}-named"
+    fs.mkdirs(path(flat))
+    for part in fs.globStatus(path(f"{files}/_day=*/part-*")):  # one file a day
+        one = part.getPath()
+        fs.rename(one, path(f"{flat}/{name % one.getParent().getName().split('=')[1]}"))
+    return flat
+
+
+def equity_rows(t):
+    return sessions.with_previous_close(t.eod).select(
         c("ticker").alias(" SYMBOL "), F.when(c("volume") % 10 == 3, " BE").otherwise(" EQ").alias(" SERIES"), shown("prev_close").alias(" PREV_CLOSE"),
         shown("open").alias(" OPEN_PRICE"), shown("high").alias(" HIGH_PRICE"), shown("low").alias(" LOW_PRICE"),
         F.when(c("volume") % 4000 == 0, "-").otherwise(shown("close")).alias(" CLOSE_PRICE"), c("volume").cast("string").alias(" TTL_TRD_QNTY"),
-        F.lit(" -").alias(" DELIV_PER"), c("date").cast("string").alias("TRADE_DATE"))
-    path = land(t, rows, "csv", header=True)
-    return scans.equity_eod(t.spark, path, date=c("TRADE_DATE").cast("date"), extra=["TRADE_DATE"]).drop("delivery_pct")
+        F.when(c("volume") % 7 == 0, " -").otherwise(shown((c("volume") % 10000) / 100)).alias(" DELIV_PER"), c("date").cast("string").alias("TRADE_DATE"))
+
+
+EQUITY_SQL = """SELECT ticker, date, open, high, low, close, volume, prev_close, CASE WHEN volume % 7 <> 0 THEN (volume % 10000) / 1e2 END AS delivery_pct
+    FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev_close FROM eod) WHERE volume % 10 <> 3 AND volume % 4000 <> 0"""
+
+
+@query("scan_equity_eod", "S1 X10", EQUITY_SQL, "open high low close prev_close delivery_pct")
+def _(t):
+    path = land(t, equity_rows(t), "csv", header=True)
+    return scans.equity_eod(t.spark, path, date=c("TRADE_DATE").cast("date"), extra=["TRADE_DATE"])
+
+
+@query("scan_equity_daily_files", "S1 X10", f"SELECT * FROM ({EQUITY_SQL}) WHERE date >= DATE '1996-01-01'", "open high low close prev_close delivery_pct")
+def _(t):
+    """One file a day; the date is the file's name, and files before the wanted days are not read."""
+    rows = equity_rows(t)
+    days = land_days(t, rows, c("TRADE_DATE").cast("date"), "sec_bhavdata_full_%s.csv")
+    return scans.equity_eod(t.spark, days).where("date >= DATE '1996-01-01'")
 
 
-@query("scan_index_eod", "S2", "SELECT 'BENCH' AS index_name, date, close, open, high, low FROM idx", "close open high low", digits=2)
+@query("scan_index_eod", "S2", """SELECT 'BENCH' AS index_name, date, close, open, high, low, CASE WHEN day(date) % 3 <> 0 THEN floor((close / open - 1) * 1e6 + 5e-1) / 1e4 END AS pct_change FROM idx""",
+       "close open high low pct_change", digits=2)
 def _(t):
+    """One file a day, dated by its name."""
     n = lambda x: F.format_number(x, 6)
+    change = F.floor((c("close") / c("open") - 1) * 1e6 + 0.5) / 1e4
     rows = t.index.select(
         F.lit("  Bench ").alias("Index Name"), n("open").alias("Open Index Value"), n("high").alias("High Index Value"), n("low").alias("Low Index Value"),
-        n("close").alias("Closing Index Value"), F.lit("-").alias("Change(%)"), c("date").cast("string").alias("DAY"))
-    out = scans.index_eod(t.spark, land(t, rows, "csv", header=True), date=c("DAY").cast("date"), extra=["DAY"])
-    return out.drop("pct_change")
+        n("close").alias("Closing Index Value"), F.when(F.dayofmonth("date") % 3 == 0, "-").otherwise(F.format_number(change, 4)).alias("Change(%)"), "date")
+    return scans.index_eod(t.spark, land_days(t, rows, c("date"), "ind_close_all_%s.csv"))
 
 
 @query("index_ohlc_backfill", "S3 S20", "SELECT ticker AS index_name, date, close, CASE WHEN volume % 2 = 0 THEN open END AS open, CASE WHEN volume % 2 = 0 THEN high END AS high, CASE WHEN volume % 2 = 0 THEN low END AS low FROM eod WHERE ticker <> 'BRB'", "close open high low")
@@ -97,17 +127,24 @@ def _(t):
 
 def filing_json(t):
     stamp = F.date_format(F.from_utc_timestamp("announced_at", "Asia/Kolkata"), "dd-MMM-yyyy HH:mm:ss")
+    seq = F.when(c("filing_no") % 5 == 0, "  ").otherwise((c("filing_no") - c("filing_no") % 2).cast("string"))
     return t.filings.select(
         c("symbol"), c("company_name").alias("sm_name"), c("category").alias("desc"), c("sm_industry").alias("smIndustry"),
-        c("attachment_text").alias("attchmntText"), stamp.alias("an_dt"), (c("filing_no") - c("filing_no") % 2).cast("string").alias("seq_id"))
+        c("attachment_text").alias("attchmntText"), stamp.alias("an_dt"), seq.alias("seq_id"))
 
 
-@query("scan_filing_archive", "S7 X3", """SELECT 'nse:' || (filing_no - filing_no % 2) AS seq_id, arg_max(symbol, announced_at) AS symbol, max(announced_at) AS announced_at, arg_max(attachment_text, announced_at) AS attachment_text FROM filings GROUP BY 1""")
+@query("scan_filing_archive", "S7 X3", """SELECT seq_id, arg_max_null(symbol, announced_at) AS symbol, arg_max_null(company_name, announced_at) AS company_name, arg_max_null(category, announced_at) AS category, arg_max_null(sm_industry, announced_at) AS sm_industry,
+    max(announced_at) AS announced_at, arg_max_null(attachment_text, announced_at) AS attachment_text, arg_max(raw_seq, announced_at) AS raw_seq, arg_max(raw_at, announced_at) AS raw_at FROM (
+      SELECT *, 'nse:' || CASE WHEN filing_no % 5 = 0 THEN coalesce(symbol, '?') || ':' || strftime(announced_at, '%Y-%m-%dT%H:%M:%S') || '.000Z:' || left(coalesce(category, ''), 40) ELSE (filing_no - filing_no % 2)::VARCHAR END AS seq_id,
+        CASE WHEN filing_no % 5 = 0 THEN '  ' ELSE (filing_no - filing_no % 2)::VARCHAR END AS raw_seq, strftime(announced_at + INTERVAL 330 MINUTE, '%d-%b-%Y %H:%M:%S') AS raw_at
+      FROM (SELECT * EXCLUDE (seq_id) FROM filings)) GROUP BY seq_id""")
 def _(t):
     raw = t.spark.read.schema(scans.FILING_SCHEMA).json(land(t, filing_json(t), "json"))
     from barframe.functions.dates import parse_exchange_time
 
-    return scans.filing_archive(raw, parse_exchange_time("an_dt")).select("seq_id", "symbol", "announced_at", "attachment_text")
+    out = scans.filing_archive(raw, parse_exchange_time("an_dt"))
+    kept = lambda x: F.get_json_object("raw", f"$.{x}")
+    return out.select("seq_id", "symbol", "company_name", "category", "sm_industry", "announced_at", "attachment_text", kept("seq_id").alias("raw_seq"), kept("an_dt").alias("raw_at"))
 
 
 @query("scan_investor_flows", "S8 P13", "SELECT date, max(open) FILTER (WHERE ticker = 'BRB') AS fii_buy, max(close) FILTER (WHERE ticker = 'BRB') AS fii_sell, coalesce(max(open) FILTER (WHERE ticker = 'BRC'), 0e0) AS dii_buy, coalesce(max(close) FILTER (WHERE ticker = 'BRC'), 0e0) AS dii_sell FROM eod WHERE ticker IN ('BRB', 'BRC') GROUP BY 1 HAVING count(*) = 2", "fii_buy fii_sell dii_buy dii_sell")
@@ -120,22 +157,31 @@ def _(t):
     return scans.investor_flows(t.spark.read.schema(scans.FLOW_SCHEMA).json(land(t, rows, "json")))
 
 
-@query("scan_corporate_actions", "S9 X22", "SELECT DISTINCT ticker, ex_date, subject, action_type, adj_factor FROM actions", "adj_factor")
+@query("scan_corporate_actions", "S9 X22", "SELECT DISTINCT ticker, ex_date, subject, action_type, adj_factor, strftime(ex_date, '%d-%b-%Y') AS raw_date, ticker || '|' || subject AS raw_rest FROM actions", "adj_factor")
 def _(t):
     rows = t.actions.select(c("ticker").alias("symbol"), "subject", F.date_format("ex_date", "dd-MMM-yyyy").alias("exDate"))
     raw = t.spark.read.schema(scans.ACTION_SCHEMA).json(land(t, rows.unionByName(rows), "json"))
-    return scans.corporate_actions(raw).drop("raw")
+    kept = lambda x: F.get_json_object("raw", f"$.{x}")
+    return scans.corporate_actions(raw).withColumns({"raw_date": kept("exDate"), "raw_rest": F.concat_ws("|", kept("symbol"), kept("subject"))}).drop("raw")
 
 
-@query("scan_derivatives", "S10 P13", "SELECT trade_date, ticker, expiry, CASE WHEN volume % 9 = 0 THEN -1e0 ELSE strike END AS strike, CASE WHEN volume % 9 = 0 THEN 'FUT' ELSE option_type END AS option_type, count(*) AS n FROM (SELECT DISTINCT trade_date, ticker, expiry, strike, option_type, volume FROM chain WHERE volume % 5 <> 0 AND volume % 9 <> 0) GROUP BY 1, 2, 3, 4, 5", "strike")
+@query("scan_derivatives", "S10 P13", """SELECT trade_date, ticker, expiry, strike, option_type, 'IDO' AS instr_type, close - 1 AS open, close + 2 AS high, close - 3 AS low, close, close + 5e-1 AS settle, strike + 10 AS underlying,
+      volume * 2 AS oi, -(volume % 50) AS chg_oi, volume, close * 4 AS turnover, volume % 77 AS n_trades, (volume % 40 + 1)::INTEGER AS lot_size FROM chain WHERE volume % 5 <> 0
+    UNION ALL SELECT trade_date, ticker, expiry, -1, 'FUT', 'STF', NULL, NULL, NULL, max(close), NULL, NULL, 0, 0, max(volume) + 1, NULL, 0, 1 FROM chain GROUP BY 1, 2, 3""",
+       "strike open high low close settle underlying turnover")
 def _(t):
-    ch, fut = t.chain, c("volume") % 9 == 0
-    rows = ch.where(~fut).select(
-        c("trade_date").cast("string").alias("TradDt"), c("ticker").alias("TckrSymb"), c("expiry").cast("string").alias("XpryDt"), c("strike").cast("string").alias("StrkPric"),
-        c("option_type").alias("OptnTp"), F.lit("IDO").alias("FinInstrmTp"), c("close").cast("string").alias("ClsPric"),
-        F.when(c("volume") % 5 == 0, "0").otherwise(c("volume").cast("string")).alias("TtlTradgVol"))
-    out = scans.derivatives_eod(t.spark, land(t, rows, "csv", header=True))
-    return out.groupBy("trade_date", "ticker", "expiry", "strike", "option_type").agg(F.count(F.lit(1)).alias("n"))
+    text = lambda x: x.cast("string")
+    px, v = c("close"), c("volume")
+    day = [text(c("trade_date")).alias("TradDt"), c("ticker").alias("TckrSymb"), text(c("expiry")).alias("XpryDt")]
+    options = t.chain.select(
+        *day, text(c("strike")).alias("StrkPric"), c("option_type").alias("OptnTp"), F.lit("IDO").alias("FinInstrmTp"), text(px - 1).alias("OpnPric"), text(px + 2).alias("HghPric"),
+        text(px - 3).alias("LwPric"), text(px).alias("ClsPric"), text(px + 0.5).alias("SttlmPric"), text(c("strike") + 10).alias("UndrlygPric"), text(v * 2).alias("OpnIntrst"),
+        text(-(v % 50)).alias("ChngInOpnIntrst"), F.when(v % 5 == 0, "0").otherwise(text(v)).alias("TtlTradgVol"), text(px * 4).alias("TtlTrfVal"), text(v % 77).alias("TtlNbOfTxsExctd"),
+        text(v % 40 + 1).alias("NewBrdLotQty"))
+    futures = t.chain.groupBy("trade_date", "ticker", "expiry").agg(F.max("close").alias("close"), (F.max("volume") + 1).alias("volume")).select(
+        *day, F.lit("STF").alias("FinInstrmTp"), text(px).alias("ClsPric"), text(v).alias("TtlTradgVol"),
+        *[F.lit("0").alias(x) for x in ("OpnIntrst", "ChngInOpnIntrst", "TtlNbOfTxsExctd")], F.lit("1").alias("NewBrdLotQty"))
+    return scans.derivatives_eod(t.spark, land(t, options.unionByName(futures, allowMissingColumns=True), "csv", header=True))
 
 
 @query("scan_intraday", "S11", "SELECT ticker, ts, open, high, low, close, CASE WHEN volume > 1000000 THEN volume ELSE 0 END AS volume FROM intraday WHERE hour(ts) <> 13", "open high low close")

@@ -67,7 +67,7 @@ def _(t):
     CASE option_type WHEN 'CE' THEN 1e0 ELSE -1e0 END * 1e2 * (strike / underlying - 1e0) AS otm, greatest(5e-2, 5e-3 * close) / close AS half_spread FROM chain""", "strike price intrinsic otm half_spread")
 def _(t):
     call = c("option_type") == "CE"
-    return t.priced_chain.select(
+    return t.chain.select(
         "ticker", "trade_date", "expiry", "strike", "option_type", c("close").alias("price"), M.intrinsic(c("underlying"), c("strike"), call).alias("intrinsic"),
         M.out_of_the_money_pct(c("strike"), c("underlying"), call).alias("otm"), M.half_spread(c("close")).alias("half_spread"))
 

@@ -10,7 +10,7 @@ from barframe.functions.dates import exchange_date, parse_exchange_time
 from barframe.functions.filings import parse_action
 from barframe.functions.numbers import parse_number
 from barframe.functions.text import strip_html
-from barframe.sources.sinks import first_per_key
+from barframe.sources.sinks import first_per_key, mostly_unique
 
 c = F.col
 NO_STRIKE, NO_TYPE = -1.0, "FUT"
@@ -213,7 +213,7 @@ def derivatives_eod(spark: SparkSession, path, symbols: list[str] | None = None,
         lng("OpnIntrst").alias("oi"), lng("ChngInOpnIntrst").alias("chg_oi"), lng("TtlTradgVol").alias("volume"),
         dbl("TtlTrfVal").alias("turnover"), lng("TtlNbOfTxsExctd").alias("n_trades"), lng("NewBrdLotQty").cast("int").alias("lot_size"),
     )
-    return rows.transform(first_per_key, ["trade_date", "ticker", "expiry", "strike", "option_type"])
+    return rows.transform(mostly_unique, ["trade_date", "ticker", "expiry", "strike", "option_type"])
 
 
 INTRADAY_SCHEMA = "ticker string, ts string, interval string, open double, high double, low double, close double, volume double"

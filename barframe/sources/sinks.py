@@ -86,6 +86,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column] | None = N
     return df.groupBy(*keys).agg(F.min_by(F.struct(*body), rank).alias("r")).select(*keys, "r.*").select(*df.columns)
 
 
+def mostly_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``first_per_key`` of a scan whose keys hardly ever repeat, without shuffling its rows.
+
+    Hashes of the keys are counted first; only rows whose hash is met twice are put together by key. The
+    count is run, and the few hashes are written, when the function is called.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    twice = cut(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "met-twice")
+    if twice.isEmpty():
+        return df
+    once = hashed.join(twice, "_h", "left_anti").drop("_h")
+    return once.unionByName(first_per_key(hashed.join(twice, "_h", "left_semi").drop("_h"), keys))
+
+
 def new_rows(df: DataFrame, table: str, keys: list[str], batch: str, by: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """The rows of ``df`` whose key no other batch of the table holds, with their partition; only the partitions of its keys are read."""
     fresh = first_per_key(df, keys, order).withColumn(PART, _part(keys, by))

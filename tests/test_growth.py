@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from barframe.operators import options
 from barframe.plans.tables import Tables
+from barframe.sources import scans
 
 
 def plan(df, kind="optimizedPlan"):
@@ -32,6 +33,17 @@ def test_forward_beside_rows_is_the_forward_of_the_day(spark, data_dir):
     assert beside.exceptAll(apart).isEmpty() and apart.exceptAll(beside).isEmpty() and not apart.isEmpty()
 
 
+def test_contract_bars_are_unique_without_moving_rows(spark, tmp_path):
+    row = lambda strike, close: f"2024-01-01,ABC,2024-01-25,{strike},CE,IDO,{close},{close},{close},{close},,,0,0,5,,1,1"
+    head = "TradDt,TckrSymb,XpryDt,StrkPric,OptnTp,FinInstrmTp,OpnPric,HghPric,LwPric,ClsPric,SttlmPric,UndrlygPric,OpnIntrst,ChngInOpnIntrst,TtlTradgVol,TtlTrfVal,TtlNbOfTxsExctd,NewBrdLotQty"
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text("\n".join([head, row(100, 1), row(110, 2)]))
+    two.write_text("\n".join([head, row(100, 1), row(110, 2), row(100, 1), row(110, 3)]))
+    once = scans.derivatives_eod(spark, str(one))
+    assert once.count() == 2 and "Exchange" not in plan(once, "executedPlan")
+    assert sorted((r["strike"], r["close"]) for r in scans.derivatives_eod(spark, str(two)).collect()) == [(100.0, 1.0), (110.0, 2.0)]
+
+
 def test_surface_of_points_and_ties(spark):
     rows = [("A", e, k, kind, 0.2 + k / 1000 + n / 10, d) for e, n in (("2024-01-25", 0), ("2024-02-29", 1)) for k, kind, d in (
         (90.0, "CE", 0.8), (90.0, "PE", -0.2), (100.0, "CE", 0.5), (100.0, "PE", -0.5), (110.0, "CE", 0.2), (110.0, "PE", -0.8), (115.0, "CE", 0.2))]

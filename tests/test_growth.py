@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from barframe.functions import text as T
 from barframe.operators import options
 from barframe.plans.tables import Tables
 from barframe.sources import scans
@@ -33,6 +34,21 @@ def test_forward_beside_rows_is_the_forward_of_the_day(spark, data_dir):
     assert beside.exceptAll(apart).isEmpty() and apart.exceptAll(beside).isEmpty() and not apart.isEmpty()
 
 
+def test_content_hash_builds_its_key_once(spark):
+    df = spark.createDataFrame([("Hello, World", "http://Ab.com/x/"), ("", ""), ("\U0001f600 é", "x")], "title string, link string")
+    out = df.select(T.content_hash("title", "link").alias("h"), T.content_key("title", "link").alias("k"))
+    assert plan(df.select(T.content_hash("title", "link").alias("h"))).count("[^a-z0-9_]+") == 1
+
+    def djb2(s):
+        h = 5381
+        for x in s:
+            h = ((h * 33) ^ ord(x)) & 0xFFFFFFFF
+        return format(h, "x")
+
+    assert all(r["h"].lstrip("0") == djb2(r["k"]) for r in out.collect())
+    assert spark.range(1).select(T.djb2_hex(F.lit("")).alias("h")).first()["h"] == "1505"
+
+
 def test_contract_bars_are_unique_without_moving_rows(spark, tmp_path):
     row = lambda strike, close: f"2024-01-01,ABC,2024-01-25,{strike},CE,IDO,{close},{close},{close},{close},,,0,0,5,,1,1"
     head = "TradDt,TckrSymb,XpryDt,StrkPric,OptnTp,FinInstrmTp,OpnPric,HghPric,LwPric,ClsPric,SttlmPric,UndrlygPric,OpnIntrst,ChngInOpnIntrst,TtlTradgVol,TtlTrfVal,TtlNbOfTxsExctd,NewBrdLotQty"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from barframe.functions import extraction as X
 from barframe.functions import text as T
 from barframe.operators import options
 from barframe.plans.tables import Tables
@@ -71,3 +72,13 @@ def test_surface_of_points_and_ties(spark):
     call = (0.31 + 0.315) / 2 + (0.3 - (0.31 + 0.315) / 2) / (0.5 - 0.2) * (0.25 - 0.2)
     want = {"atm_iv": 0.305, "next_atm_iv": 0.405, "term_slope": 0.1, "skew_25d": put - call}
     assert all(abs(got[0][k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_sectors_are_counted_once(spark):
+    df = spark.createDataFrame([("",)], "low string").withColumn("h", X.keyword_hits(F.col("low")))
+    assert plan(df.select(X.primary_sector(F.col("h")).alias("s"))).count("category") < 10
+    assert df.select(X.primary_sector(F.col("h")).alias("s")).first()["s"] is None
+
+
+def test_every_pattern_has_its_words():
+    assert len(X.KIND_WORDS) == len(X.CONTRACT_KINDS) and len(X.VALUE_WORDS) == len(X.ORDER_VALUES)

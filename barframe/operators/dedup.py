@@ -5,8 +5,10 @@ similar to, that of an item *kept* before. That is the greedy maximal independen
 conflict graph, which parallel rounds reproduce exactly (Blelloch, Fineman, Shun 2012): an
 item without an undecided earlier neighbour is kept, neighbours of kept items are dropped.
 
-* A poll is the unit: titles are compared within it only, so work grows with the number of polls. All
-  polls are decided side by side, in as many rounds as the longest chain of waiting items in any of them.
+* A poll is the unit: titles are compared within it only, so work grows with the number of polls.
+* A poll of at most ``WALKED`` different items is walked as the rule says, in one row; almost every poll is one.
+* Polls above that are decided by the rounds, side by side, in as many rounds as the longest chain of waiting
+  items in any of them. Both ways give the same items.
 * Items equal in both title and link collapse to their first before anything else.
 * Equality conflicts (same link, same title) never become pairs; a group is represented by
   its first undecided item and by whether it already has a kept one.
@@ -23,6 +25,8 @@ from barframe.functions.text import FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, normalize
 from barframe.session import cut
 
 c = F.col
+#: Different items of a poll that one row may hold; they are compared with the kept ones before them.
+WALKED = 2048
 
 
 def _numbered_bigrams(title):
@@ -110,6 +114,26 @@ def _resolve(nodes: DataFrame, keys: list[str]) -> DataFrame:
             return state.where("state = 1").drop("state")
 
 
+def _walk(polls: DataFrame, keys: list[str]) -> DataFrame:
+    """Kept nodes of polls that fit a row: every item meets the kept ones before it, in order.
+
+    ``polls``: keys and ``nodes``, an array of (ord, title, url, n), n the title's length.
+    """
+    def conflict(x, n):
+        longest = F.greatest(x["n"], n["n"])
+        # The distance stops at the greatest that can count and is -1 beyond; the quotient decides, as everywhere else.
+        distance = F.call_function("levenshtein", x["title"], n["title"], F.ceil(longest * F.lit(FUZZY_THRESHOLD)).cast("int"))
+        close = F.abs(x["n"] - n["n"]) / longest <= FUZZY_THRESHOLD
+        # In this order, and each only if the one before leaves it open.
+        return F.when((x["url"] == n["url"]) | (x["title"] == n["title"]), True).when(
+            (longest < FUZZY_MIN_LENGTH) | ~close, False).otherwise((distance >= 0) & (distance / longest <= FUZZY_THRESHOLD))
+
+    kept = F.aggregate(
+        F.sort_array("nodes"), F.slice("nodes", F.lit(1), F.lit(0)),
+        lambda kept, n: F.when(F.exists(kept, lambda x: conflict(x, n)), kept).otherwise(F.array_append(kept, n)))
+    return polls.select(*keys, F.inline(kept)).select(*keys, "ord")
+
+
 def deduplicate(items: DataFrame, *, order: str, title: str = "title", link: str = "link", batch: list[str] | None = None) -> DataFrame:
     """Items that survive, in the sense of the rule above. ``order``: a unique long column.
 
@@ -119,8 +143,22 @@ def deduplicate(items: DataFrame, *, order: str, title: str = "title", link: str
     keys = list(batch or [])
     nodes = items.select(
         *keys, c(order).cast("long").alias("ord"), normalize_text(title).alias("title"), normalize_url(link).alias("url")
-    ).groupBy(*keys, "title", "url").agg(F.min("ord").alias("ord"))
-    nodes = cut(nodes, "nodes")
-    tokens = tokenize(nodes.select(*keys, "title").distinct(), keys)
-    kept = _resolve(cut(nodes.join(tokens, keys + ["title"]), "tokens"), keys)
-    return items.join(kept.select(*keys, c("ord").alias("_ord")), [items[k] == kept[k] for k in keys] + [c(order).cast("long") == c("_ord")], "left_semi")
+    )
+    # Without a title or a link nothing is equal: a mark that no normalised text holds stands for it.
+    alone = F.concat(F.lit("\0"), F.hex("ord"))
+    nodes = nodes.withColumns({x: F.coalesce(c(x), alone) for x in ("title", "url")})
+    nodes = cut(nodes.groupBy(*keys, "title", "url").agg(F.min("ord").alias("ord")), "nodes")
+    large = cut(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > WALKED), "large-polls")
+    beside = lambda df: [df[k].eqNullSafe(large[k]) for k in keys] or F.lit(True)
+    kept = None
+    if not large.isEmpty():
+        poll = F.to_json(F.struct(*keys)) if keys else F.lit("")
+        held = cut(nodes.join(large, beside(nodes), "left_semi").withColumn("_poll", poll), "large-nodes")
+        tokens = tokenize(held.select("_poll", "title").distinct(), ["_poll"])
+        rounds = _resolve(cut(held.join(tokens, ["_poll", "title"]), "tokens"), ["_poll"])
+        kept = held.join(rounds.select("_poll", "ord"), ["_poll", "ord"], "left_semi").select(*keys, "ord")
+        nodes = nodes.join(large, beside(nodes), "left_anti")
+    polls = nodes.groupBy(*keys).agg(F.collect_list(F.struct("ord", "title", "url", F.length("title").alias("n"))).alias("nodes"))
+    walked = _walk(polls, keys)
+    kept = cut((walked if kept is None else walked.unionByName(kept)).withColumnRenamed("ord", "_ord"), "kept")
+    return items.join(kept, [items[k].eqNullSafe(kept[k]) for k in keys] + [c(order).cast("long") == c("_ord")], "left_semi")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barframe.functions import extraction as X
 from barframe.functions import text as T
-from barframe.operators import options
+from barframe.operators import dedup, options
 from barframe.plans.tables import Tables
 from barframe.sources import scans
 
@@ -82,3 +82,22 @@ def test_sectors_are_counted_once(spark):
 
 def test_every_pattern_has_its_words():
     assert len(X.KIND_WORDS) == len(X.CONTRACT_KINDS) and len(X.VALUE_WORDS) == len(X.ORDER_VALUES)
+
+
+def test_small_polls_are_walked_and_both_ways_agree(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds for a small poll")
+
+    base = "Reliance Industries wins crore solar order from SECI"
+    rows = [(i, f"{base} {'x' * (i % 17)}{i % 3}" if i % 4 else ["HAL order", "abcdefghijklmnopqrst"[: 14 + i % 6], "", None][i // 4 % 4],
+             None if i % 10 == 9 else f"https://a.com/{i * 7 % 23}", None if i % 5 == 4 else i % 5) for i in range(60)]
+    items = spark.createDataFrame(rows, "n long, title string, link string, poll long")
+    decided = lambda by: sorted(r["n"] for r in dedup.deduplicate(items, order="n", batch=by).collect())
+    with monkeypatch.context() as m:
+        m.setattr(dedup, "_resolve", rounds)
+        walked = [decided(["poll"]), decided(None)]
+    monkeypatch.setattr(dedup, "WALKED", 3)
+    assert walked == [decided(["poll"]), decided(None)]
+    # No title and no link is like nothing else, also where the poll has no name.
+    lone = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], items.schema)
+    assert dedup.deduplicate(lone, order="n", batch=["poll"]).count() == 2

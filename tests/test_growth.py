@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from barframe.functions import extraction as X
 from barframe.functions import text as T
-from barframe.operators import dedup, options
+from barframe.functions.numbers import parse_number
+from barframe.operators import dedup, options, order_values, reports
 from barframe.plans.tables import Tables
 from barframe.sources import scans
 
@@ -101,3 +102,15 @@ def test_small_polls_are_walked_and_both_ways_agree(spark, monkeypatch):
     # No title and no link is like nothing else, also where the poll has no name.
     lone = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], items.schema)
     assert dedup.deduplicate(lone, order="n", batch=["poll"]).count() == 2
+
+
+def test_equal_texts_are_read_once_for_order_values(spark, monkeypatch):
+    texts = ["Company bags order worth Rs 120 crore", "Order book stands at Rs 5 lakh; contract value US$ 7 mn", "nothing", "", None]
+    df = spark.createDataFrame([(i, f"S{i}", texts[i % 5]) for i in range(40)], "seq_id long, symbol string, body string")
+    want = sorted(order_values.order_values(df, "seq_id", "body").collect())
+    real, read = order_values.order_values, []
+    monkeypatch.setattr(order_values, "order_values", lambda t, *rest: read.append(t.count()) or real(t, *rest))
+    got = order_values.order_values_of_repeats(df, "seq_id", "body")
+    assert sorted(got.collect()) == want and len(want) == 40 and read == [4]
+    summary = order_values.confidence_summary(got.where("seq_id % 77 < 76"))
+    assert "% 77" not in plan(summary) and sum(r["n"] for r in summary.collect()) == 40

@@ -114,3 +114,14 @@ def test_equal_texts_are_read_once_for_order_values(spark, monkeypatch):
     assert sorted(got.collect()) == want and len(want) == 40 and read == [4]
     summary = order_values.confidence_summary(got.where("seq_id % 77 < 76"))
     assert "% 77" not in plan(summary) and sum(r["n"] for r in summary.collect()) == 40
+
+
+def test_weights_of_fills_are_made_once(spark, data_dir):
+    t = Tables(spark, data_dir)
+    got = {r["date"]: r["weight"] for r in options.fill_session_weights(t.contracts, t.chain).collect()}
+    want = {r["date"]: r["weight"] for r in options.candidate_session_weights(options.resolve_fills(t.contracts, t.chain), t.chain).collect()}
+    assert got.keys() == want.keys() and got and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    regime = spark.sql("select date_add(date'2020-01-01', cast(id as int)) date, id % 2 = 0 e, 'x' d from range(9)")
+    cands = regime.where("day(date) % 77 < 76").selectExpr("date", "1.0D weight")
+    shares = reports.weighted_shares(cands, regime, ["e"], ["d"])
+    assert "% 77" not in plan(shares) and shares.count() == 2

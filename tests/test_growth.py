@@ -125,3 +125,10 @@ def test_weights_of_fills_are_made_once(spark, data_dir):
     cands = regime.where("day(date) % 77 < 76").selectExpr("date", "1.0D weight")
     shares = reports.weighted_shares(cands, regime, ["e"], ["d"])
     assert "% 77" not in plan(shares) and shares.count() == 2
+
+
+def test_a_buyer_report_runs_its_outcomes_once(spark):
+    rows = spark.sql("select cast(id % 3 as string) b, id + 1.0D close, id - 4.0D gross, id - 5.0D net from range(12) where id % 77 < 76")
+    block = options.buyer_block(rows, "b")
+    assert "% 77" not in plan(block)
+    assert sorted((r["b"], r["n"], r["median_premium"]) for r in block.collect()) == [("0", 4, 5.5), ("1", 4, 6.5), ("2", 4, 7.5)]

@@ -132,3 +132,11 @@ def test_a_buyer_report_runs_its_outcomes_once(spark):
     block = options.buyer_block(rows, "b")
     assert "% 77" not in plan(block)
     assert sorted((r["b"], r["n"], r["median_premium"]) for r in block.collect()) == [("0", 4, 5.5), ("1", 4, 6.5), ("2", 4, 7.5)]
+
+
+def test_a_number_is_looked_for_once(spark):
+    shown = [" 1,234.50 ", "-", "", None, "+.5x", "1e3", "-7 Cr", "NaN", "Infinity", "1d", "0x1p3", ".", "12abc34", "1e999"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(shown)], "i int, s string")
+    out = df.select("i", parse_number("s").alias("v"))
+    assert plan(out).count("regexp_extract") == 1
+    assert [r["v"] for r in out.orderBy("i").collect()] == [1234.5, None, None, None, 0.5, 1000.0, -7.0, None, None, 1.0, 0.0, None, 12.0, float("inf")]

@@ -140,3 +140,9 @@ def test_a_number_is_looked_for_once(spark):
     out = df.select("i", parse_number("s").alias("v"))
     assert plan(out).count("regexp_extract") == 1
     assert [r["v"] for r in out.orderBy("i").collect()] == [1234.5, None, None, None, 0.5, 1000.0, -7.0, None, None, 1.0, 0.0, None, 12.0, float("inf")]
+
+
+def test_surface_and_its_ranks_are_shuffled_twice(spark, data_dir):
+    t = Tables(spark, data_dir)
+    ranked = options.surface_ranks(options.daily_surface(options.option_iv(t.chain, 300)))
+    assert plan(ranked, "executedPlan").count("Exchange ") == 2  # bars by instrument, and rows by instrument behind the root finder

@@ -18,17 +18,20 @@ import os
 import re
 import uuid
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm.common import map_arrow
+from barframe.llm.common import chunks, map_arrow, text_bytes
 from barframe.session import cut, scratch_path
 
 SEQUENCE = 2048
@@ -36,94 +39,160 @@ BATCH_ROWS = 64
 #: Text a shard, about; and the characters of a text that order it among texts of one id before shards are cut.
 SHARD_BYTES, KEY_CHARS = 256 << 20, 32
 END = 2
-#: Encoded pieces in one generation of what a worker remembers, none longer than PIECE_CHARS.
-REMEMBERED, PIECE_CHARS = 400_000, 40
-#: Characters of text whose pieces are looked up at once.
-LOT_CHARS = 1 << 20
-#: Latin letters, and a word of them with a stop or none.
+#: Pieces that a worker remembers, about; one longer than PIECE_CHARS is forgotten first. Ids of all of them, a piece.
+REMEMBERED, PIECE_CHARS, PIECE_IDS = 600_000, 40, 8
+#: Text whose different pieces are looked up at once (a longer document is a lot of its own), and runs of ids copied at once.
+LOT_BYTES, RUNS = 4 << 20, 1 << 20
+#: Latin letters, and a piece of them, digits and ASCII's signs, of which the pre-tokens are known.
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
-_WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?]?)")
-#: A space before a visible character always begins a new pre-token, so a text may be cut there.
-_SEAM = re.compile(r" (?=\S)")
+_PLAIN = re.compile(f"\n?[!-~{_LETTERS}]+").fullmatch
+_PRETOKENS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|\n").findall
+#: Before a visible character a space always begins a new pre-token, and a line end is one: a text may be cut before both.
+_SEAM = re.compile(r" (?=\S)|(?=\n\S)")
+#: First bytes of white space.
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[*{chr(p).encode()[0] for p in range(0xD800) if chr(p).isspace()}]] = True
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of whole texts by the ``tokenizers`` library; pieces between seams are encoded once and remembered.
 
-    A dictionary from a piece (its leading space left off) to its ids. Two generations are kept: when the
-    younger is full it becomes the older, and pieces that are used again move up, so frequent pieces stay
-    and memory is bounded.
+    A piece goes without its leading space; one that begins with a line end, as every line does, keeps that. Arrow cuts the
+    texts and finds the different pieces of a lot, which get numbers; the ids of all texts are then taken from one
+    array by the numbers. Of very many pieces the more used half stays, so memory is bounded.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.kind, self.code = (np.uint16, "H") if self.library.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
-        self.old: dict[str, bytes] = {}
-        # A piece of one word is one pre-token, and one more for a stop after it: the library's model can
-        # be asked straight away. Letters are spelt for it as the library's byte-level step spells them.
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        # The library's model can be asked for a pre-token straight away, spelt as the library's byte-level step spells it.
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS}
-        self.space = spell.pre_tokenize_str(" ")[0][0]
+        self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS + " \n"}
+        self.space, self.model, self.parts = self.spelt[ord(" ")], self.library.model.tokenize, self.library.pre_tokenizer and self.library.pre_tokenizer.pre_tokenize_str
+        # Another tokenizer may have no seams there; then texts are encoded whole, as are those with an added token.
         self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None
-        self.stops = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ["", "\n", *".,;:!?"]}
-        self.model, self.parts = self.library.model.tokenize, self.library.pre_tokenizer.pre_tokenize_str if self.direct else None
+        self.parts_known = lru_cache(1 << 16)(self._part)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def _pieces(self, piece: str) -> bytes:
-        """The ids of a space and ``piece``, which is no plain word."""
-        if not self.direct or any(x in piece for x in self.added):
-            ids = self.library.encode(" " + piece, add_special_tokens=False).ids
-        else:  # the library's own steps, which spares it all but the ids
-            ids = [t.id for part, _ in self.parts(" " + piece) for t in self.model(part)]
-        return array(self.code, ids).tobytes()
-
-    def _word(self, key: str, first: str, word: str) -> bytes:
-        """The ids of ``first`` and a word of letters that is one pre-token with it; remembered under ``key``."""
-        ids = self.get(key) or self.old.get(key)
-        if ids is None:
-            ids = array(self.code, [t.id for t in self.model(first + word.translate(self.spelt))]).tobytes()
-        self[key] = ids
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        """Enter the pieces that are not known yet."""
-        old, code, model, space = self.old, self.code, self.model, self.space
-        for piece in pieces.difference(self):
-            ids = old.get(piece)
-            if ids is None:
-                if self.direct and piece.isascii() and piece.isalpha():
-                    ids = array(code, [t.id for t in model(space + piece)]).tobytes()
+        self.number: dict[str, int] = defaultdict(count().__next__)  # a new piece gets the next number
+        self.store, self.lengths, self.uses = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces by the library's own steps, which spares it all but the ids; and how many each has."""
+        model, space, known, ids, ends = self.model, self.space, self.parts_known, [], []
+        for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                ids += [t.id for t in model(space + piece)]
+            else:
+                text = " " + piece if piece[:1].strip() else piece
+                if not _PLAIN(piece):
+                    ids += [t.id for part, _ in self.parts(text) for t in model(part)]
+                elif piece.isalpha():
+                    ids += [t.id for t in model(text.translate(self.spelt))]
                 else:
-                    # Words with a stop or none; a single line end between visible characters is a pre-token of its own.
-                    lines = [_WORD.fullmatch(x) for x in piece.split("\n")] if self.direct else [None]
-                    if all(lines):
-                        (word, stop), *further = (m.groups() for m in lines)
-                        ids = self._word(word, space, word) + self.stops[stop]
-                        for word, stop in further:
-                            ids += self.stops["\n"] + self._word("\n" + word, "", word) + self.stops[stop]
-                    else:
-                        ids = self._pieces(piece)
-            self[piece] = ids
+                    ids += chain.from_iterable(map(known, _PRETOKENS(text)))
+            ends.append(len(ids))
+        return np.array(ids, self.kind), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.model(part.translate(self.spelt))])
+
+    def _look_up(self, pieces: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text cut into ``pieces[places]``, and how many each of these has. The pieces are different and all used."""
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.number) > known:
+            ids, lengths = self._pieces([pieces[k] for k in np.flatnonzero(numbers >= known).tolist()])
+            self.store, self.lengths = np.concatenate((self.store, ids)), np.concatenate((self.lengths, lengths))
+            self.uses = np.concatenate((self.uses, np.zeros_like(lengths)))
+        self.uses[numbers] += np.bincount(places, minlength=len(pieces))
+        found = _taken(self.store, self.lengths, numbers[places])
+        if len(self.number) > REMEMBERED or len(self.store) > PIECE_IDS * REMEMBERED:
+            self._forget()
+        return found
+
+    def _forget(self) -> None:
+        names = list(self.number)
+        kept = [k for k in np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2].tolist() if len(names[k]) <= PIECE_CHARS]
+        self.number = defaultdict(count(len(kept)).__next__, {names[k]: n for n, k in enumerate(kept)})
+        self.store, self.lengths = _taken(self.store, self.lengths, np.array(kept, np.int64))
+        self.uses = self.uses[kept] // 2
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
+        return np.concatenate([self.store[:0], *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, by a pattern: for texts with several spaces or line ends on end, or at an end."""
+        # A line end before a text that begins with a visible character is an id of its own, which goes again.
+        begun = np.array([not t[:1].isspace() and t != "" for t in texts], bool)
+        parts = [_SEAM.split("\n" + t if b else t) for t, b in zip(texts, begun.tolist(), strict=True)]
+        parts = [p[1:] if b else p for p, b in zip(parts, begun.tolist(), strict=True)]
+        places: dict[str, int] = {}
+        at = np.array([places.setdefault(p, len(places)) for p in chain.from_iterable(parts)], np.int64)
+        ids, counts = self._look_up(list(places), at)
+        return _lines(ids, counts, np.array([len(p) for p in parts], np.int64), begun)
+
+    def _lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.full(len(texts), not self.direct)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        line_end, nothing = (pa.scalar(x, texts.type) for x in ("\n", ""))
+        lists = pc.split_pattern(pc.binary_join_element_wise(line_end, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        pieces, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        # A piece that does not begin with a visible character, but for the line end, was cut off at no seam.
+        data, bounds = text_bytes(coded.dictionary)
+        loose = np.diff(bounds) == 0
+        loose |= _MAY_BE_SPACE[np.append(data, 0)[bounds[:-1]]]
+        for k in np.flatnonzero(loose).tolist():
+            loose[k] = not (pieces[k][1:2] if pieces[k][:1] == "\n" else pieces[k][:1]).strip()
+        odd = np.logical_or.reduceat(loose[places], np.cumsum(sizes) - sizes) & ~whole
+        plain = ~odd & ~whole
+        if not plain.all():
+            places = places[np.repeat(plain, sizes)]
+            used = np.bincount(places, minlength=len(pieces)) > 0
+            pieces, places = [p for p, u in zip(pieces, used.tolist(), strict=True) if u], (np.cumsum(used) - 1)[places]
+        ids, counts = _lines(*self._look_up(pieces, places), sizes[plain], np.ones(int(plain.sum()), bool))
+        if plain.all():
+            return ids, counts
+        rows = np.empty(len(texts), object)
+        for mask, (some, n) in ((plain, (ids, counts)), (odd, self._cut(texts.filter(pa.array(odd)).to_pylist())), (whole, self._whole(texts.filter(pa.array(whole)).to_pylist()))):
+            for k, end, size in zip(np.flatnonzero(mask).tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
+                rows[k] = some[end - size : end]
+        return np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of ids of each; null is empty."""
+        if not len(texts):
+            return self.store[:0], np.empty(0, np.int64)
+        return self._lot(pc.fill_null(texts.cast(pa.large_string()), ""))  # line ends make a text longer
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``."""
-        if len(self) > REMEMBERED:
-            self.old = {k: v for k, v in self.items() if len(k) <= PIECE_CHARS}
-            self.clear()
-        out = []
-        for lot in _lots(texts):
-            parts = [_SEAM.split(t) for t in lot]
-            self.learn(set().union(*(p[1:] for p in parts)))
-            for first, *rest in parts:
-                begun = array(self.code, self.library.encode(first, add_special_tokens=False).ids).tobytes()
-                out.append(begun + b"".join(map(self.__getitem__, rest)))
-            if len(self) > 2 * REMEMBERED:  # a lot of very many pieces leaves nothing behind
-                self.clear()
-        return out
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        return [ids[end - n : end].tobytes() for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
+
+
+def _taken(store: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``store`` with these numbers, one after the other, and their lengths."""
+    counts, starts, runs = lengths[numbers], (np.cumsum(lengths) - lengths)[numbers], [store[:0]]
+    for a in range(0, len(numbers), RUNS):
+        n = counts[a : a + RUNS]
+        at = np.repeat(starts[a : a + RUNS] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        runs.append(store[at])
+    return np.concatenate(runs), counts
+
+
+def _lines(ids: np.ndarray, counts: np.ndarray, pieces: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From ids a piece to ids a text of so many ``pieces``; those that were ``begun`` by a line end lose its id."""
+    ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(pieces)]
+    totals = np.diff(ends, prepend=0)
+    return np.delete(ids, (ends - totals)[begun]), totals - begun
 
 
 _WORKER: dict[str, Encoder] = {}
@@ -136,30 +205,17 @@ def worker_encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def _lots(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``LOT_CHARS``."""
-    lot, size = [], 0
-    for text in texts:
-        lot.append(text)
-        size += len(text)
-        if size > LOT_CHARS:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
-
-
-def _lots(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``LOT_CHARS``."""
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in order, in tables of about ``LOT_BYTES``."""
     lot, size = [], 0
-    for text in texts:
-        lot.append(text)
-        size += len(text)
-        if size > LOT_CHARS:
-            yield lot
+    for batch in chunks(batches):
+        if lot and size + batch.nbytes > LOT_BYTES:
+            yield pa.Table.from_batches(lot)
             lot, size = [], 0
+        lot.append(batch)
+        size += batch.nbytes
     if lot:
-        yield lot
+        yield pa.Table.from_batches(lot)
 
 
 def _schema(kind: type) -> pa.Schema:
@@ -189,14 +245,12 @@ class _Shard:
         self.files = [self.system.open_output_stream(f"{self.own}.{x}") for x in ("arrow", "docs")]
         self.writers = [pa.ipc.new_file(f, s) for f, s in zip(self.files, (self.schema, _DOCS), strict=True)]
 
-    def add(self, ids: list, tokens: list[bytes]) -> None:
-        width = np.dtype(self.kind).itemsize
-        counts = np.array([len(t) // width for t in tokens], np.int64)
+    def add(self, ids: pa.Array, tokens: np.ndarray, counts: np.ndarray) -> None:
         starts = self.total + np.cumsum(counts) - counts
-        self.writers[1].write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(counts)], schema=_DOCS))
-        self.total += int(counts.sum())
-        self.held.append(np.frombuffer(b"".join(tokens), self.kind))
-        self.waiting += int(counts.sum())
+        self.writers[1].write_batch(pa.record_batch([ids, pa.array(starts), pa.array(counts)], schema=_DOCS))
+        self.total += len(tokens)
+        self.held.append(tokens)
+        self.waiting += len(tokens)
         full = SEQUENCE * BATCH_ROWS
         if self.waiting >= full:
             stream = np.concatenate(self.held)
@@ -230,12 +284,10 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = END) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number = worker_encoder(tokenizer), None, TaskContext.get().partitionId()
-        closing = np.array([end], encoder.kind).tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _lots(batches):
             shard = shard or _Shard(target, number, encoder.kind)
-            shard.add(batch.column("doc_id").to_pylist(), [t + closing for t in encoder([t or "" for t in batch.column("text").to_pylist()])])
+            ids, counts = encoder.encode(batch["text"].combine_chunks())
+            shard.add(batch["doc_id"].combine_chunks(), np.insert(ids, np.cumsum(counts), end), counts + 1)
         if shard:
             shard.close()
             yield pa.record_batch([pa.array([number], pa.int64()), pa.array([shard.total], pa.int64())], names=["shard", "tokens"])

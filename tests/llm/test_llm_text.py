@@ -192,6 +192,42 @@ def test_encoder_forgets_and_still_agrees(encoder, monkeypatch):
         assert np.frombuffer(encoder([t])[0], encoder.kind).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
 
 
+def test_beginnings_and_lines_are_encoded_once(monkeypatch):
+    import public_tokenizers
+
+    fresh, calls = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    library, model = fresh.library, fresh.model
+
+    class Counting:
+        def encode(self, text, **how):
+            calls.append(text)
+            return library.encode(text, **how)
+
+    monkeypatch.setattr(fresh, "library", Counting())
+    monkeypatch.setattr(fresh, "model", lambda part: calls.append(part) or model(part))
+    names = [a + b for a in ("Ann", "Bob", "Ché", "Dörte", "Ed's") for b in ("", "ia", "on", "ów")]
+    texts = [f"{a} met {b}.\n{b} left;\n{a}!!" for a in names for b in names]
+    got = fresh(texts)
+    assert len(calls) < len(texts)  # each text's beginning and each pair of words at a line end took calls of its own
+    assert [np.frombuffer(x, fresh.kind).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from(ODD), st.text(alphabet="abzAZ éÉñß.,!'19 \n\r\t\x0b\x1c\x85\xa0\u2003\u3000ªµ÷日\U0001f600", max_size=30)), max_size=12), st.sampled_from([3, 600_000]))
+def test_ids_of_mixed_rows_equal_the_library(encoder, texts, remembered):
+    import pyarrow as pa
+
+    texts += ["a\n<|endoftext|>", "a  \n <|endoftext|>\n\nb", "plain text\nof two lines."]
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "REMEMBERED", remembered)
+        for column in (pa.array(texts, pa.string()), pa.array(["before", *texts, "after"], pa.large_string()).slice(1, len(texts))):
+            ids, counts = encoder.encode(column)
+            assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+        if remembered == 3:
+            assert len(encoder.number) <= 3 and len(encoder.store) <= 3 * tokens.PIECE_CHARS * 4
+
+
 def test_fold_of_an_id():
     assert zlib.crc32(b"17") % 4 == zlib.crc32(str(17).encode()) % 4
 

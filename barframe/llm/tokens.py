@@ -47,11 +47,13 @@ LOT_BYTES, RUNS = 4 << 20, 1 << 20
 _LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªº")
 _PLAIN = re.compile(f"\n?[!-~{_LETTERS}]+").fullmatch
 _PRETOKENS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|\n").findall
-#: Before a visible character a space always begins a new pre-token, and a line end is one: a text may be cut before both.
-_SEAM = re.compile(r" (?=\S)|(?=\n\S)")
+_SPACES = "".join(c for c in map(chr, range(0xD800)) if c.isspace())
 #: First bytes of white space.
 _MAY_BE_SPACE = np.zeros(256, bool)
-_MAY_BE_SPACE[[*{chr(p).encode()[0] for p in range(0xD800) if chr(p).isspace()}]] = True
+_MAY_BE_SPACE[[*{c.encode()[0] for c in _SPACES}]] = True
+#: Before a visible character a space always begins a new pre-token, and a line end is one: a text may be cut before both,
+#: at a mark that takes the space's place.
+_SEAM, _MARK = f"(?: |(\n))([^{_SPACES}])", "\uffff"
 
 
 class Encoder:
@@ -72,10 +74,13 @@ class Encoder:
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelt = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in _LETTERS + " \n"}
         self.space, self.model, self.parts = self.spelt[ord(" ")], self.library.model.tokenize, self.library.pre_tokenizer and self.library.pre_tokenizer.pre_tokenize_str
-        # Another tokenizer may have no seams there; then texts are encoded whole, as are those with an added token.
-        self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        # Another tokenizer may have no seams there; then texts are encoded whole.
+        self.direct = repr(self.library.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False)) and self.library.normalizer is None and not any(
+            t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.parts_known = lru_cache(1 << 16)(self._part)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.number: dict[str, int] = defaultdict(count().__next__)  # a new piece gets the next number
         self.store, self.lengths, self.uses = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -87,12 +92,12 @@ class Encoder:
                 ids += [t.id for t in model(space + piece)]
             else:
                 text = " " + piece if piece[:1].strip() else piece
-                if not _PLAIN(piece):
-                    ids += [t.id for part, _ in self.parts(text) for t in model(part)]
-                elif piece.isalpha():
-                    ids += [t.id for t in model(text.translate(self.spelt))]
+                if _PLAIN(piece):
+                    ids += [t.id for t in model(text.translate(self.spelt))] if piece.isalpha() else chain.from_iterable(map(known, _PRETOKENS(text)))
+                elif len(piece) > PIECE_CHARS:
+                    ids += self.library.encode(text, add_special_tokens=False).ids
                 else:
-                    ids += chain.from_iterable(map(known, _PRETOKENS(text)))
+                    ids += [t.id for part, _ in self.parts(text) for t in model(part)]
             ends.append(len(ids))
         return np.array(ids, self.kind), np.diff(np.array(ends, np.int64), prepend=0)
 
@@ -120,38 +125,42 @@ class Encoder:
         self.store, self.lengths = _taken(self.store, self.lengths, np.array(kept, np.int64))
         self.uses = self.uses[kept] // 2
 
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) for t in texts]
+    def _between(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts with added tokens: what lies between these is encoded as a text is."""
+        parts = [self.at_added(t) for t in texts.to_pylist()]
+        flat, sizes = list(chain.from_iterable(parts)), np.array([len(p) for p in parts], np.int64)
+        token = np.concatenate([np.arange(n) % 2 == 1 for n in [0, *sizes.tolist()]])
+        counts = np.ones(len(flat), np.int64)
+        ids, counts[~token] = self._lot(pa.array([p for p, t in zip(flat, token.tolist(), strict=True) if not t], pa.large_string()))
+        ids = np.insert(ids, np.cumsum(counts * ~token)[token], [self.added[p] for p, t in zip(flat, token.tolist(), strict=True) if t])
+        return _lines(ids, counts, sizes, np.zeros(len(texts), bool))
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) for t in texts.to_pylist()]
         return np.concatenate([self.store[:0], *ids]), np.array([len(x) for x in ids], np.int64)
 
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, by a pattern: for texts with several spaces or line ends on end, or at an end."""
-        # A line end before a text that begins with a visible character is an id of its own, which goes again.
-        begun = np.array([not t[:1].isspace() and t != "" for t in texts], bool)
-        parts = [_SEAM.split("\n" + t if b else t) for t, b in zip(texts, begun.tolist(), strict=True)]
-        parts = [p[1:] if b else p for p, b in zip(parts, begun.tolist(), strict=True)]
-        places: dict[str, int] = {}
-        at = np.array([places.setdefault(p, len(places)) for p in chain.from_iterable(parts)], np.int64)
-        ids, counts = self._look_up(list(places), at)
-        return _lines(ids, counts, np.array([len(p) for p in parts], np.int64), begun)
+        begun = np.array([c.strip() != "" for c in pc.utf8_slice_codeunits(texts, 0, 1).to_pylist()], bool)
+        marked = pc.replace_substring_regex(texts, _SEAM, _MARK + r"\1\2")
+        pieces, places, sizes, _ = _split(pa.array(np.where(begun, "\n", ""), texts.type), marked, _MARK)
+        return _lines(*self._look_up(pieces, places), sizes, begun)
 
     def _lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.full(len(texts), not self.direct)
+        whole, apart = np.full(len(texts), not self.direct), np.zeros(len(texts), bool)
         for token in self.added:
-            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        line_end, nothing = (pa.scalar(x, texts.type) for x in ("\n", ""))
-        lists = pc.split_pattern(pc.binary_join_element_wise(line_end, pc.replace_substring(texts, "\n", " \n"), nothing), " ")
-        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        pieces, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        apart &= ~whole
+        whole |= pc.match_substring(texts, _MARK).to_numpy(zero_copy_only=False) & ~apart
+        pieces, places, sizes, different = _split(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), " ")
         # A piece that does not begin with a visible character, but for the line end, was cut off at no seam.
-        data, bounds = text_bytes(coded.dictionary)
+        data, bounds = text_bytes(different)
         loose = np.diff(bounds) == 0
         loose |= _MAY_BE_SPACE[np.append(data, 0)[bounds[:-1]]]
         for k in np.flatnonzero(loose).tolist():
             loose[k] = not (pieces[k][1:2] if pieces[k][:1] == "\n" else pieces[k][:1]).strip()
-        odd = np.logical_or.reduceat(loose[places], np.cumsum(sizes) - sizes) & ~whole
-        plain = ~odd & ~whole
+        odd = np.logical_or.reduceat(loose[places], np.cumsum(sizes) - sizes) & ~whole & ~apart
+        plain = ~(odd | whole | apart)
         if not plain.all():
             places = places[np.repeat(plain, sizes)]
             used = np.bincount(places, minlength=len(pieces)) > 0
@@ -160,9 +169,13 @@ class Encoder:
         if plain.all():
             return ids, counts
         rows = np.empty(len(texts), object)
-        for mask, (some, n) in ((plain, (ids, counts)), (odd, self._cut(texts.filter(pa.array(odd)).to_pylist())), (whole, self._whole(texts.filter(pa.array(whole)).to_pylist()))):
-            for k, end, size in zip(np.flatnonzero(mask).tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
-                rows[k] = some[end - size : end]
+        for mask, encode in ((plain, None), (odd, self._cut), (apart, self._between), (whole, self._whole)):
+            if not mask.any():
+                continue
+            if encode:
+                ids, counts = encode(texts.filter(pa.array(mask)))
+            for k, end, n in zip(np.flatnonzero(mask).tolist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                rows[k] = ids[end - n : end]
         return np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +201,16 @@ def _taken(store: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple
     return np.concatenate(runs), counts
 
 
+def _split(before: pa.Array | pa.Scalar, texts: pa.Array, mark: str) -> tuple[list[str], np.ndarray, np.ndarray, pa.Array]:
+    """The different pieces of ``before`` and the texts cut at ``mark``, which of them follow each other, how many a text has, and the pieces in Arrow."""
+    lists = pc.split_pattern(pc.binary_join_element_wise(before, texts, pa.scalar("", texts.type)), mark)
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes, coded.dictionary
+
+
 def _lines(ids: np.ndarray, counts: np.ndarray, pieces: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From ids a piece to ids a text of so many ``pieces``; those that were ``begun`` by a line end lose its id."""
+    """From ids a piece to ids a text of so many ``pieces``; those that were ``begun`` by a line end, an id of its own, lose it."""
     ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(pieces)]
     totals = np.diff(ends, prepend=0)
     return np.delete(ids, (ends - totals)[begun]), totals - begun

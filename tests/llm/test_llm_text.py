@@ -217,7 +217,7 @@ def test_beginnings_and_lines_are_encoded_once(monkeypatch):
 def test_ids_of_mixed_rows_equal_the_library(encoder, texts, remembered):
     import pyarrow as pa
 
-    texts += ["a\n<|endoftext|>", "a  \n <|endoftext|>\n\nb", "plain text\nof two lines."]
+    texts += ["<|endoftext|>", "a\uffffb <|endoftext|>c\uffff\nd", "\uffff x\n\uffff", "\n\n日本" * 30, "a\n<|endoftext|>", "a  \n <|endoftext|>\n\nb", "plain text\nof two lines."]
     want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(tokens, "REMEMBERED", remembered)

@@ -208,8 +208,13 @@ define("resolved_t", """SELECT *, CASE WHEN buy = 0 OR sell = 0 THEN 'settled' W
     LEFT JOIN (SELECT * FROM leg_hits WHERE leg = 'b') b USING (symbol) LEFT JOIN (SELECT * FROM leg_hits WHERE leg = 's') s USING (symbol))""")
 
 
+def undated(t):
+    """Fills dealt as the chain is: they meet its sessions where those are made."""
+    return t.contracts.select(*options.CONTRACT, "symbol", "buy", "sell", "pnl").repartition(t.chain_tasks, "ticker")
+
+
 def resolved(t):
-    return options.resolve_fills(t.contracts, t.chain)
+    return options.resolve_fills(undated(t), t.chain)
 
 
 @query("resolve_fills", "D10 J9 S13", "SELECT symbol, n_buy, n_sell, status, side FROM resolved_t")
@@ -234,7 +239,7 @@ define("cand_dates", f"""SELECT trade_date AS date, sum(1e0 / (n_buy + n_sell))
 
 @query("candidate_session_weights", "D11 A17", "SELECT * FROM cand_dates", "weight")
 def _(t):
-    return options.fill_session_weights(t.contracts, t.chain)
+    return options.fill_session_weights(undated(t), t.chain)
 
 
 @query("option_book", "A23", """SELECT option_type, CASE WHEN buy < 50 THEN 'cheap' ELSE 'expensive' END AS price_class, count(*) AS n, sum(pnl) AS net, 1e2 * avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END) AS win_pct, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) AS gross_profit, sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END) AS gross_loss,
@@ -333,11 +338,11 @@ define("ov", """SELECT r.*, w.weight FROM reg r LEFT JOIN cand_dates w USING (da
     SELECT facet, value, coalesce(sum(weight), 0e0) AS w, count(*) AS n FROM (SELECT weight, unnest(['expansion_and', 'regime_dir']) AS facet, unnest([CAST(expansion_and AS VARCHAR), regime_dir]) AS value FROM ov) WHERE value IS NOT NULL AND value <> 'false' GROUP BY 1, 2),
     (SELECT sum(weight) AS tw, count(*) AS tn FROM ov)""", "share_pct base_pct lift")
 def _(t):
-    w = options.fill_session_weights(t.contracts, t.chain)
+    w = options.fill_session_weights(undated(t), t.chain)
     return reports.weighted_shares(w, regime_table(t), ["expansion_and"], ["regime_dir"])
 
 
 @query("weighted_regime_mean", "A17", "SELECT sum(fwd_abs_5 * weight) / sum(CASE WHEN fwd_abs_5 IS NOT NULL THEN weight END) AS weighted_fwd_abs_5, avg(fwd_abs_5) AS mean_fwd_abs_5 FROM reg JOIN cand_dates USING (date)", "weighted_fwd_abs_5 mean_fwd_abs_5")
 def _(t):
-    w = options.fill_session_weights(t.contracts, t.chain).groupBy("date").agg(F.sum("weight").alias("weight"))
+    w = options.fill_session_weights(undated(t), t.chain).groupBy("date").agg(F.sum("weight").alias("weight"))
     return reports.weighted_mean(regime_table(t).join(w, "date"), "fwd_abs_5", "weight")

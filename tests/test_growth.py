@@ -6,6 +6,7 @@ from barframe.functions import extraction as X
 from barframe.functions import text as T
 from barframe.functions.numbers import parse_number
 from barframe.operators import dedup, options, order_values, reports
+from barframe.plans import q_options
 from barframe.plans.tables import Tables
 from barframe.sources import scans
 
@@ -146,3 +147,27 @@ def test_surface_and_its_ranks_are_shuffled_twice(spark, data_dir):
     t = Tables(spark, data_dir)
     ranked = options.surface_ranks(options.daily_surface(options.option_iv(t.chain, 300)))
     assert plan(ranked, "executedPlan").count("Exchange ") == 2  # bars by instrument, and rows by instrument behind the root finder
+
+
+def test_fills_meet_the_chain_without_sending_it_round(spark, data_dir):
+    t = Tables(spark, data_dir)
+    for met in (options.resolve_fills(q_options.undated(t), t.chain), options.fill_session_weights(q_options.undated(t), t.chain)):
+        shown = plan(met, "executedPlan")
+        assert "Join" not in shown and "Broadcast" not in shown  # the chain is far larger than a planner takes it for
+    assert plan(options.resolve_fills(q_options.undated(t), t.chain), "executedPlan").count("Exchange ") == 2  # fills and bars, by instrument
+
+
+def test_fills_without_a_contract_or_sessions_and_several_of_one(spark):
+    bars = spark.sql("""select * from values (date'2024-01-01', 'A', date'2024-01-25', 100.0D, 'CE', 1.0D, 2.0D), (date'2024-01-02', 'A', date'2024-01-25', 100.0D, 'CE', 3.0D, 4.0D),
+        (date'2024-01-02', 'A', null, 100.0D, 'CE', 1.0D, 9.0D) as b(trade_date, ticker, expiry, strike, option_type, low, high)""")
+    rows = [(1, "A", "2024-01-25", 100.0, 1.5, 3.5), (2, "A", "2024-01-25", 100.0, 3.5, 1.5), (3, "A", "2024-01-25", 110.0, 1.5, 3.5),
+            (4, "A", None, 100.0, 1.5, 3.5), (5, "A", None, 100.0, 1.5, 3.5), (6, "A", "2024-01-25", 100.0, 0.0, 3.5), (7, None, None, None, None, None)]
+    fills = spark.createDataFrame([(*r, 1.0) for r in rows], "fill_id int, ticker string, expiry string, strike double, buy double, sell double, pnl double").selectExpr(
+        "fill_id", "ticker", "cast(expiry as date) expiry", "strike", "'CE' option_type", "buy", "sell", "pnl")
+    resolved = options.resolve_fills(fills, bars)
+    got = {r["fill_id"]: (r["status"], r["side"], r["n_buy"], r["n_sell"]) for r in resolved.collect()}
+    assert got == {1: ("resolved", "LONG", 1, 1), 2: ("resolved", "SHORT", 1, 1), 3: ("no_bars", None, 0, 0), 4: ("no_contract", None, 0, 0),
+                   5: ("no_contract", None, 0, 0), 6: ("settled", "SHORT", 0, 1), 7: ("no_contract", None, 0, 0)}
+    weights = {str(r["date"]): r["weight"] for r in options.fill_session_weights(fills, bars).collect()}
+    assert weights == {"2024-01-01": 1.0, "2024-01-02": 2.0}
+    assert weights == {str(r["date"]): r["weight"] for r in options.candidate_session_weights(resolved, bars).collect()}

@@ -1,5 +1,7 @@
 """Work that must not multiply: expressions taken once a row, tables shuffled once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from barframe.functions import extraction as X
@@ -171,3 +173,33 @@ def test_fills_without_a_contract_or_sessions_and_several_of_one(spark):
     weights = {str(r["date"]): r["weight"] for r in options.fill_session_weights(fills, bars).collect()}
     assert weights == {"2024-01-01": 1.0, "2024-01-02": 2.0}
     assert weights == {str(r["date"]): r["weight"] for r in options.candidate_session_weights(resolved, bars).collect()}
+
+
+def test_similar_titles_are_those_of_the_plain_distance():
+    rng = random.Random(4)
+    words = ["order", "solar", "crore", "wins", "reliance", "a", "of", "the", "seci", "ntpc", "2024", "metro"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 8, 12, 26]))) for _ in range(60)]
+    titles += [t[: rng.randrange(len(t) + 1)] + rng.choice(["", "x", "zz top"]) for t in titles] + ["", "ab" * 40, "ab" * 44, "a" * 64, "a" * 65, "a" * 128, "\0AB"]
+    titles = list(dict.fromkeys(titles))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b) for a in titles for b in titles if max(len(a), len(b)) >= 20 and distance(a, b) / max(len(a), len(b)) <= 0.3}
+    assert {(titles[i], titles[j]) for i, j in dedup._similar(titles, titles)} == want and len(want) > 80
+
+
+def test_a_large_poll_is_compared_in_blocks_and_never_in_one_row(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 64)
+    monkeypatch.setattr(dedup, "_walk", lambda polls, keys: polls.where("false").select(*keys, F.lit(0).cast("long").alias("ord")))
+    items = spark.range(600).selectExpr("id n", "concat(substr(sha2(cast(id div 2 as string), 256), 1, 40), id % 2) title", "concat('https://a.com/', id) link")
+    assert sorted(r["n"] for r in dedup.deduplicate(items, order="n").collect()) == list(range(0, 600, 2))
+    titles = items.selectExpr("'p' _poll", "n id", "title")
+    pairs = dedup.similar_pairs(titles)
+    assert {(r["tx"], r["ty"]) for r in pairs.collect()} == {(i, i ^ 1) for i in range(600)}
+    assert pairs.rdd.getNumPartitions() > 55  # ten blocks, each with each

@@ -1,6 +1,7 @@
 """Work that must not multiply: expressions taken once a row, tables shuffled once."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -233,3 +234,15 @@ def test_reads_of_new_events_store_nothing_and_read_only_the_texts_they_need(spa
     want = t.events.where(F.col("published_at").between(F.lit("1999-06-07").cast("timestamp"), F.lit(when).cast("timestamp"))).select("id", "impact_score")
     got = t.fresh_events(window).select("id", "impact_score")
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty() and not got.isEmpty()
+
+
+def test_money_is_looked_for_once_a_text_and_not_once_a_mention(spark):
+    text = "Order worth Rs. 12 crore; " + "x" * 400 + " revenue of INR 5 lakh, value in crores of 7.5 " * 3
+    df = spark.createDataFrame([(1, text), (2, "no money"), (3, None), (4, "Rs 1 crore Rs 2 crore")], "k int, t string")
+    out = order_values.money_mentions(df, "k", "t")
+    shown = plan(out)
+    assert shown.count("regexp_extract_all(") == 2 and shown.count("split(") == 2
+    rows = sorted((r["k"], r["unit_first"], r["pos"], r["num"], r["unit"]) for r in out.collect())
+    assert [r[3:] for r in rows if r[0] == 4] == [("1", "crore"), ("2", "crore")]
+    assert [(r[2], *r[3:]) for r in rows if r[0] == 1 and not r[1]][0] == (text.index("Rs. 12"), "12", "crore")
+    assert [r[2] for r in rows if r[0] == 1 and r[1]] == [m.start() for m in re.finditer("value in crores", text)]

@@ -182,7 +182,8 @@ def _(t):
         *day, F.lit("STF").alias("FinInstrmTp"), text(px).alias("ClsPric"), text(v).alias("TtlTradgVol"),
         *[F.lit("0").alias(x) for x in ("OpnIntrst", "ChngInOpnIntrst", "TtlNbOfTxsExctd")], F.lit("1").alias("NewBrdLotQty"))
     # Exchanges hand these files out compressed.
-    return scans.derivatives_eod(t.spark, land(t, options.unionByName(futures, allowMissingColumns=True), "csv", header=True, compression="gzip"))
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+    return scans.derivatives_eod(t.spark, land(t, options.unionByName(futures, allowMissingColumns=True), "csv", header=True, **packed))
 
 
 @query("scan_intraday", "S11", "SELECT ticker, ts, open, high, low, close, CASE WHEN volume > 1000000 THEN volume ELSE 0 END AS volume FROM intraday WHERE hour(ts) <> 13", "open high low close")

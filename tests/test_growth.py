@@ -9,7 +9,7 @@ from barframe.functions import extraction as X
 from barframe.functions import text as T
 from barframe.functions.numbers import parse_number
 from barframe.operators import dedup, options, order_values, reports
-from barframe.plans import q_options, q_text
+from barframe.plans import q_options, q_sources, q_text
 from barframe.plans.tables import Tables
 from barframe.sources import scans
 
@@ -246,3 +246,13 @@ def test_money_is_looked_for_once_a_text_and_not_once_a_mention(spark):
     assert [r[3:] for r in rows if r[0] == 4] == [("1", "crore"), ("2", "crore")]
     assert [(r[2], *r[3:]) for r in rows if r[0] == 1 and not r[1]][0] == (text.index("Rs. 12"), "12", "crore")
     assert [r[2] for r in rows if r[0] == 1 and r[1]] == [m.start() for m in re.finditer("value in crores", text)]
+
+
+def test_landed_contracts_are_packed_quickly(spark, data_dir, tmp_path, monkeypatch):
+    used = {}
+    monkeypatch.setattr(q_sources, "land", lambda t, df, fmt, **options: used.update(options) or str(tmp_path / "a"))
+    monkeypatch.setattr(q_sources.scans, "derivatives_eod", lambda spark, path: spark.range(1))
+    q_sources.query.__globals__["REGISTRY"]["scan_derivatives"].run(spark, data_dir)
+    rows = spark.range(20000).selectExpr("cast(hash(id) as string) a", "cast(id as string) b").coalesce(1)
+    size = lambda name, **options: rows.write.options(**options).csv(str(tmp_path / name)) or sum(f.stat().st_size for f in (tmp_path / name).glob("*.gz"))
+    assert size("quick", **used) > size("plain", compression="gzip") > 0  # the level reaches the codec
